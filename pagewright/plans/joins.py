@@ -1,0 +1,34 @@
+"""Looking up a per-key dimension from rows whose keys may be badly skewed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a dimension that may be broadcast, and copies of it made otherwise.
+MAX_BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def lookup(
+    rows: DataFrame,
+    dimension: DataFrame,
+    on: list[str],
+    salt_by: Column,
+    how: str = "left",
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join ``rows`` to a dimension of one row per key.
+
+    The dimension is counted first, stopping just past the limit.  Up to the
+    limit it is broadcast and ``rows`` is not shuffled.  Beyond it, the
+    dimension is repeated once per salt and ``rows`` is spread over the salts,
+    so that a key holding a third of all rows is split over ``salts`` tasks.
+    """
+    if dimension.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        return rows.join(F.broadcast(dimension), on, how)
+    salt = "__salt"
+    spread = rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    copies = dimension.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [*on, salt], how).drop(salt)
