@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +28,11 @@ _WS = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def let(col: Column, body) -> Column:
+    """``body(col)`` with ``col`` worked out once, however often ``body`` uses it."""
+    return F.transform(F.array(col), body)[0]
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITE_SPACE))
 
@@ -257,21 +262,24 @@ def _edge_strip(col: Column) -> Column:
 
 def keyword_phrase(question: Column) -> Column:
     """The term a definition question asks about, or NULL."""
-    bare = _edge_strip(F.lower(question))
-    opened = F.regexp_replace(bare, "^(?:" + "|".join(fv.QUESTION_PREFIXES) + ")", "")
-    closed = reduce(
-        lambda rest, suffix: F.when(
-            F.endswith(opened, F.lit(suffix)),
-            F.substring(opened, F.lit(1), F.length(opened) - len(suffix)),
-        ).otherwise(rest),
-        reversed(fv.QUESTION_SUFFIXES),
-        opened,
-    )
-    phrase = _edge_strip(collapse(closed))
-    usable = F.length(phrase).between(fv.MIN_KEYWORD_LENGTH, fv.MAX_KEYWORD_LENGTH) & (
-        (phrase != bare) | (F.size(words(phrase)) <= fv.MAX_BARE_TERM_WORDS)
-    )
-    return F.when(usable, phrase)
+
+    def from_bare(bare: Column) -> Column:
+        opened = F.regexp_replace(bare, "^(?:" + "|".join(fv.QUESTION_PREFIXES) + ")", "")
+        return let(let(opened, without_suffix), lambda phrase: F.when(usable(phrase, bare), phrase))
+
+    def without_suffix(opened: Column) -> Column:
+        endings = F.filter(
+            F.array(*map(F.lit, fv.QUESTION_SUFFIXES)), lambda suffix: F.endswith(opened, suffix)
+        )
+        cut = F.coalesce(F.length(F.get(endings, F.lit(0))), F.lit(0))
+        return _edge_strip(collapse(F.substring(opened, F.lit(1), F.length(opened) - cut)))
+
+    def usable(phrase: Column, bare: Column) -> Column:
+        return F.length(phrase).between(fv.MIN_KEYWORD_LENGTH, fv.MAX_KEYWORD_LENGTH) & (
+            (phrase != bare) | (F.size(F.split(phrase, " ")) <= fv.MAX_BARE_TERM_WORDS)
+        )
+
+    return let(_edge_strip(F.lower(question)), from_bare)
 
 
 def name_key(col: Column) -> Column:
@@ -286,38 +294,48 @@ def _plain_name_key(text: str) -> str:
 
 def name_variants(phrase: Column) -> Column:
     """Other spellings of the foreign name in ``phrase``, most promising first."""
-    key = name_key(phrase)
-
-    def spelled(found: str, names: list[str]) -> Column:
-        return F.when(
-            F.contains(phrase, F.lit(found)),
-            F.array(*[F.replace(phrase, F.lit(found), F.lit(n)) for n in names]),
-        ).otherwise(F.array().cast("array<string>"))
-
-    cases = []
-    for group in fv.NAME_SPELLINGS:
-        for found in group:
-            lower = [n for n in group if n != found]
-            cased = [n.capitalize() for n in lower]
-            options = F.concat(
-                spelled(found, cased),
-                F.array(*map(F.lit, cased)),
-                spelled(found, lower),
-                F.array(*map(F.lit, lower)),
+    spellings = F.array(
+        *[
+            F.struct(
+                F.lit(_plain_name_key(found)).alias("key"),
+                F.lit(found).alias("found"),
+                F.array(*[F.lit(n) for n in group if n != found]).alias("others"),
+                F.array(*[F.lit(n.capitalize()) for n in group if n != found]).alias("cased"),
             )
-            cases.append((F.contains(key, F.lit(_plain_name_key(found))), options))
-    chosen = reduce(
-        lambda rest, case: F.when(case[0], case[1]).otherwise(rest),
-        reversed(cases),
-        F.array().cast("array<string>"),
+            for group in fv.NAME_SPELLINGS
+            for found in group
+        ]
     )
-    return F.slice(F.array_distinct(chosen), 1, fv.MAX_NAME_VARIANTS)
+
+    def from_parts(parts: Column) -> Column:
+        text, key = parts["text"], parts["key"]
+
+        def spelled(entry: Column, names: Column) -> Column:
+            literally = F.filter(names, lambda _: F.contains(text, entry["found"]))
+            return F.transform(literally, lambda name: F.replace(text, entry["found"], name))
+
+        named = F.slice(F.filter(spellings, lambda entry: F.contains(key, entry["key"])), 1, 1)
+        return F.flatten(
+            F.transform(
+                named,
+                lambda entry: F.concat(
+                    spelled(entry, entry["cased"]),
+                    entry["cased"],
+                    spelled(entry, entry["others"]),
+                    entry["others"],
+                ),
+            )
+        )
+
+    parts = F.struct(phrase.alias("text"), name_key(phrase).alias("key"))
+    return F.slice(F.array_distinct(let(parts, from_parts)), 1, fv.MAX_NAME_VARIANTS)
 
 
 def last_two_words(phrase: Column) -> Column:
     """The last two words of a phrase of three or more, else NULL."""
-    parts = words(phrase)
-    return F.when(F.size(parts) >= 3, F.concat_ws(" ", F.slice(parts, -2, 2)))
+    return let(
+        words(phrase), lambda w: F.when(F.size(w) >= 3, F.concat_ws(" ", F.slice(w, -2, 2)))
+    )
 
 
 # --- Small lists -------------------------------------------------------------------------
