@@ -56,12 +56,12 @@ def not_indexed_yet(files: DataFrame, table: DataFrame, keys: list[str]) -> Data
 def apply_text_fixes(chunks: DataFrame, fixes: DataFrame) -> DataFrame:
     """Replace misread text in place and give the corrected chunks their new id.
 
-    ``fixes``: source_file, chunk_index, wrong, right; several fixes of one chunk
-    apply in the order of ``wrong``.  A fix that no longer matches changes
-    nothing, so applying twice is the same as applying once.
+    ``fixes``: source_file, chunk_index, position, wrong, right; several fixes of
+    one chunk apply in the order of ``position``.  A fix that no longer matches
+    changes nothing, so applying twice is the same as applying once.
     """
     per_chunk = fixes.groupBy("source_file", "chunk_index").agg(
-        F.sort_array(F.collect_set(F.struct("wrong", "right"))).alias("__fixes")
+        F.sort_array(F.collect_list(F.struct("position", "wrong", "right"))).alias("__fixes")
     )
     fixed = F.aggregate(
         "__fixes", F.col("text"), lambda text, fix: F.replace(text, fix["wrong"], fix["right"])
