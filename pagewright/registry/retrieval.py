@@ -1 +1,261 @@
-"""Queries."""
+"""Queries over retrieval.
+
+Vectors: benchmark item i asks with vector i, and a chunk's subject is its
+label.  Texts: every sentence of the benchmark items is a question over the
+documents, whose subject is their language; both sides use the hashing embedder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewright.functions import answers as an
+from pagewright.functions import text as tx
+from pagewright.operators import retrieval as rt
+from pagewright.operators.embedding import embed
+from pagewright.plans.answering import answer_questions
+from pagewright.registry.common import query, sql_sentences, table
+from pagewright.registry.texts import SQL_EMBED, sql_keyword
+
+_TOP = 10
+
+
+def _vector_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"),
+        F.col("label").cast("string").alias("subject"),
+        (F.col("vec_id") % 12 + 1).cast("int").alias("grade"),
+        F.col("vec_id").cast("string").alias("passage"),
+        F.lit(None).cast("string").alias("text"),
+        "embedding",
+    )
+
+
+def _vector_questions(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return table(spark, sf_dir, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(
+        F.col("item_id").cast("string").alias("qid"),
+        F.col("text").alias("question"),
+        (F.col("item_id") % 12 + 1).cast("int").alias("grade"),
+        F.col("label").cast("string").alias("subject"),
+        "embedding",
+    )
+
+
+#: Distance of two float vectors, worked out in double precision.
+_COSINE = "round(1 - list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 8)"
+
+_SQL_VECTOR = f"""
+    asked AS (SELECT item_id, item_id % 12 + 1 AS g, label, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
+    pairs AS (
+        SELECT a.item_id, a.g, e.vec_id, e.vec_id % 12 + 1 AS cg, {_COSINE.format('a.embedding', 'e.embedding')} AS d
+        FROM asked a JOIN embeddings e ON e.label = a.label AND e.vec_id % 12 + 1 <= a.g),
+    near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d, vec_id) AS near_rank FROM pairs),
+    adjusted AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(d + 0.02 * greatest(0, g - cg), 8), near_rank) AS rank
+        FROM near WHERE near_rank <= 30)
+"""
+
+
+@query(f"WITH {_SQL_VECTOR} SELECT item_id::VARCHAR AS qid, vec_id AS chunk_id, near_rank, d AS distance FROM near WHERE near_rank <= {_TOP}")
+def knn_scoped(spark, sf_dir):
+    """The ten nearest chunks in scope of every question."""
+    asked = rt.prepare_questions(_vector_questions(spark, sf_dir), literal=False)
+    hits = rt.nearest_per_pass(_vector_chunks(spark, sf_dir), asked, _TOP)
+    return hits.select("qid", "chunk_id", "near_rank", "distance")
+
+
+@query(
+    f"""WITH {_SQL_VECTOR}
+    SELECT item_id::VARCHAR AS qid, rank, vec_id AS chunk_id, d AS distance FROM adjusted WHERE rank <= {_TOP} AND d <= 1.1"""
+)
+def knn_grade_rerank(spark, sf_dir):
+    """Nearest chunks, own grade preferred, distance reported as measured, cutoff last."""
+    hits = rt.retrieve(_vector_questions(spark, sf_dir), _vector_chunks(spark, sf_dir), _TOP, literal=False)
+    return hits.select("qid", "rank", "chunk_id", "distance")
+
+
+@query(
+    f"""WITH {_SQL_VECTOR.replace('near_rank <= 30', 'near_rank <= 60')}
+    SELECT item_id::VARCHAR AS qid, count(*) AS kept, max(d) AS farthest FROM adjusted WHERE rank <= 20 AND d <= 0.95 GROUP BY item_id"""
+)
+def distance_cutoff(spark, sf_dir):
+    """How many of twenty passages a strict cutoff leaves."""
+    hits = rt.retrieve(_vector_questions(spark, sf_dir), _vector_chunks(spark, sf_dir), 20, 0.95, literal=False)
+    return hits.groupBy("qid").agg(F.count("*").alias("kept"), F.max("distance").alias("farthest"))
+
+
+@query("SELECT DISTINCT g AS grade, label::VARCHAR AS subject FROM range(1, 13) r(g), embeddings WHERE vec_id % 12 + 1 <= g")
+def list_subjects(spark, sf_dir):
+    """Subjects a student of each grade may ask about."""
+    chunks = _vector_chunks(spark, sf_dir)
+    return rt.list_subjects(chunks, chunks.select("grade").distinct())
+
+
+@query(
+    f"""WITH asked AS (SELECT item_id, item_id % 12 + 1 AS g, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
+    pairs AS (
+        SELECT a.item_id, a.g, e.label::VARCHAR AS subject, e.vec_id, e.vec_id % 12 + 1 AS cg, {_COSINE.format('a.embedding', 'e.embedding')} AS d
+        FROM asked a JOIN embeddings e ON e.vec_id % 12 + 1 <= a.g),
+    near AS (SELECT *, row_number() OVER (PARTITION BY item_id, subject ORDER BY d, vec_id) AS near_rank FROM pairs),
+    adjusted AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id, subject ORDER BY round(d + 0.02 * greatest(0, g - cg), 8), near_rank) AS rank
+        FROM near WHERE near_rank <= 30),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY item_id, subject ORDER BY rank) AS place FROM adjusted WHERE rank <= {_TOP} AND d <= 1.1)
+    SELECT item_id::VARCHAR AS asked, arg_min(subject, (d, subject)) AS subject, min(d) AS distance
+    FROM kept WHERE place = 1 GROUP BY item_id"""
+)
+def best_subject_by_vector(spark, sf_dir):
+    """Subject of each question found by asking in every subject its grade may see."""
+    chunks = _vector_chunks(spark, sf_dir)
+    scoped = rt.scope_to_every_subject(_vector_questions(spark, sf_dir), chunks)
+    best = rt.best_subject(scoped, rt.retrieve(scoped, chunks, _TOP, literal=False))
+    return best
+
+
+# --- Texts -----------------------------------------------------------------------------------
+
+
+def _text_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("chunk_id"),
+        F.col("lang").alias("subject"),
+        (F.col("doc_id") % 12 + 1).cast("int").alias("grade"),
+        rt.passage_key(F.col("source"), F.col("doc_id"), F.col("text")).alias("passage"),
+        "text",
+        embed(F.col("text")).alias("embedding"),
+        F.col("source").alias("book_title"),
+        F.col("source").alias("source_file"),
+        F.col("doc_id").cast("int").alias("page_start"),
+        (F.col("doc_id") + F.col("doc_id") % 2).cast("int").alias("page_end"),
+    )
+
+
+def _text_questions(spark, sf_dir):
+    """Every sentence of the benchmark items, asked by a student of some grade."""
+    asked = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("position", "question")
+    )
+    return asked.select(
+        F.concat_ws("-", F.col("item_id").cast("string"), F.col("position").cast("string")).alias("qid"),
+        "question",
+        ((F.col("item_id") + F.col("position")) % 12 + 1).cast("int").alias("grade"),
+        embed(F.col("question")).alias("embedding"),
+    )
+
+
+_SQL_QUESTION_VECTORS = (
+    SQL_EMBED.replace("    WITH w AS", "    qw AS")
+    .replace("FROM documents),", "FROM questions),")
+    .replace("doc_id", "qid")
+)
+for _name in ("u", "h", "c", "n", "v"):
+    _SQL_QUESTION_VECTORS = _SQL_QUESTION_VECTORS.replace(f"    {_name} AS (", f"    q{_name} AS (")
+_SQL_QUESTION_VECTORS = (
+    _SQL_QUESTION_VECTORS.replace("FROM w)", "FROM qw)").replace("FROM u)", "FROM qu)")
+    .replace("FROM w JOIN h", "FROM qw JOIN qh").replace("FROM c GROUP", "FROM qc GROUP")
+    .replace("FROM n, range", "FROM qn, range").replace("LEFT JOIN c ON", "LEFT JOIN qc c ON")
+    .replace("list_filter(regexp_split_to_array(lower(text)", "list_filter(regexp_split_to_array(lower(question)")
+)
+
+_SQL_HYBRID = f"""
+{SQL_EMBED.rstrip()},
+    questions AS (
+        SELECT item_id || '-' || (i - 1) AS qid, s[i] AS question, (item_id + i - 1) % 12 + 1 AS g
+        FROM (SELECT item_id, {sql_sentences('text')} AS s FROM benchmark), range(1, 1000) r(i) WHERE i <= len(s)),
+{_SQL_QUESTION_VECTORS.rstrip()},
+    phrased AS (SELECT qid, question, g, {sql_keyword('question')} AS phrase FROM questions),
+    scoped AS (
+        SELECT q.qid, q.g, l.lang, phrase, qv.embedding AS vec,
+               CASE WHEN len(string_split(phrase, ' ')) >= 3 THEN array_to_string(string_split(phrase, ' ')[-2:], ' ') END AS shorter
+        FROM phrased q JOIN qv USING (qid) JOIN (SELECT lang, min(doc_id % 12 + 1) AS low FROM documents GROUP BY lang) l ON l.low <= q.g),
+    pairs AS (
+        SELECT s.qid, s.lang, s.g, d.doc_id, d.doc_id % 12 + 1 AS cg, {_COSINE.format('s.vec', 'v.embedding')} AS d,
+               contains(d.text, phrase || ' là') AS has_definition, contains(d.text, phrase) AS has_phrase, contains(d.text, shorter) AS has_shorter
+        FROM scoped s JOIN documents d ON d.lang = s.lang AND d.doc_id % 12 + 1 <= s.g JOIN v ON v.doc_id = d.doc_id),
+    passes AS (
+        SELECT *, 0 AS tier, 0 AS slot FROM pairs WHERE has_definition UNION ALL
+        SELECT *, 0, 1 FROM pairs WHERE has_phrase UNION ALL
+        SELECT *, 7, 1 FROM pairs WHERE has_shorter UNION ALL
+        SELECT *, -1, 2 FROM pairs),
+    near AS (SELECT *, row_number() OVER (PARTITION BY qid, lang, tier, slot ORDER BY d, doc_id) AS near_rank FROM passes),
+    adjusted AS (
+        SELECT *, row_number() OVER (PARTITION BY qid, lang, tier, slot ORDER BY round(d + 0.02 * greatest(0, g - cg), 8), near_rank) AS pass_rank
+        FROM near WHERE near_rank <= 30),
+    tiered AS (SELECT *, min(CASE WHEN slot < 2 THEN tier END) OVER (PARTITION BY qid, lang) AS first FROM adjusted WHERE pass_rank <= 10),
+    once AS (SELECT *, row_number() OVER (PARTITION BY qid, lang, doc_id ORDER BY slot, pass_rank) AS seen FROM tiered WHERE slot = 2 OR tier = first),
+    merged AS (SELECT *, row_number() OVER (PARTITION BY qid, lang ORDER BY slot, pass_rank) AS rank FROM once WHERE seen = 1)
+"""
+
+
+@query(
+    f"{_SQL_HYBRID} SELECT qid || '|' || lang AS qid, rank, doc_id AS chunk_id, tier, slot, d AS distance FROM merged WHERE rank <= 10 AND d <= 1.1"
+)
+def hybrid_retrieval(spark, sf_dir):
+    """Definitions, literal hits and nearest passages of every question in every subject it may ask about."""
+    chunks = _text_chunks(spark, sf_dir)
+    scoped = rt.scope_to_every_subject(_text_questions(spark, sf_dir), chunks)
+    hits = rt.retrieve(scoped, chunks, _TOP)
+    return hits.select("qid", "rank", "chunk_id", "tier", "slot", "distance")
+
+
+@query(
+    f"""{_SQL_HYBRID},
+    tops AS (SELECT qid, lang, d, row_number() OVER (PARTITION BY qid, lang ORDER BY rank) AS place FROM merged WHERE rank <= 10 AND d <= 1.1)
+    SELECT qid AS asked, arg_min(lang, (d, lang)) AS subject, min(d) AS distance FROM tops WHERE place = 1 GROUP BY qid"""
+)
+def best_subject(spark, sf_dir):
+    """Subject of every question by its nearest first hit, literal hits included."""
+    chunks = _text_chunks(spark, sf_dir)
+    scoped = rt.scope_to_every_subject(_text_questions(spark, sf_dir), chunks)
+    best = rt.best_subject(scoped, rt.retrieve(scoped, chunks, _TOP))
+    return best
+
+
+@query(
+    f"""{_SQL_HYBRID}
+    SELECT qid || '|' || lang AS qid, slot, count(*) AS hits, min(doc_id) AS lowest_id FROM tiered WHERE slot < 2 AND tier = first GROUP BY ALL"""
+)
+def literal_passes(spark, sf_dir):
+    """What the literal passes of the first answering tier found."""
+    chunks = _text_chunks(spark, sf_dir)
+    scoped = rt.prepare_questions(rt.scope_to_every_subject(_text_questions(spark, sf_dir), chunks))
+    ranked = rt.prefer_own_grade(rt.nearest_per_pass(chunks, scoped, _TOP * 3), _TOP)
+    literal = rt.first_answering_tier(ranked).where(F.col("slot") < rt.SLOT_VECTOR)
+    return literal.groupBy("qid", "slot").agg(F.count("*").alias("hits"), F.min("chunk_id").alias("lowest_id"))
+
+
+def _answered(spark, sf_dir):
+    chunks = _text_chunks(spark, sf_dir)
+    questions = _text_questions(spark, sf_dir).withColumn("subject", F.lit("en"))
+    offsets = table(spark, sf_dir, "documents").select(F.col("source").alias("source_file")).distinct().withColumn("offset", F.lit(1))
+    return answer_questions(questions, chunks, offsets)
+
+
+@query(
+    f"""{_SQL_HYBRID},
+    hits AS (SELECT qid, rank, doc_id FROM merged WHERE lang = 'en' AND rank <= 10 AND d <= 1.1),
+    placed AS (
+        SELECT qid, rank, source || ', trang ' || CASE WHEN doc_id - 1 < 1 THEN doc_id ELSE doc_id - 1 END ||
+               CASE WHEN doc_id % 2 = 1 THEN '-' || doc_id ELSE '' END AS citation,
+               CASE WHEN doc_id - 1 < 1 THEN doc_id ELSE doc_id - 1 END AS printed
+        FROM hits JOIN documents USING (doc_id)),
+    tops AS (SELECT qid, count(*) AS passages, arg_min(citation, rank) AS top FROM placed GROUP BY qid)
+    SELECT q.qid, coalesce(passages, 0) AS passages, top AS first_source FROM questions q LEFT JOIN tops USING (qid)"""
+)
+def question_contexts(spark, sf_dir):
+    """Passages found per question and the printed-page citation of the first."""
+    return _answered(spark, sf_dir).select(
+        "qid", F.size("passages").alias("passages"), F.get("passages", F.lit(0))["citation"].alias("first_source")
+    )
+
+
+@query()
+def answer_all_questions(spark, sf_dir):
+    """Every question answered by the offline service, polished, cited and ready to send."""
+    answered = _answered(spark, sf_dir)
+    return answered.select(
+        "qid", "answer", "grounded", F.array_join("citations", "; ").alias("cited"), F.length("message").alias("message_length"),
+        an.names_a_page(F.col("answer")).alias("names_a_page"),
+    )
