@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
-from pagewright.functions.text import is_blank, strip, strip_diacritics, upper_first
+from pagewright.functions.text import is_blank, let, strip, strip_diacritics, upper_first
 
 _FOLD = "(?iU)"
 
@@ -60,47 +60,52 @@ def keywords_found(answer: Column, keywords: Column) -> Column:
 
 
 def hide_internal_wording(col: Column) -> Column:
-    text = F.regexp_replace(col, "(?U)" + fv.BRACKETED_PASSAGE_LABEL, "")
-    text = F.regexp_replace(text, "(?U)" + fv.INLINE_PASSAGE_LABEL, "$1o$2n này")
-    # Sentence starts are handled first, with the text before the run kept in $1.
-    at_start = r"(?U)((?:\A|[.!?:])[ \t*_\-•\n]*?)" + fv.REPEATED_PASSAGE_LABEL
-    text = F.regexp_replace(text, at_start, "$1" + fv.REPEATED_LABEL_AT_START)
-    text = F.regexp_replace(text, "(?U)" + fv.REPEATED_PASSAGE_LABEL, fv.REPEATED_LABEL_INSIDE)
-    for internal, shown in fv.INTERNAL_WORDING:
-        text = F.replace(text, F.lit(internal), F.lit(shown))
-        text = F.replace(text, F.lit(internal.capitalize()), F.lit(shown.capitalize()))
-    return text
+    def hide_labels(text: Column) -> Column:
+        text = F.regexp_replace(text, "(?U)" + fv.BRACKETED_PASSAGE_LABEL, "")
+        text = F.regexp_replace(text, "(?U)" + fv.INLINE_PASSAGE_LABEL, "$1o$2n này")
+        # Sentence starts are handled first, with the text before the run kept in $1.
+        at_start = r"(?U)((?:\A|[.!?:])[ \t*_\-•\n]*?)" + fv.REPEATED_PASSAGE_LABEL
+        text = F.regexp_replace(text, at_start, "$1" + fv.REPEATED_LABEL_AT_START)
+        return F.regexp_replace(text, "(?U)" + fv.REPEATED_PASSAGE_LABEL, fv.REPEATED_LABEL_INSIDE)
+
+    def reword(text: Column) -> Column:
+        for internal, shown in fv.INTERNAL_WORDING:
+            text = F.replace(text, F.lit(internal), F.lit(shown))
+            text = F.replace(text, F.lit(internal.capitalize()), F.lit(shown.capitalize()))
+        return text
+
+    # Most answers hold neither a label nor internal wording: test before rewriting.
+    labelled = let(col, lambda t: F.when(t.rlike(r"[ĐđDd]o[ạa]n\s"), hide_labels(t)).otherwise(t))
+    return let(labelled, lambda t: F.when(t.rlike("[Nn]gữ cảnh"), reword(t)).otherwise(t))
 
 
 def drop_invented_page_refs(answer: Column, pages: Column) -> Column:
     """Remove passing references to pages outside ``pages`` (array of INT).
 
-    Runs on answers' own lines and sentences; lines without such a reference
+    Works on the answer's own lines and sentences; lines without such a reference
     are passed through unchanged.
     """
     reference = _FOLD + fv.PASSING_PAGE_REFERENCE
-    before, after = reference.split(r"(\d{1,3})")
+    # Each reference is written as open, number, middle, its text, close; cutting at
+    # the first mark then leaves one reference per piece.
+    opened, middle, closed = "\ue000", "\ue001", "\ue002"
+    marked_reference = f"{opened}$1{middle}$0{closed}"
+
+    def keep_known(piece: Column) -> Column:
+        number = F.substring_index(piece, middle, 1).try_cast("int")
+        shown = F.translate(F.substring(piece, F.locate(middle, piece) + 1, F.length(piece)), closed, "")
+        rest = F.substring_index(piece, closed, -1)
+        return F.when(F.array_contains(pages, number), shown).otherwise(rest)
 
     def clean(sentence: Column) -> Column:
-        numbers = F.regexp_extract_all(sentence, F.lit(reference), F.lit(1))
-        unknown = F.array_distinct(
-            F.filter(numbers, lambda n: ~F.array_contains(pages, n.cast("int")))
-        )
-        rest = F.aggregate(
-            unknown,
-            sentence,
-            lambda text, n: F.regexp_replace(
-                text,
-                F.concat(
-                    F.lit(before), n, F.when(F.length(n) < 3, r"(?!\d)").otherwise(""), F.lit(after)
-                ),
-                F.lit(""),
-            ),
-        )
-        too_short = F.size(F.regexp_extract_all(rest, F.lit(r"(?U)(\w+)"), F.lit(1)))
-        return F.when(rest == sentence, sentence).otherwise(
-            F.when(too_short < fv.MIN_WORDS_LEFT, "").otherwise(rest)
+        pieces = F.split(F.regexp_replace(sentence, reference, marked_reference), opened)
+        rest = F.array_join(
+            F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(keep_known(piece))), ""
         )
+        return let(rest, lambda r: F.when((r != sentence) & (word_count(r) < fv.MIN_WORDS_LEFT), "").otherwise(r))
+
+    def word_count(text: Column) -> Column:
+        return F.regexp_count(text, F.lit(r"(?U)\w+"))
 
     def clean_line(line: Column) -> Column:
         sentences = F.transform(F.split(line, r"(?U)(?<=[.!?])\s+"), clean)
@@ -108,27 +113,38 @@ def drop_invented_page_refs(answer: Column, pages: Column) -> Column:
             line.rlike(reference), F.array_join(F.filter(sentences, lambda s: ~is_blank(s)), " ")
         ).otherwise(line)
 
-    cleaned = F.array_join(F.transform(F.split(answer, "\n"), clean_line), "\n")
-    return F.when(answer.rlike(reference), cleaned).otherwise(answer)
+    return let(
+        answer,
+        lambda text: F.when(
+            text.rlike(reference), F.array_join(F.transform(F.split(text, "\n"), clean_line), "\n")
+        ).otherwise(text),
+    )
 
 
 def render_exponents(col: Column) -> Column:
     """``x^2`` to ``x²``: marks around each exponent, then every other piece translated."""
-    marked = F.regexp_replace(col, fv.CARET_EXPONENT, "\ue000$1\ue001")
-    pieces = F.transform(
-        F.split(marked, "[\ue000\ue001]"),
-        lambda piece, i: F.when(
-            i % 2 == 1, F.translate(piece, fv.SUPERSCRIPT_FROM, fv.SUPERSCRIPT_TO)
-        ).otherwise(piece),
-    )
-    return F.when(col.rlike(fv.CARET_EXPONENT), F.array_join(pieces, "")).otherwise(col)
+
+    def render(text: Column) -> Column:
+        marked = F.regexp_replace(text, fv.CARET_EXPONENT, "\ue000$1\ue001")
+        pieces = F.transform(
+            F.split(marked, "[\ue000\ue001]"),
+            lambda piece, i: F.when(
+                i % 2 == 1, F.translate(piece, fv.SUPERSCRIPT_FROM, fv.SUPERSCRIPT_TO)
+            ).otherwise(piece),
+        )
+        return F.when(F.contains(text, F.lit("^")), F.array_join(pieces, "")).otherwise(text)
+
+    return let(col, render)
 
 
 def polish_answer(answer: Column, pages: Column) -> Column:
     """Wording, then page references (kept as they were if nothing would be left), then exponents."""
-    worded = hide_internal_wording(answer)
-    checked = drop_invented_page_refs(worded, pages)
-    return render_exponents(F.when(is_blank(checked), worded).otherwise(checked))
+
+    def check(worded: Column) -> Column:
+        checked = drop_invented_page_refs(worded, pages)
+        return let(checked, lambda c: render_exponents(F.when(is_blank(c), worded).otherwise(c)))
+
+    return let(hide_internal_wording(answer), check)
 
 
 def grounded(answer: Column) -> Column:

@@ -168,7 +168,8 @@ def _score(batches: Iterator[pd.DataFrame], spec: _Passes, keep: int, rows_at_on
                 grades = part["grade"].to_numpy()
                 passages = part["passage"].to_numpy()
                 chunks = _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
-                distances = np.round(1.0 - chunks @ spec.vectors[asked].T, DISTANCE_DIGITS)
+                # Adding zero turns a negative zero into a plain one.
+                distances = np.round(1.0 - chunks @ spec.vectors[asked].T, DISTANCE_DIGITS) + 0.0
                 allowed = grades[:, None] <= spec.grades[asked][None, :]
                 row, col = np.nonzero(allowed & (distances <= best.limit[asked][None, :]))
                 best.add(asked[col], distances[row, col], ids[row], grades[row], passages[row])

@@ -43,7 +43,7 @@ def _vector_questions(spark, sf_dir):
 
 
 #: Distance of two float vectors, worked out in double precision.
-_COSINE = "round(1 - list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 8)"
+_COSINE = "(round(1 - list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 8) + 0::DOUBLE)"
 
 _SQL_VECTOR = f"""
     asked AS (SELECT item_id, item_id % 12 + 1 AS g, label, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),

@@ -1 +1,144 @@
-"""Queries."""
+"""Queries over conversation state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewright.operators import generation as ge
+from pagewright.operators import sessions as ss
+from pagewright.plans.materialize import scratch_path
+from pagewright.registry.common import query, table
+from pagewright.streaming.sessions import message_stream, run_to_table, track_history
+
+#: Messages kept per session; conversations have up to eight.
+_KEEP = 4
+
+_SQL_HISTORY = f"""
+    kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
+    placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM kept WHERE n <= {_KEEP})
+"""
+
+
+@query(f"WITH {_SQL_HISTORY} SELECT conv_id, position, turn, role, text FROM placed")
+def session_history(spark, sf_dir):
+    """The last messages of every session."""
+    kept = ss.last_messages(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", _KEEP)
+    return kept.select("conv_id", "position", "turn", "role", "text")
+
+
+@query(f"WITH {_SQL_HISTORY} SELECT conv_id, position, turn, role, text FROM placed")
+def stream_sessions(spark, sf_dir):
+    """The same, from a file stream with keyed state; the last state of each session counts."""
+    schema = table(spark, sf_dir, "conversations").schema
+    messages = message_stream(spark, sf_dir, schema, "conversations.parquet")
+    out, checkpoint = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-checkpoint")
+    run_to_table(track_history(messages, "conv_id", "turn", "role", "text", _KEEP), out, checkpoint)
+    states = spark.read.parquet(out).groupBy("conv_id").agg(
+        F.max_by(F.struct("seqs", "roles", "contents"), "batch_id").alias("s")
+    )
+    rows = F.arrays_zip(F.col("s.seqs").alias("turn"), F.col("s.roles").alias("role"), F.col("s.contents").alias("text"))
+    return states.select("conv_id", F.posexplode(rows).alias("__p", "m")).select(
+        "conv_id", (F.col("__p") + 1).alias("position"), "m.turn", "m.role", "m.text"
+    )
+
+
+@query(
+    """
+    WITH changed AS (
+        SELECT *, CASE WHEN event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS c FROM events),
+    epochs AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch FROM changed)
+    SELECT event_id, user_id, epoch FROM epochs
+    """
+)
+def session_epochs(spark, sf_dir):
+    """History epochs: a new one starts whenever the scope (here the event type) changes."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return ss.scope_epochs(events, ["user_id"], "event_id", F.col("event_type")).select("event_id", "user_id", "epoch")
+
+
+@query(
+    """
+    WITH changed AS (
+        SELECT *, CASE WHEN user_id % 3 <> 0 AND event_type = 'signup' THEN 1 ELSE 0 END AS c FROM events),
+    epochs AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM changed),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY event_id DESC) AS n,
+                    max(epoch) OVER (PARTITION BY user_id) AS newest FROM epochs)
+    SELECT user_id, event_id FROM kept WHERE n <= 12 AND epoch = newest
+    """
+)
+def current_history(spark, sf_dir):
+    """What each user's history holds at the end: twelve messages at most, none from before the last scope change."""
+    from pyspark.sql import Window
+
+    from pagewright.plans.ordered import prefix_sum
+
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    change = ((F.col("user_id") % 3 != 0) & (F.col("event_type") == "signup")).cast("bigint")
+    rows = prefix_sum(events, ["user_id"], "event_id", change, "before").withColumn("epoch", F.col("before") + change)
+    # The newest epoch holds the newest messages, so twelve per user are enough before it is picked.
+    kept = ss.last_messages(rows, ["user_id"], "event_id", 12)
+    newest = F.max("epoch").over(Window.partitionBy("user_id"))
+    return kept.withColumn("newest", newest).where(F.col("epoch") == F.col("newest")).select("user_id", "event_id")
+
+
+@query(
+    """SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS)
+           OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS last_answer_id FROM events"""
+)
+def last_answer(spark, sf_dir):
+    """The answer a bare report would refer to at each point of a conversation."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    return ss.last_answer(events, ["user_id"], "event_id", view).select("event_id", "last_answer_id")
+
+
+@query(
+    """
+    WITH newest AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) AS e FROM events WHERE event_type <> 'view' GROUP BY user_id)
+    SELECT 'chat' AS channel, u.c_custkey AS user_id, CASE WHEN n.e IS NULL THEN c_custkey % 12 + 1 ELSE e % 12 + 1 END AS grade,
+           CASE WHEN n.e IS NULL THEN c_mktsegment ELSE kind END AS subject
+    FROM customer u LEFT JOIN newest n ON n.user_id = u.c_custkey WHERE kind IS NULL OR kind <> 'error'
+    UNION ALL SELECT 'chat', user_id, e % 12 + 1, kind FROM newest WHERE kind <> 'error' AND user_id NOT IN (SELECT c_custkey FROM customer)
+    """
+)
+def profiles(spark, sf_dir):
+    """Stored profiles (customers) after the changes and resets (errors) in the event log."""
+    stored = table(spark, sf_dir, "customer").select(
+        F.lit("chat").alias("channel"), F.col("c_custkey").alias("user_id"),
+        (F.col("c_custkey") % 12 + 1).cast("int").alias("grade"), F.col("c_mktsegment").alias("subject"),
+    )
+    changes = table(spark, sf_dir, "events").where("event_type <> 'view'").select(
+        F.lit("chat").alias("channel"), "user_id", (F.col("event_id") % 12 + 1).cast("int").alias("grade"),
+        F.col("event_type").alias("subject"), (F.col("event_type") == "error").alias("reset"), "event_id",
+    )
+    return ss.save_profiles(stored, changes, ["event_id"])
+
+
+@query(
+    f"""
+    WITH {_SQL_HISTORY},
+    asked AS (SELECT conv_id, arg_max(text, turn) AS question FROM conversations GROUP BY conv_id),
+    past AS (SELECT conv_id, string_agg(role || ':' || md5(text), ' ' ORDER BY position) AS past, count(*) AS n FROM placed GROUP BY conv_id)
+    SELECT conv_id, n + 2 AS messages, past,
+           md5('[Đoạn 1] (Nguồn: Sách ' || conv_id || ', trang 1)' || chr(10) || question) AS context
+    FROM asked JOIN past USING (conv_id)
+    """
+)
+def prompt_messages(spark, sf_dir):
+    """System message, history and question with its context for every session."""
+    conversations = table(spark, sf_dir, "conversations")
+    past = ss.history(conversations, ["conv_id"], "turn", "role", "text", _KEEP)
+    asked = conversations.groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
+    passages = F.array(
+        F.struct(F.concat(F.lit("Sách "), "conv_id", F.lit(", trang 1")).alias("citation"), F.col("question").alias("text"))
+    )
+    rows = asked.join(past, "conv_id").withColumn("passages", passages)
+    messages = ge.build_messages(F.col("question"), F.lit(6), F.lit("Toán"), F.col("passages"), F.col("history"))
+    shown = rows.withColumn("m", messages)
+    middle = F.slice("m", F.lit(2), F.size("m") - 2)
+    return shown.select(
+        "conv_id",
+        F.size("m").cast("bigint").alias("messages"),
+        F.array_join(F.transform(middle, lambda x: F.concat_ws(":", x["role"], F.md5(x["content"]))), " ").alias("past"),
+        F.md5(ge.context_block(F.col("passages"))).alias("context"),
+    )
