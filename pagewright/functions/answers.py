@@ -35,18 +35,20 @@ def page_mentions(col: Column) -> Column:
 
 def pages_named(col: Column) -> Column:
     """Distinct pages the answer cites, ranges expanded, ascending."""
-    pattern = F.lit(_FOLD + fv.PAGE_RANGE_IN_ANSWER)
-    starts = F.regexp_extract_all(col, pattern, F.lit(1))
-    ends = F.regexp_extract_all(col, pattern, F.lit(2))
+    cited = F.regexp_extract_all(col, F.lit(_FOLD + fv.PAGE_RANGE_IN_ANSWER), F.lit(0))
 
-    def expand(start: Column, end: Column) -> Column:
-        first = start.cast("int")
-        last = F.coalesce(end.try_cast("int"), first)
+    def expand(ends: Column) -> Column:
+        first = ends[0]
+        last = F.coalesce(F.get(ends, F.lit(1)), first)
         return F.when(
             last.between(first, first + fv.MAX_PAGE_RANGE), F.sequence(first, last)
         ).otherwise(F.array(first))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.zip_with(starts, ends, expand))))
+    def numbers(mention: Column) -> Column:
+        return F.regexp_extract_all(mention, F.lit(r"(\d+)"), F.lit(1)).cast("array<int>")
+
+    spans = F.transform(cited, lambda mention: let(numbers(mention), expand))
+    return F.array_sort(F.array_distinct(F.flatten(spans)))
 
 
 def invented_pages(answer: Column, retrieved: Column) -> Column:

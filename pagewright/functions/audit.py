@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
-from pagewright.functions.text import collapse, strip
+from pagewright.functions.text import collapse, let, strip
 
 ISSUES_TYPE = "array<struct<kind:string,explanation:string,snippet:string>>"
 
@@ -84,44 +84,57 @@ def _one_per_match(text: Column, kind: str, pattern: str) -> Column:
 def digit_words(text: Column) -> Column:
     """Words with a digit wedged in, legitimate ones left out, repeats kept."""
     found = F.regexp_extract_all(text, F.lit("(?U)" + fv.DIGIT_IN_WORD), F.lit(0))
-    return F.filter(found, lambda w: ~w.rlike("(?U)" + fv.DIGIT_IN_WORD_ALLOWED))
+    return F.when(
+        text.rlike("[a-zA-ZÀ-ỹ][0-9]"),
+        F.filter(found, lambda w: ~w.rlike("(?U)" + fv.DIGIT_IN_WORD_ALLOWED)),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def unexpected_share(text: Column) -> Column:
-    odd = F.length(F.regexp_replace(text, "(?U)" + fv.EXPECTED_CHARACTERS, ""))
+    # Whole runs of expected characters are removed at once.
+    odd = F.length(F.regexp_replace(text, "(?U)" + fv.EXPECTED_CHARACTERS + "+", ""))
     return F.try_divide(odd.cast("double"), F.length(text))
 
 
-def scan_page(text: Column) -> Column:
-    """Every suspicion about one page; empty for short pages."""
-    exponent = "(?U)" + fv.LOST_EXPONENT
-    exponents = match_spans(text, exponent)
-    lost = F.when(
-        F.regexp_count(text, F.lit(exponent)) >= fv.MIN_LOST_EXPONENTS,
-        F.array(
-            _issue(
-                fv.KIND_LOST_EXPONENT,
-                snippet(text, exponents[0]["from"], F.element_at(exponents, -1)["to"]),
-            )
-        ),
-    ).otherwise(_none())
-    odd_words = digit_words(text)
-    digits = F.when(
-        F.size(odd_words) >= fv.MIN_DIGIT_WORDS,
-        F.array(_issue(fv.KIND_DIGIT_WORD, F.array_join(F.array_distinct(odd_words), ", "))),
-    ).otherwise(_none())
-    garbled = F.when(
+def _lost_exponents(text: Column) -> Column:
+    pattern = "(?U)" + fv.LOST_EXPONENT
+
+    def issue(spans: Column) -> Column:
+        shown = snippet(text, spans[0]["from"], F.element_at(spans, -1)["to"])
+        return F.when(
+            F.size(spans) >= fv.MIN_LOST_EXPONENTS, F.array(_issue(fv.KIND_LOST_EXPONENT, shown))
+        ).otherwise(_none())
+
+    return F.when(text.rlike(pattern), let(match_spans(text, pattern), issue)).otherwise(_none())
+
+
+def _digit_words(text: Column) -> Column:
+    def issue(found: Column) -> Column:
+        shown = F.array_join(F.array_distinct(found), ", ")
+        return F.when(
+            F.size(found) >= fv.MIN_DIGIT_WORDS, F.array(_issue(fv.KIND_DIGIT_WORD, shown))
+        ).otherwise(_none())
+
+    return let(digit_words(text), issue)
+
+
+def _garbled(text: Column) -> Column:
+    return F.when(
         unexpected_share(text) > fv.GARBLED_SHARE,
         F.array(_issue(fv.KIND_GARBLED, snippet(text, F.lit(0), F.lit(80)))),
     ).otherwise(_none())
+
+
+def scan_page(text: Column) -> Column:
+    """Every suspicion about one page; empty for short pages."""
     return F.when(
         long_enough(text),
         F.concat(
             _one_per_match(text, fv.KIND_SWAPPED_MINUS, "(?U)" + fv.SWAPPED_MINUS),
             _one_per_match(text, fv.KIND_FRACTION, "(?iU)" + fv.FRACTION_WITHOUT_SLASH),
             _one_per_match(text, fv.KIND_DEFINITION_BOX, "(?iU)" + fv.LOST_DEFINITION_BOX),
-            lost,
-            digits,
-            garbled,
+            _lost_exponents(text),
+            _digit_words(text),
+            _garbled(text),
         ),
     ).otherwise(_none())

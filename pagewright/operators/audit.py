@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright import fixed_values as fv
 from pagewright.functions import audit as au
 from pagewright.functions import text as tx
+from pagewright.plans.once import with_once
 
 
 def population(
@@ -30,7 +31,7 @@ def sample(pages: DataFrame, keys: list[Column], size: int, seed: int) -> DataFr
 
 def audit_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     """Adds issues and has_formula."""
-    return pages.withColumn("issues", au.scan_page(F.col(text))).withColumn(
+    return with_once(pages, "issues", au.scan_page(F.col(text))).withColumn(
         "has_formula", au.has_formula(F.col(text))
     )
 

@@ -9,6 +9,7 @@ from pagewright import fixed_values as fv
 from pagewright.functions import text as tx
 from pagewright.plans.joins import lookup
 from pagewright.plans.materialize import materialize
+from pagewright.plans.once import with_once
 
 
 def repeated_lines(
@@ -56,8 +57,6 @@ def drop_boilerplate(
         "boilerplate",
     )
     none = F.array().cast("array<string>")
-    return (
-        lookup(pages, blocked, [book], salt_by=F.col(page))
-        .withColumn(text, tx.drop_lines(F.col(text), F.coalesce("__blocked", none)))
-        .drop("__blocked")
-    )
+    joined = lookup(pages, blocked, [book], salt_by=F.col(page))
+    dropped = tx.drop_lines(F.col(text), F.coalesce("__blocked", none))
+    return with_once(joined, text, dropped).drop("__blocked").select(*pages.columns)

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.plans.materialize import materialize
+from pagewright.plans.once import with_once
 from pagewright.plans.ordered import prefix_sum
 
 PAGES_PER_BLOCK = 64
 #: Sentences at the end of a block from which its open buffer is first guessed.
-GUESS_SENTENCES = 48
+GUESS_SENTENCES = 160
 #: Blocks per group when looking for the block before each block.
 _BLOCK_GROUP = 4096
 
@@ -112,32 +113,32 @@ def _fold_udf(size: int, overlap: int):
 
 def _blocks(pages: DataFrame, keys: list[str], page: str, text: str, width: int) -> DataFrame:
     """One row per (book, block) with its sentences in reading order."""
+    kept = pages.where(~tx.is_contents_page(F.col(text))).select(
+        *keys, F.col(page).cast("int").alias("__page"), F.col(text).alias("__text")
+    )
     sentences = (
-        pages.where(~tx.is_contents_page(F.col(text)))
-        .select(*keys, F.col(page).cast("int").alias("__page"), page_sentences(F.col(text)).alias("__s"))
+        with_once(kept, "__s", page_sentences(F.col("__text")))
+        .drop("__text")
         .where(F.size("__s") > 0)
         .withColumn("__block", F.expr(f"bigint(__page div {width})"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("__page", "__s")))
     flat = F.flatten(
         F.transform(
-            "__pages",
+            F.array_sort("__pages"),
             lambda p: F.transform(
                 p["__s"], lambda s: F.struct(s["text"].alias("t"), p["__page"].alias("p"), s["opens"].alias("o"))
             ),
         )
     )
-    return (
-        sentences.groupBy(*keys, "__block")
-        .agg(ordered.alias("__pages"))
-        .withColumn("__flat", flat)
-        .select(
-            *keys,
-            "__block",
-            F.col("__flat.t").alias("texts"),
-            F.col("__flat.p").alias("pages"),
-            F.col("__flat.o").alias("opens"),
-        )
+    grouped = sentences.groupBy(*keys, "__block").agg(
+        F.collect_list(F.struct("__page", "__s")).alias("__pages")
+    )
+    return with_once(grouped, "__flat", flat).select(
+        *keys,
+        "__block",
+        F.col("__flat.t").alias("texts"),
+        F.col("__flat.p").alias("pages"),
+        F.col("__flat.o").alias("opens"),
     )
 
 
@@ -232,9 +233,9 @@ def chunk_pages(
             )
             .select(*keys, "__block")
         )
+        wrong = materialize(wrong, "wrong-entries")
         if wrong.isEmpty():
             break
-        wrong = materialize(wrong, "wrong-entries")
         again = folded(blocks.join(wrong, [*keys, "__block"], "left_semi"), left)
         kept = done.join(wrong, [*keys, "__block"], "left_anti")
         done = materialize(kept.unionByName(again), "folded")

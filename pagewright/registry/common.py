@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.functions.text import WHITE_SPACE
+from pagewright.plans.ship import ship_package
 from pagewright.plans.spread import spread
 
 #: Tables whose rows take real work each, so that idle task slots cost time.
@@ -20,7 +22,12 @@ def query(sql: str | None = None):
     """Register a function under its own name, with its SQL if there is one."""
 
     def register(function):
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[function.__name__] = run
         if sql is not None:
             SQL[function.__name__] = sql
         return function

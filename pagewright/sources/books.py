@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.operators.boilerplate import drop_boilerplate
+from pagewright.plans.once import with_once
 
 #: Page rows handed to Spark at a time while one file is being read.
 _PAGES_AT_ONCE = 256
@@ -97,7 +98,7 @@ def read_images(pages: DataFrame, make_reader: Callable[[], ImageReader]) -> Dat
 
 def clean_pages(pages: DataFrame, book: str = "path", strip_boilerplate: bool = True) -> DataFrame:
     """Cleaned pages without running headers; pages left blank are dropped."""
-    cleaned = pages.withColumn("text", tx.clean_text(F.col("text")))
+    cleaned = with_once(pages, "text", tx.clean_text(F.col("text")))
     if strip_boilerplate:
         cleaned = drop_boilerplate(cleaned, book, "page_number", "text")
     return cleaned.where(F.col("text") != "")

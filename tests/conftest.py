@@ -1,9 +1,15 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+HERE = Path(__file__).resolve().parent
+sys.path.insert(0, str(HERE.parent))
+# Python workers import the package and the fakes of the test modules.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")]
+)
 
 from pagewright.session import local_session  # noqa: E402
 
