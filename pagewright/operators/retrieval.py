@@ -13,7 +13,9 @@ merging and the cutoff are DataFrame operations on those hits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
 from pagewright.functions import text as tx
+from pagewright.plans.materialize import materialize
 
 #: Scoped questions scored per scan of the chunks.  The slice is what travels to
 #: the executors, so its size does not depend on how many questions there are.
@@ -34,6 +37,9 @@ TIER_PHRASE = 0
 TIER_SHORTER = fv.MAX_NAME_VARIANTS + 1
 SLOT_DEFINITION, SLOT_LITERAL, SLOT_VECTOR = 0, 1, 2
 
+#: Scoring tasks per task slot.
+_TASKS_PER_SLOT = 4
+
 _HITS = "qid string, grade int, tier int, slot int, chunk_id bigint, chunk_grade int, passage string, distance double"
 
 
@@ -206,6 +212,27 @@ def _score(batches: Iterator[pd.DataFrame], spec: _Passes, keep: int, rows_at_on
     )
 
 
+def _scoped(chunks: DataFrame, spec: _Passes) -> DataFrame:
+    """The chunks any question of the slice may see, in few enough pieces.
+
+    Subjects and highest grades are constants here, so the scope reaches the scan
+    as partition and data filters.  Every task sends up to ``keep`` hits per pass;
+    small pieces are therefore read several to a task, a few tasks per slot.
+    """
+    highest = {s: int(spec.grades[asked].max()) for s, asked in sorted(spec.by_subject.items())}
+    if len(highest) <= 64:
+        scope = reduce(
+            or_, [(F.col("subject") == s) & (F.col("grade") <= g) for s, g in highest.items()]
+        )
+    else:
+        scope = F.col("grade") <= max(highest.values())
+    scoped = chunks.where(scope)
+    if not spec.patterns:
+        scoped = scoped.withColumn("text", F.lit(None).cast("string"))
+    tasks = _TASKS_PER_SLOT * chunks.sparkSession.sparkContext.defaultParallelism
+    return scoped.coalesce(tasks) if scoped.rdd.getNumPartitions() > tasks else scoped
+
+
 def nearest_per_pass(
     chunks: DataFrame, questions: DataFrame, keep: int, per_scan: int = QUESTIONS_PER_SCAN
 ) -> DataFrame:
@@ -218,7 +245,10 @@ def nearest_per_pass(
     """
     spark = chunks.sparkSession
     rows = questions.limit(per_scan + 1).collect()
-    slices = 1 if len(rows) <= per_scan else ceil(questions.count() / per_scan)
+    slices = 1
+    if len(rows) > per_scan:
+        questions = materialize(questions, "questions")
+        slices = ceil(questions.count() / per_scan)
     columns = ["chunk_id", "subject", "grade", "passage", "text", "embedding"]
     out = None
     for part in range(slices):
@@ -227,12 +257,7 @@ def nearest_per_pass(
         if not rows:
             continue
         spec = spark.sparkContext.broadcast(_Passes(rows))
-        subjects = sorted(spec.value.by_subject)
-        # The mandatory scope, pushed down to the scan of the chunks.
-        scoped = chunks.where(F.col("grade") <= int(spec.value.grades.max()))
-        if len(subjects) <= 1000:
-            scoped = scoped.where(F.col("subject").isin(subjects))
-        scored = scoped.select(*columns).mapInPandas(
+        scored = _scoped(chunks.select(*columns), spec.value).mapInPandas(
             lambda batches, spec=spec: _score(batches, spec.value, keep), _HITS
         )
         out = scored if out is None else out.unionByName(scored)

@@ -15,8 +15,16 @@ from pagewright.operators.citations import (
     select_cited_sources,
     with_printed_pages,
 )
-from pagewright.operators.generation import AnswerClient, OfflineClient, generate
-from pagewright.operators.retrieval import attach_passages, retrieve
+from pagewright.operators.evaluation import report, score, with_verdict
+from pagewright.operators.generation import AnswerClient, OfflineClient, classify_subject, generate
+from pagewright.operators.retrieval import (
+    attach_passages,
+    best_subject,
+    list_subjects,
+    retrieve,
+    scope_to_every_subject,
+)
+from pagewright.plans.materialize import materialize
 from pagewright.settings import Settings
 
 _PASSAGES = (
@@ -72,3 +80,47 @@ def answer_questions(
         "message",
         F.when(reminder == "", F.col("answer")).otherwise(F.concat_ws("\n\n", "answer", reminder)),
     )
+
+
+def detect_subjects(
+    questions: DataFrame,
+    chunks: DataFrame,
+    make_client: Callable[[], AnswerClient],
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """Adds ``subject``: the classifier's, else the nearest one; NULL when neither finds any.
+
+    Only the questions the classifier left open are retrieved for.
+    """
+    offered = list_subjects(chunks, questions).groupBy("grade").agg(
+        F.sort_array(F.collect_list("subject")).alias("subjects")
+    )
+    none = F.array().cast("array<string>")
+    asked = questions.join(F.broadcast(offered), "grade", "left").withColumn(
+        "subjects", F.coalesce("subjects", none)
+    )
+    classified = materialize(classify_subject(asked, make_client, settings), "classified")
+    unclear = classified.where(F.col("detected").isNull()).drop("detected", "subjects")
+    scoped = scope_to_every_subject(unclear, chunks)
+    nearest = best_subject(scoped, retrieve(scoped, chunks, settings.top_k, settings.max_distance))
+    return (
+        classified.drop("subjects")
+        .join(nearest.select(F.col("asked").alias("qid"), F.col("subject").alias("__nearest")), "qid", "left")
+        .withColumn("subject", F.coalesce("detected", "__nearest"))
+        .drop("detected", "__nearest")
+    )
+
+
+def run_benchmark(
+    questions: DataFrame,
+    chunks: DataFrame,
+    offsets: DataFrame,
+    settings: Settings = Settings(),
+    make_client: Callable[[], AnswerClient] = OfflineClient,
+) -> tuple[DataFrame, DataFrame]:
+    """Outcomes and one row of totals for labelled questions (in_textbook, keywords)."""
+    outcomes = materialize(
+        with_verdict(score(answer_questions(questions, chunks, offsets, settings, make_client))),
+        "outcomes",
+    )
+    return outcomes, report(outcomes)

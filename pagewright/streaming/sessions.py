@@ -49,7 +49,8 @@ def track_scope(events: DataFrame, keep: int) -> DataFrame:
     """Profile, history and last answer per (channel, user_id), cleared when the scope changes.
 
     ``events``: channel, user_id, seq, grade, subject (NULL unless the message
-    sets them), role, content, answer_id.  One state row per session and batch.
+    sets them), clear (true for a command that empties the history), role,
+    content, answer_id.  One state row per session and batch.
     """
     output = "channel string, user_id string, grade int, subject string, last_answer_id bigint, contents array<string>"
 
@@ -62,8 +63,10 @@ def track_scope(events: DataFrame, keep: int) -> DataFrame:
             rows = rows.where(rows.notna(), None)
             for row in rows.itertuples(index=False):
                 seen = max(seen, row.seq)
-                moved = (row.grade is not None and row.grade != grade) or (
-                    row.subject is not None and row.subject != subject
+                moved = (
+                    row.clear
+                    or (row.grade is not None and row.grade != grade)
+                    or (row.subject is not None and row.subject != subject)
                 )
                 if moved:
                     seqs, roles, contents, answer = [], [], [], None

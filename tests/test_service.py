@@ -1,3 +1,5 @@
+import hashlib
+import hmac
 import json
 
 import pytest
@@ -9,10 +11,12 @@ from pagewright.operators import evaluation as ev
 from pagewright.operators import feedback as fb
 from pagewright.operators import generation as ge
 from pagewright.operators import sessions as ss
-from pagewright.plans.answering import answer_questions
+from pagewright.operators.routing import route
+from pagewright.plans.answering import answer_questions, detect_subjects, run_benchmark
 from pagewright.operators.retrieval import passage_key
 from pagewright.settings import Settings
 from pagewright.sources.tables import feedback_sheet, write_csv
+from pagewright.streaming.channels import incoming, outgoing, webhook_deliveries
 from pagewright.streaming.sessions import message_stream, run_to_table, track_scope
 
 ANSWERS = "answer_id bigint, created_at string, channel string, user_id string, display_name string, grade int, subject string, question string, answer string, citations string, grounded int"
@@ -164,7 +168,7 @@ def test_sessions(spark):
 
 
 def test_streamed_scope(spark, tmp_path):
-    schema = "channel string, user_id string, seq bigint, grade int, subject string, role string, content string, answer_id bigint"
+    schema = "channel string, user_id string, seq bigint, grade int, subject string, role string, content string, answer_id bigint, clear boolean"
     inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
 
     def arrive(name, rows):
@@ -177,9 +181,10 @@ def test_streamed_scope(spark, tmp_path):
     arrive("1.json", [("c", "u", 1, 6, None, None, None, None), ("c", "u", 2, None, None, "user", "a", 10), ("d", "u", 1, None, None, "user", "z", None)])
     arrive("2.json", [("c", "u", 3 + i, None, None, "user", f"b{i}", None) for i in range(4)])
     arrive("3.json", [("c", "u", 9, 6, None, None, None, None), ("c", "u", 10, None, "Toán", None, None, None), ("c", "u", 11, None, None, "user", "mới", 12)])
+    arrive("4.json", [("c", "u", 12, None, None, None, None, None, True), ("c", "u", 13, None, None, "user", "sau", None)])
     states = spark.read.parquet(out).orderBy("batch_id").where("channel = 'c'").collect()
     assert [(r["grade"], r["subject"], r["last_answer_id"], list(r["contents"])) for r in states] == [
-        (6, None, 10, ["a"]), (6, None, 10, ["b1", "b2", "b3"]), (6, "Toán", 12, ["mới"]),
+        (6, None, 10, ["a"]), (6, None, 10, ["b1", "b2", "b3"]), (6, "Toán", 12, ["mới"]), (6, "Toán", None, ["sau"]),
     ]
 
 
@@ -190,3 +195,53 @@ def test_settings(monkeypatch):
             Settings(**bad)
     monkeypatch.setenv("PAGEWRIGHT_TOP_K", "5")
     assert Settings.from_env().top_k == 5
+
+
+def test_routing(spark):
+    texts = ["/lop 6", "/lop 99", "/mon toan", "/mon xyz", "/xoa", "/baosai #3 sai", "/chamdiem 5 4", "/chamdiem 9", "Phân số là gì?", " ", "/abc"]
+    df = spark.createDataFrame([("c", "u", i, t, 7) for i, t in enumerate(texts)], "channel string, user_id string, seq bigint, text string, last_answer_id bigint")
+    got = {r["text"]: r for r in route(df).collect()}
+    assert (got["/lop 6"]["action"], got["/lop 6"]["grade"], got["/lop 6"]["valid"]) == ("set_grade", 6, True)
+    assert got["/lop 99"]["grade"] is None and not got["/lop 99"]["valid"]
+    assert got["/mon toan"]["subject"] == "Toán" and not got["/mon xyz"]["valid"] and got["/mon xyz"]["subject"] is None
+    assert got["/xoa"]["clear"] and not got["/lop 6"]["clear"]
+    assert tuple(got["/baosai #3 sai"]["report"]) == (3, "sai") and tuple(got["/chamdiem 5 4"]["rating"]) == (7, 5, 4, None)
+    assert not got["/chamdiem 9"]["valid"] and got["/abc"]["action"] == "unknown"
+    assert (got["Phân số là gì?"]["action"], got["Phân số là gì?"]["question"], got[" "]["valid"]) == ("question", "Phân số là gì?", False)
+
+
+def test_channels(spark):
+    raw = spark.createDataFrame([("u", "hi", False), ("bot", "spam", True), ("v", "  ", False)], "user_id string, text string, is_bot boolean")
+    assert [r["user_id"] for r in incoming(raw, "discord").collect()] == ["u"]
+    body = '{"event_name":"user_send_text","sender":{"id":"u1"},"message":{"text":"chào"}}'
+    good = hmac.new(b"s", body.encode(), hashlib.sha256).hexdigest()
+    deliveries = spark.createDataFrame([(body, good), (body, "bad"), ("{", None)], "body string, signature string")
+    accepted, refused = webhook_deliveries(deliveries, "s")
+    assert [(r["channel"], r["user_id"], r["text"]) for r in accepted.collect()] == [("zalo", "u1", "chào")] and refused.count() == 2
+    replies = spark.createDataFrame([("u", "x" * 4500)], "user_id string, message string")
+    assert [(r["piece"], len(r["text"])) for r in outgoing(replies, "discord").orderBy("piece").collect()] == [(0, 2000), (1, 2000), (2, 500)]
+
+
+def test_subject_detection_and_benchmark(spark):
+    chunks = spark.createDataFrame(
+        [(1, "Phân số là số dạng a/b. Câu sau.", 6, "Toán", "Toán 6", "a.pdf", 0, 13, 13, [1.0, 0.0]), (2, "Khởi nghĩa năm 938", 6, "Lịch sử", "Sử 6", "b.pdf", 0, 5, 5, [0.0, 1.0])],
+        "chunk_id bigint, text string, grade int, subject string, book_title string, source_file string, chunk_index int, page_start int, page_end int, embedding array<float>",
+    ).withColumn("passage", passage_key(F.col("source_file"), F.col("chunk_index"), F.col("text")))
+    asked = spark.createDataFrame([("a", "phân số?", 6, [0.0, 1.0]), ("b", "chào", 6, [1.0, 0.0]), ("c", "điều gì xảy ra?", 6, [0.1, 0.9])], "qid string, question string, grade int, embedding array<float>")
+    got = {r["qid"]: r["subject"] for r in detect_subjects(asked, chunks, Doubtful).collect()}
+    assert got == {"a": "Toán", "b": fv.NOT_SUBJECT_SPECIFIC, "c": "Lịch sử"}
+    questions = spark.createDataFrame(
+        [("a", "Phân số là gì?", 6, "Toán", True, ["số"], [1.0, 0.0]), ("b", "Tích phân là gì?", 6, "Vật lí", False, [], [1.0, 0.0])],
+        "qid string, question string, grade int, subject string, in_textbook boolean, keywords array<string>, embedding array<float>",
+    )
+    offsets = spark.createDataFrame([("a.pdf", 1)], "source_file string, offset int")
+    outcomes, totals = run_benchmark(questions, chunks, offsets)
+    assert {r["qid"]: r["verdict"] for r in outcomes.collect()} == {"a": fv.VERDICT_PASS, "b": fv.VERDICT_REFUSED_RIGHTLY}
+    row = totals.first()
+    assert (row["answered"], row["refused_rightly"], row["answers_citing_a_page"], row["invented_citations"]) == (1, 1, 1, 0)
+
+
+class Doubtful:
+    def complete(self, model, messages, settings):
+        text = messages[-1]["content"]
+        return "Toán" if "phân số" in text else "KHAC" if "chào" in text else "không rõ"
