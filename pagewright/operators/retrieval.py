@@ -264,7 +264,12 @@ def nearest_per_pass(
     if out is None:
         out = spark.createDataFrame([], _HITS)
     ranked = Window.partitionBy("qid", "tier", "slot").orderBy("distance", "chunk_id")
-    return out.withColumn("near_rank", F.row_number().over(ranked)).where(F.col("near_rank") <= keep)
+    # One shuffle by question serves every later step, all of which work per question.
+    return (
+        out.repartition("qid")
+        .withColumn("near_rank", F.row_number().over(ranked))
+        .where(F.col("near_rank") <= keep)
+    )
 
 
 def prefer_own_grade(hits: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ because the order column is unique within a key).  A window runs inside each
 bucket, a second window runs over one summary row per bucket, and the two are
 joined on (key, bucket), which is how the rows are partitioned already.  A key
 holding a third of the data is therefore spread over all of its buckets.
+Keys and the order column must not be NULL.
 """
 
 from __future__ import annotations
@@ -59,16 +60,11 @@ def last_known(
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
     across = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    # Every bucket has a row, also one without any value: it passes the carry on.
+    known = F.when(F.col("__value").isNotNull(), F.col(order))
     carried = (
-        rows.where(F.col("__value").isNotNull())
-        .groupBy(*keys, _B)
-        .agg(F.max_by("__value", order).alias("__last"))
-    )
-    # Buckets without any value still need the carry, so every bucket has a row.
-    carried = (
-        rows.select(*keys, _B)
-        .distinct()
-        .join(carried, [*keys, _B], "left")
+        rows.groupBy(*keys, _B)
+        .agg(F.max_by("__value", known).alias("__last"))
         .select(*keys, _B, F.last("__last", ignorenulls=True).over(across).alias("__carry"))
     )
     return (

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewright import fixed_values as fv
 from pagewright.functions import answers as an
 from pagewright.functions import text as tx
 from pagewright.operators import retrieval as rt
 from pagewright.operators.embedding import embed
 from pagewright.plans.answering import answer_questions
-from pagewright.registry.common import query, sql_sentences, table
+from pagewright.registry.common import query, quote, sql_sentences, sql_strip, table
 from pagewright.registry.texts import SQL_EMBED, sql_keyword
 
 _TOP = 10
@@ -251,7 +252,26 @@ def question_contexts(spark, sf_dir):
     )
 
 
-@query()
+_REMINDER = (
+    "📖 Bạn mở sách  để kiểm tra lại nhé.\nNếu thấy mình trả lời chưa đúng, bạn bấm nút “🚩 Báo sai” "
+    "(hoặc gõ /baosai) để mình ghi lại nha!"
+)
+
+
+@query(
+    f"""{_SQL_HYBRID},
+    hits AS (SELECT qid, rank, doc_id FROM merged WHERE lang = 'en' AND rank <= 10 AND d <= 1.1),
+    tops AS (
+        SELECT qid, source || ', trang ' || CASE WHEN doc_id - 1 < 1 THEN doc_id ELSE doc_id - 1 END ||
+               CASE WHEN doc_id % 2 = 1 THEN '-' || doc_id ELSE '' END AS cited,
+               {sql_strip("string_split(string_split(text, chr(10) || chr(10))[1], '. ')[1]")} AS sentence
+        FROM (SELECT qid, arg_min(doc_id, rank) AS doc_id FROM hits GROUP BY qid) JOIN documents USING (doc_id)),
+    answered AS (
+        SELECT q.qid, coalesce('Theo sách ' || cited || ': ' || sentence, {quote(fv.NO_CONTEXT_ANSWER)}) AS answer, coalesce(cited, '') AS cited,
+               cited IS NOT NULL AS found FROM questions q LEFT JOIN tops USING (qid))
+    SELECT qid, answer, found AS grounded, cited,
+           length(answer) + CASE WHEN found THEN 2 + {len(_REMINDER)} + length(cited) ELSE 0 END AS message_length, found AS names_a_page FROM answered"""
+)
 def answer_all_questions(spark, sf_dir):
     """Every question answered by the offline service, polished, cited and ready to send."""
     answered = _answered(spark, sf_dir)

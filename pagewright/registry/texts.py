@@ -9,6 +9,7 @@ from pagewright.functions import messages as ms
 from pagewright.functions import text as tx
 from pagewright.functions import webhook as wh
 from pagewright.operators.embedding import DIMENSIONS, embed
+from pagewright.operators.routing import route
 from pagewright.registry.common import (
     WORD,
     query,
@@ -265,7 +266,36 @@ def commands(spark, sf_dir):
     )
 
 
-_SCORES = "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '5 ' WHEN 2 THEN '5 4 ' ELSE '3 4 2 ' END"
+@query(
+    f"""
+    WITH c AS (SELECT event_id, user_id, event_type, event_id % 7 AS k FROM events)
+    SELECT event_id, ['set_grade', 'set_subject', 'clear_history', 'report', 'rate', 'question', 'unknown'][k + 1] AS action,
+           CASE k WHEN 0 THEN event_id % 15 BETWEEN 1 AND 12 WHEN 1 THEN event_type = 'view' WHEN 4 THEN event_id % 8 BETWEEN 1 AND 5
+                  WHEN 6 THEN false ELSE true END AS valid,
+           CASE WHEN k = 0 AND event_id % 15 BETWEEN 1 AND 12 THEN event_id % 15 END AS grade,
+           CASE WHEN k = 1 AND event_type = 'view' THEN 'Ngữ văn' END AS subject,
+           k = 2 AS clear, CASE WHEN k = 5 THEN event_type || '?' END AS question,
+           CASE k WHEN 3 THEN event_id WHEN 4 THEN user_id END AS about
+    FROM c
+    """
+)
+def message_routes(spark, sf_dir):
+    """Every event as a typed message, routed to its action."""
+    kind, number = F.col("event_id") % 7, F.col("event_id").cast("string")
+    typed = (
+        F.when(kind == 0, F.concat(F.lit("/lop "), (F.col("event_id") % 15).cast("string")))
+        .when(kind == 1, F.concat(F.lit("/MON "), F.when(F.col("event_type") == "view", "ngữ  văn").otherwise(F.col("event_type"))))
+        .when(kind == 2, "/xoa")
+        .when(kind == 3, F.concat(F.lit("/ baosai@Bot #"), number, F.lit(" sai")))
+        .when(kind == 4, F.concat(F.lit("/chamdiem "), (F.col("event_id") % 8).cast("string")))
+        .when(kind == 5, F.concat(F.lit(" "), F.col("event_type"), F.lit("? ")))
+        .otherwise("/nothing")
+    )
+    messages = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("last_answer_id"), typed.alias("text"))
+    return route(messages).select(
+        "event_id", "action", "valid", "grade", "subject", "clear", "question",
+        F.coalesce("report.answer_id", "rating.answer_id").alias("about"),
+    )
 
 
 @query(
