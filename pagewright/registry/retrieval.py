@@ -128,8 +128,9 @@ def _text_chunks(spark, sf_dir):
         embed(F.col("text")).alias("embedding"),
         F.col("source").alias("book_title"),
         F.col("source").alias("source_file"),
-        F.col("doc_id").cast("int").alias("page_start"),
-        (F.col("doc_id") + F.col("doc_id") % 2).cast("int").alias("page_end"),
+        # Page numbers have three digits at most, as in a book.
+        (F.col("doc_id") % 500 + 2).cast("int").alias("page_start"),
+        (F.col("doc_id") % 500 + 2 + F.col("doc_id") % 2).cast("int").alias("page_end"),
     )
 
 
@@ -227,6 +228,11 @@ def literal_passes(spark, sf_dir):
     return literal.groupBy("qid", "slot").agg(F.count("*").alias("hits"), F.min("chunk_id").alias("lowest_id"))
 
 
+_SQL_CITATION = (
+    "source || ', trang ' || (doc_id % 500 + 1) || CASE WHEN doc_id % 2 = 1 THEN '-' || (doc_id % 500 + 2) ELSE '' END"
+)
+
+
 def _answered(spark, sf_dir):
     chunks = _text_chunks(spark, sf_dir)
     questions = _text_questions(spark, sf_dir).withColumn("subject", F.lit("en"))
@@ -238,9 +244,7 @@ def _answered(spark, sf_dir):
     f"""{_SQL_HYBRID},
     hits AS (SELECT qid, rank, doc_id FROM merged WHERE lang = 'en' AND rank <= 10 AND d <= 1.1),
     placed AS (
-        SELECT qid, rank, source || ', trang ' || CASE WHEN doc_id - 1 < 1 THEN doc_id ELSE doc_id - 1 END ||
-               CASE WHEN doc_id % 2 = 1 THEN '-' || doc_id ELSE '' END AS citation,
-               CASE WHEN doc_id - 1 < 1 THEN doc_id ELSE doc_id - 1 END AS printed
+        SELECT qid, rank, {_SQL_CITATION} AS citation
         FROM hits JOIN documents USING (doc_id)),
     tops AS (SELECT qid, count(*) AS passages, arg_min(citation, rank) AS top FROM placed GROUP BY qid)
     SELECT q.qid, coalesce(passages, 0) AS passages, top AS first_source FROM questions q LEFT JOIN tops USING (qid)"""
@@ -262,8 +266,7 @@ _REMINDER = (
     f"""{_SQL_HYBRID},
     hits AS (SELECT qid, rank, doc_id FROM merged WHERE lang = 'en' AND rank <= 10 AND d <= 1.1),
     tops AS (
-        SELECT qid, source || ', trang ' || CASE WHEN doc_id - 1 < 1 THEN doc_id ELSE doc_id - 1 END ||
-               CASE WHEN doc_id % 2 = 1 THEN '-' || doc_id ELSE '' END AS cited,
+        SELECT qid, {_SQL_CITATION} AS cited,
                {sql_strip("string_split(string_split(text, chr(10) || chr(10))[1], '. ')[1]")} AS sentence
         FROM (SELECT qid, arg_min(doc_id, rank) AS doc_id FROM hits GROUP BY qid) JOIN documents USING (doc_id)),
     answered AS (
