@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
-from pagewright.functions import audit as au
 from pagewright.functions import text as tx
 from pagewright.operators import audit as oa
 from pagewright.operators import boilerplate as bp

@@ -17,7 +17,7 @@ from pagewright.operators.retrieval import passage_key
 from pagewright.settings import Settings
 from pagewright.sources.tables import feedback_sheet, write_csv
 from pagewright.streaming.channels import incoming, outgoing, webhook_deliveries
-from pagewright.streaming.sessions import message_stream, run_to_table, track_scope
+from pagewright.streaming.sessions import run_to_table, track_scope
 
 ANSWERS = "answer_id bigint, created_at string, channel string, user_id string, display_name string, grade int, subject string, question string, answer string, citations string, grounded int"
 
