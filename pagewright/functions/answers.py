@@ -112,13 +112,18 @@ def drop_invented_page_refs(answer: Column, pages: Column) -> Column:
     def clean_line(line: Column) -> Column:
         sentences = F.transform(F.split(line, r"(?U)(?<=[.!?])\s+"), clean)
         return F.when(
-            line.rlike(reference), F.array_join(F.filter(sentences, lambda s: ~is_blank(s)), " ")
+            mentions_page(line) & line.rlike(reference),
+            F.array_join(F.filter(sentences, lambda s: ~is_blank(s)), " "),
         ).otherwise(line)
 
+    def mentions_page(text: Column) -> Column:
+        # Cheap to test, and necessary for a reference.
+        return text.rlike(r"(?i)trang\s")
+
     return let(
         answer,
         lambda text: F.when(
-            text.rlike(reference), F.array_join(F.transform(F.split(text, "\n"), clean_line), "\n")
+            mentions_page(text), F.array_join(F.transform(F.split(text, "\n"), clean_line), "\n")
         ).otherwise(text),
     )
 

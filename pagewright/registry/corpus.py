@@ -157,7 +157,8 @@ SQL_CHUNKS = f"""
 def chunk_documents(spark, sf_dir):
     """Every source as one book, every document as one page, chunked across page breaks."""
     pages = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    chunks = chunk_pages(pages, ["source"], page="doc_id")
+    # A source has about every twentieth document, so 512 numbers hold some 25 pages.
+    chunks = chunk_pages(pages, ["source"], page="doc_id", pages_per_block=512)
     return chunks.select("source", "chunk_index", F.md5("text").alias("body"), "page_start", "page_end")
 
 
