@@ -82,7 +82,8 @@ def test_name_variants(evaluate):
     assert "toạ độ Descartes" in got[0] and "Descartes" in got[0] and len(got[0]) <= 6
     assert "Descartes" in got[1] and "toa do de cac" not in got[1]
     assert got[2] == []
-    assert got[3][0] == "định lí Thalès"
+    # "thalès" is the listed form that matches, but not letter by letter: no re-spelled phrase.
+    assert got[3] == ["Thales", "Ta-lét", "Talet", "thales", "ta-lét", "talet"]
 
 
 def test_last_two_words(evaluate):
