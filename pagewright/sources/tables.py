@@ -14,44 +14,45 @@ REPAIRS = (
 _CACHE_PATH = r"/(\d+)/([^/]+)\.json$"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole-file JSON; a missing path gives no rows and an unreadable file NULL columns."""
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Whole-file JSON, NULL columns for an unreadable file; None when there is no such path."""
     try:
         return spark.read.schema(schema).option("multiLine", "true").json(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], schema)
+            return None
         raise
 
 
 def read_page_cache(spark: SparkSession, root: str) -> DataFrame:
     """Pages from ``<root>/<grade>/<book>.json``; unreadable files count as absent."""
     pages = _json(spark, f"{root.rstrip('/')}/*/*.json", PAGES)
-    if "_metadata" not in dir(pages) and not pages.inputFiles():
+    if pages is None:
         return spark.createDataFrame([], "grade int, book string, " + PAGES)
     path = F.url_decode(F.col("_metadata.file_path"))
-    return (
-        pages.select(
-            F.regexp_extract(path, _CACHE_PATH, 1).try_cast("int").alias("grade"),
-            F.regexp_extract(path, _CACHE_PATH, 2).alias("book"),
-            "page_number",
-            "text",
-        )
-        .where(F.col("grade").isNotNull() & (F.col("page_number") >= 1) & F.col("text").isNotNull())
-    )
+    return pages.select(
+        F.regexp_extract(path, _CACHE_PATH, 1).try_cast("int").alias("grade"),
+        F.regexp_extract(path, _CACHE_PATH, 2).alias("book"),
+        "page_number",
+        "text",
+    ).where(F.col("grade").isNotNull() & (F.col("page_number") >= 1) & F.col("text").isNotNull())
 
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     """source_file, offset of an offsets document; anything but a whole number >= 0 is left out."""
-    entries = _json(spark, path, "offsets map<string,string>").select(
-        F.explode("offsets").alias("source_file", "__raw")
-    )
+    document = _json(spark, path, "offsets map<string,string>")
+    if document is None:
+        return spark.createDataFrame([], "source_file string, offset int")
+    entries = document.select(F.explode("offsets").alias("source_file", "__raw"))
     whole = F.when(F.col("__raw").rlike(r"^\d+$"), F.col("__raw").try_cast("int"))
     return entries.select("source_file", whole.alias("offset")).where(F.col("offset").isNotNull())
 
 
 def read_repairs(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, REPAIRS).select(F.inline("pages"))
+    """Saved page repairs; none when there is no such file."""
+    document = _json(spark, path, REPAIRS)
+    rows = spark.createDataFrame([], REPAIRS) if document is None else document
+    return rows.select(F.inline("pages"))
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
