@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.copies import exact_dedup
 from pagewright.llm.licenses import license_scan, license_scan_sql
+from pagewright.llm.mixing import mix_sources
 from pagewright.llm.packing import checksums, write_blocks
 from pagewright.plans.ship import ship_package
 
@@ -36,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 @query(sql=license_scan_sql())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
