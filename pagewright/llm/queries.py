@@ -12,6 +12,7 @@ from pagewright.llm.copies import exact_dedup
 from pagewright.llm.licenses import license_scan, license_scan_sql
 from pagewright.llm.mixing import mix_sources
 from pagewright.llm.packing import checksums, write_blocks
+from pagewright.llm.sharding import shard_documents
 from pagewright.plans.ship import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,8 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return checksums(write_blocks(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
+@query()
+def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), carry=False)
