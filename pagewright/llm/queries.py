@@ -13,6 +13,7 @@ from pagewright.llm.licenses import license_scan, license_scan_sql
 from pagewright.llm.mixing import mix_sources
 from pagewright.llm.packing import checksums, write_blocks
 from pagewright.llm.sharding import shard_documents
+from pagewright.llm.toxicity import held_out, score_documents, train
 from pagewright.plans.ship import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query(
     sql=r"""
     WITH hashed AS (
