@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.copies import exact_dedup
 from pagewright.llm.licenses import license_scan, license_scan_sql
 from pagewright.llm.mixing import mix_sources
+from pagewright.llm.near import near_duplicates
 from pagewright.llm.packing import checksums, write_blocks
 from pagewright.llm.sharding import shard_documents
 from pagewright.llm.toxicity import held_out, score_documents, train
@@ -78,6 +79,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), carry=False)
 
 
+@query()
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), carry=False)
+
+
 @query()
 def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
