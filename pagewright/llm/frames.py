@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagewright.plans.materialize import materialize
 
@@ -30,6 +31,11 @@ def unboxed(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     )
 
 
+def schema_of(rows: DataFrame, names: list[str], more: str) -> StructType:
+    """The columns ``names`` of ``rows``, then those of ``more``, as a function's result."""
+    return StructType([rows.schema[n] for n in names] + StructType.fromDDL(more).fields)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there."""
     return materialize(df, f"llm-{name}")

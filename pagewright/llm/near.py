@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.frames import ROW, boxed, known, stored, unboxed
+from pagewright.llm.frames import ROW, boxed, known, schema_of, stored, unboxed
 from pagewright.llm.shingles import bag_min_hashes, bags, fingerprints, mixed, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -67,15 +67,11 @@ def _signed(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(ROW), piece.column("id"), piece.column("line")]
                     + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-                    ["row", "id", "line", "one", "two", "n", "bands", "a", "b"],
+                    [ROW, "id", "line", "one", "two", "n", "bands", "a", "b"],
                 )
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = (
-        f"row {kinds[ROW]}, id {kinds['id']}, line long, one long, two long, n long, "
-        "bands array<long>, a long, b long"
-    )
-    return rows.mapInArrow(sign, schema).withColumnRenamed("row", ROW)
+    more = "one long, two long, n long, bands array<long>, a long, b long"
+    return rows.mapInArrow(sign, schema_of(rows, [ROW, "id", "line"], more))
 
 
 def _bags_of(nodes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pagewright.llm.licenses import license_scan, license_scan_sql
 from pagewright.llm.mixing import mix_sources
 from pagewright.llm.near import near_duplicates
 from pagewright.llm.packing import checksums, write_blocks
+from pagewright.llm.pieces import decode_documents, encode_documents
 from pagewright.llm.sharding import shard_documents
 from pagewright.llm.toxicity import held_out, score_documents, train
 from pagewright.plans.ship import ship_package
@@ -92,6 +93,31 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(write_blocks(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def piece_report(docs: DataFrame) -> DataFrame:
+    """For each row its pieces' number and checksum, the scores of its best segmentations
+    and whether its text comes back from the pieces."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    found = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    back = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return found.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.size("scores").cast("long").alias("n_best"),
+        F.get("scores", F.lit(0)).alias("best_score"),
+        F.get("scores", F.lit(1)).alias("second_score"),
+        F.get("scores", F.size("scores") - 1).alias("last_score"),
+        F.col("pieces_crc32").alias("ids_crc32"),
+        (F.col("decoded") == back).alias("round_trip"),
+    )
+
+
+@query()
+def op9_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), carry=False)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.frames import ROW, boxed, known, unboxed
+from pagewright.llm.frames import ROW, boxed, known, schema_of, unboxed
 
 #: Most training documents of each label.
 PER_LABEL = 3_000
@@ -220,11 +220,10 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
                 piece = batch.slice(at, 1_024)
                 scores = model.score(piece.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(ROW), pa.array(scores, pa.float64())], ["row", "score"]
+                    [piece.column(ROW), pa.array(scores, pa.float64())], [ROW, "score"]
                 )
 
-    kind = rows.schema[ROW].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"row {kind}, score double").withColumnRenamed("row", ROW)
+    scored = rows.mapInArrow(score, schema_of(rows, [ROW], "score double"))
     return unboxed(
         scored, {"score": F.col("score"), "predicted": (F.col("score") >= 0.5).cast("int")}
     )
