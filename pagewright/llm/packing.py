@@ -25,12 +25,13 @@ identifiers keep an order by their texts' hash.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ BLOCK_IDS = 65_536
 #: Documents by which the table is cut into ranges of identifiers.
 PART_DOCUMENTS = 5_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 
 BLOCKS = (
     "part int, block int, width int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
@@ -72,12 +73,18 @@ def unpack(payload: bytes, width: int, first: int, count: int) -> np.ndarray:
 
 
 #: A blank before a character that is not white space always begins a new
-#: pre-token of the byte-level tokenizer, so the pieces between encode alone.
-_CUT = re.compile(r" (?=\S)").split
+#: pre-token of the byte-level tokenizer, so the pieces between such blanks
+#: encode alone.  Texts with any other blank are encoded whole.
+_ODD_BLANK = r" ([\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|$)"
 
 
 class WordTokenizer:
-    """The tokenizer applied to the pieces between blanks, each new piece once."""
+    """The tokenizer applied to the pieces between blanks, each new piece once.
+
+    Pieces are found and numbered a batch at a time; only distinct ones meet
+    Python.  New ones are encoded in long strings and told apart by the bytes
+    that each id stands for.  Past ``remembered`` pieces, all are forgotten.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
@@ -85,22 +92,79 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+        # The vocabulary spells each byte as one character, but for added tokens.
+        self.spans = np.zeros(self.size, np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.spans[number] = len(token)
+        for number, added in self.tokenizer.get_added_tokens_decoder().items():
+            self.spans[number] = len(added.content.encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = [np.zeros(0, np.uint32)]
+        self.sizes = [np.zeros(0, np.int64)]
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [_CUT(t) for t in texts]
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a blank and each word, one after another, and their numbers."""
+        joined = self._each([" " + " ".join(words)])[0]
+        reached = np.cumsum(self.spans[joined])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = np.searchsorted(reached, ends) + 1
+        if not np.array_equal(reached[cuts - 1], ends):
+            each = self._each([" " + w for w in words])
+            return np.concatenate(each), np.array([len(e) for e in each], np.int64)
+        return joined, np.diff(cuts, prepend=0)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The numbers of the words in the pool, new ones added."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        for begin in range(0, len(new), 2_000):
+            these = new[begin : begin + 2_000]
+            named = [words[i] for i in these]
+            numbers = np.arange(len(self.known), len(self.known) + len(these))
+            self.known.update(zip(named, numbers.tolist()))
+            ids, sizes = self._apart(named)
+            self.pool.append(ids)
+            self.sizes.append(sizes)
+            at[these] = numbers
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        odd = pc.match_substring_regex(texts, _ODD_BLANK)
+        if pc.any(odd).as_py():
+            whole = self._each(texts.filter(odd).to_pylist())
+            plain, plain_sizes = self.encode(texts.filter(pc.invert(odd)))
+            parts = iter(np.split(plain, np.cumsum(plain_sizes)[:-1]) if len(plain_sizes) else [])
+            mixed = [next(parts) if not o else None for o in odd.to_pylist()]
+            rest = iter(whole)
+            mixed = [m if m is not None else next(rest) for m in mixed]
+            return np.concatenate(mixed), np.array([len(m) for m in mixed], np.int64)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.known) > self.remembered:
-            self.known.clear()
-        new = list({w for words in cut for w in words[1:]} - self.known.keys())
-        self.known.update(zip(new, self._bytes([" " + w for w in new])))
-        first = self._bytes([words[0] for words in cut])
-        look = self.known.__getitem__
-        return [f + b"".join(map(look, words[1:])) for f, words in zip(first, cut)]
+            self._forget()
+        lists = pc.split_pattern(texts, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        numbered = lists.flatten().dictionary_encode()
+        at = self._learn(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
+        # First words have no blank before them.
+        first = self._each(lists.flatten().take(pa.array(ends[:-1])).to_pylist())
+        pool, sizes = np.concatenate([*self.pool, *first]), np.concatenate(self.sizes)
+        self.pool, self.sizes = [pool[: len(pool) - sum(map(len, first))]], [sizes]
+        sizes = np.concatenate([sizes, [len(f) for f in first]])
+        starts = np.cumsum(sizes) - sizes
+        at[ends[:-1]] = np.arange(len(self.known), len(self.known) + len(first))
+        taken = sizes[at]
+        reached = np.cumsum(taken)
+        places = np.repeat(starts[at] - (reached - taken), taken) + np.arange(reached[-1])
+        return pool[places], np.diff(reached[ends[1:] - 1], prepend=0)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -138,25 +202,28 @@ def encode_blocks(
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary)
         width = width_of(max(tokenizer.size, end_id + 1))
-        last = np.array([end_id], "<u4").tobytes()
         number, ids, ends, held, part = 0, [], [], [], None
 
         def block():
-            joined = np.frombuffer(b"".join(held), "<u4")
+            joined = np.concatenate(held)
             row = [[part], [number], [width], [len(joined)], [ids], [ends], [pack(joined, width)]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, _ARROW.types)], schema=_ARROW
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                names = piece.column("id").to_pylist()
+            for at in range(0, batch.num_rows, 2_048):
+                piece = batch.slice(at, 2_048)
                 part = piece.column("part")[0].as_py()
-                for name, body in zip(names, tokenizer.encode(piece.column("text").to_pylist())):
-                    held.append(body + last)
+                found, sizes = tokenizer.encode(piece.column("text"))
+                reached = np.cumsum(sizes)
+                whole = np.insert(found, reached, end_id)  # the end id follows each document
+                firsts = (reached - sizes + np.arange(len(sizes))).tolist()
+                lasts = (reached + 1 + np.arange(len(sizes))).tolist()
+                for name, a, b in zip(piece.column("id").to_pylist(), firsts, lasts):
+                    held.append(whole[a:b])
                     ids.append(name)
-                    ends.append((ends[-1] if ends else 0) + len(body) // 4 + 1)
+                    ends.append((ends[-1] if ends else 0) + b - a)
                     if ends[-1] >= block_ids:
                         yield block()
                         number, ids, ends, held = number + 1, [], [], []
