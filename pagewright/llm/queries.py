@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.copies import exact_dedup
 from pagewright.llm.licenses import license_scan, license_scan_sql
 from pagewright.llm.mixing import mix_sources
+from pagewright.llm.mtree import nearest_embeddings
 from pagewright.llm.near import near_duplicates
 from pagewright.llm.packing import checksums, write_blocks
 from pagewright.llm.pieces import decode_documents, encode_documents
@@ -47,6 +48,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query(
+    sql="""
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT::HUGEINT) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+               vec_id, score
+        FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """
+)
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 @query(sql=license_scan_sql())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
