@@ -15,6 +15,7 @@ from pagewright.llm.mtree import nearest_embeddings
 from pagewright.llm.near import near_duplicates
 from pagewright.llm.packing import checksums, write_blocks
 from pagewright.llm.pieces import decode_documents, encode_documents
+from pagewright.llm.secrets import scan_secrets
 from pagewright.llm.sharding import shard_documents
 from pagewright.llm.toxicity import held_out, score_documents, train
 from pagewright.plans.ship import ship_package
@@ -109,6 +110,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), carry=False)
 
 
+@query()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "at", F.sha2("value", 256).alias("value_sha256"), "label", "held_out", "score", "secret"
+    )
+
+
 @query()
 def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
