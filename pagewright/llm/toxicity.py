@@ -11,7 +11,8 @@ Training reads a bounded sample: at most ``PER_LABEL`` labelled documents of
 each label, the first by hash, each weighing as many as it stands for.  Every
 document is then scored, whole.  Since all layers up to the softmax are linear
 and there are two labels, a text's score is the sigmoid of the mean of one
-number for each n-gram, and only those numbers (``BUCKETS`` of them) are shipped.
+number for each n-gram, and only those numbers (``BUCKETS`` of them) are shipped.  A smaller sample is read more often:
+training takes ``STEPS`` steps.
 
 Null and empty texts have no words: their score is that of the bias alone.  With
 no labelled documents every score is 0, with one label only it is that label.  A
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.frames import ROW, boxed, known, schema_of, unboxed
 
 #: Most training documents of each label.
-PER_LABEL = 3_000
+PER_LABEL = 2_500
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 4, (3, 4, 5, 6)
-EPOCHS, BATCH, SEED = 16, 128, 4
+STEPS, BATCH, SEED = 640, 128, 4
 #: Words without meaning that each text has besides its own, so that one odd word
 #: of a short text does not decide alone.
 BLANKS = 20
@@ -53,26 +54,18 @@ _OPEN, _CLOSE = "\x02", "\x03"
 class Words:
     """Distinct words of some texts as bags of n-grams, and the texts as lists of words."""
 
-    grams: np.ndarray  # buckets, word after word if in order
-    owners: np.ndarray  # their words
+    grams: np.ndarray  # buckets, word after word
     per_word: np.ndarray
     words: np.ndarray  # numbers of words, text after text
     per_text: np.ndarray
 
 
-def words_of(texts: pa.Array, buckets: int = BUCKETS, in_order: bool = True) -> Words:
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
-    numbered = lists.flatten().dictionary_encode()
-    per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    named = numbered.dictionary.to_pylist()
+def _grams_of(named: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some words and the numbers of their words, size after size."""
     joined = "".join([f"{_OPEN}{w}{_CLOSE}" for w in named])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in named], np.int64)
-    word = np.repeat(np.arange(len(named)), sizes)
-    grams, owners = [], []
-    rolling = points
+    word = np.repeat(np.arange(len(named), dtype=np.int32), [len(w) + 2 for w in named])
+    grams, owners, rolling = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], points
     for n in range(2, max(GRAMS) + 1):
         if len(points) < n:
             break
@@ -83,11 +76,26 @@ def words_of(texts: pa.Array, buckets: int = BUCKETS, in_order: bool = True) ->
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             grams.append(((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32))
             owners.append(word[: len(rolling)][inside])
-    grams = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-    owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(owners, kind="stable") if in_order else slice(None)
-    per_word = np.bincount(owners, minlength=len(named))
-    return Words(grams[order], owners[order], per_word, numbered.indices.to_numpy().astype(np.int64), per_text)
+    return np.concatenate(grams), np.concatenate(owners)
+
+
+def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the numbers of the words text after text, and how many each text has."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    numbered = lists.flatten().dictionary_encode()
+    per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), per_text
+
+
+def words_of(texts: pa.Array, buckets: int = BUCKETS) -> Words:
+    named, words, per_text = _split(texts)
+    grams, per_word = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for begin in range(0, len(named), 20_000):  # bounds what sorting holds
+        some = named[begin : begin + 20_000]
+        found, owners = _grams_of(some, buckets)
+        grams.append(found[np.argsort(owners, kind="stable")])
+        per_word.append(np.bincount(owners, minlength=len(some)))
+    return Words(np.concatenate(grams), np.concatenate(per_word), words, per_text)
 
 
 def _means(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -115,11 +123,11 @@ class Model:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        found = words_of(texts, len(self.weights), in_order=False)
-        each = np.bincount(found.owners, self.weights[found.grams], len(found.per_word))
-        each /= np.maximum(found.per_word, 1)
-        logit = _means(each[found.words], found.per_text)
-        logit = logit * found.per_text / (found.per_text + BLANKS) + self.bias
+        named, words, per_text = _split(texts)
+        grams, owners = _grams_of(named, len(self.weights))
+        each = np.bincount(owners, self.weights[grams], len(named))
+        each /= np.maximum(np.bincount(owners, minlength=len(named)), 1)
+        logit = _means(each[words], per_text) * per_text / (per_text + BLANKS) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -127,7 +135,7 @@ def fit(
     texts: list[str],
     labels: np.ndarray,
     weights: np.ndarray,
-    epochs: int = EPOCHS,
+    steps: int = STEPS,
     buckets: int = BUCKETS,
     seed: int = SEED,
 ) -> Model:
@@ -146,6 +154,7 @@ def fit(
     params = [table, layer, bias]
     seen = [np.full_like(p, f) for p, f in zip(params, FLOORS)]
     weights = np.asarray(weights, float) / np.mean(weights)
+    epochs = -(-steps // -(-len(labels) // BATCH))
     for epoch in range(epochs):
         order = draw.permutation(len(labels))
         rate = 1 - epoch / epochs
@@ -166,9 +175,9 @@ def fit(
             to_words = _summed(at, np.repeat(share, per_text, axis=0), len(words))
             to_words /= np.maximum(per_word, 1)[:, None]
             to_table = _summed(grams, np.repeat(to_words, per_word, axis=0), buckets)
-            steps = [to_table.astype(np.float32), means.T @ error, error.sum(axis=0)]
+            moves = [to_table.astype(np.float32), means.T @ error, error.sum(axis=0)]
             table *= 1 - DECAY * rate
-            for value, sum_, step, speed in zip(params, seen, steps, RATES):
+            for value, sum_, step, speed in zip(params, seen, moves, RATES):
                 sum_ += step * step
                 value -= (rate * speed) * step / np.sqrt(sum_)
     across = layer[:, 1] - layer[:, 0]
