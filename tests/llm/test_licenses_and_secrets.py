@@ -1,0 +1,74 @@
+import duckdb
+import pytest
+from llm_cases import ROWS, none, odd
+
+from check_oracle import rows_of
+from pagewright.llm.licenses import TEMPLATES, license_scan, license_scan_sql
+from pagewright.llm.secrets import scan_secrets
+
+TEXTS = [
+    "Released under the MIT-License, or the mit license.  MIT\nLicense!",
+    "You may not, in any way, use this file except in full compliance with the License",
+    "licensed  under CC BY NC 4",  # six of seven
+    "licensed by nc 4",  # too few
+    "mit license " * 300,
+    "mit apache license general public License",
+    "Kind of mIt lİcense MİT license",
+    " ".join(w for _, t in TEMPLATES for w in t.split()),
+    "all rights are reserved, all right",
+    None,
+    "",
+]
+
+
+def test_scan_equals_trying_every_block(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(r[0] and r[0] + 100, r[1]) for r in ROWS] + [(99, TEXTS[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = license_scan(docs).drop("text")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    result = duck.execute(license_scan_sql())
+    columns = [c[0] for c in result.description]
+    assert rows_of(found.columns, found.collect()) == rows_of(columns, result.fetchall())
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert (by[0]["n_base"], by[0]["first_word"], by[0]["last_word"]) == (3, 3, 9)
+    assert by[1]["labels"] == "apache" and by[1]["base_labels"] == "" and by[1]["score"] < 1
+    assert by[2]["labels"] == "cc-by-nc" and by[3]["labels"] == ""
+    assert by[4]["n_base"] == 300 and by[9]["first_word"] is None and by[9]["labels"] == ""
+
+
+def test_odd_rows_keep_their_columns(spark):
+    rows = license_scan(odd(spark)).collect()
+    assert len(rows) == len(ROWS) and all(r["n"] == "x" for r in rows)
+    assert license_scan(none(spark)).count() == 0
+
+
+SECRETS = [
+    (i, f"plain words here {w} and more plain words", "main.txt")
+    for i, w in enumerate(
+        [f"AKIAQ{i:02d}ABCDEFGH{i:02d}XYZ" for i in range(40)]
+        + [f'token = "{i:02d}ab34ef56ab78cd90{i:02d}"' for i in range(40)]
+        + ["thisisaninventedword" + "abcde"[i % 5] * (i % 3 + 1) for i in range(120)]
+        + [f"user{i:03d}.name@mail.example.com" for i in range(40)]
+        + [f"4485{i:04d}12345678" for i in range(40)]
+    )
+]
+
+
+def test_the_forest_separates_labelled_findings(spark):
+    docs = spark.createDataFrame(SECRETS, "doc_id long, text string, source string")
+    rows = scan_secrets(docs).collect()
+    assert len(rows) == len(SECRETS)
+    held = [r for r in rows if r["held_out"] and r["label"] is not None]
+    assert held and sum(r["secret"] == (r["label"] == 1) for r in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows) and all(r["at"] >= 3 for r in rows)
+    own = spark.createDataFrame([(r["value"], int(r["label"] == 1)) for r in rows], "value string, label int")
+    assert sum(r["secret"] for r in scan_secrets(docs, own).collect()) > 60
+
+
+@pytest.mark.parametrize("make", [odd, none])
+def test_secrets_of_odd_rows(spark, make):
+    rows = scan_secrets(make(spark)).collect()
+    assert {r["value"][:3] for r in rows} == ({"xxx"} if make is odd else set())
+    assert all(r["score"] == 0 for r in rows)
