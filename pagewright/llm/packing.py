@@ -10,6 +10,7 @@ part        number of the range of identifiers the block belongs to
 block       number of the block within its part
 width       bits of an id
 n_ids       ids in the block
+first       ids of the part before the block
 doc_ids     identifiers of its documents (a null identifier comes last)
 ends        for each document the number of ids in the block up to its end
 payload     the packed ids
@@ -44,7 +45,7 @@ PART_DOCUMENTS = 5_000
 REMEMBERED = 800_000
 
 BLOCKS = (
-    "part int, block int, width int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
+    "part int, block int, width int, n_ids long, first long, doc_ids array<long>, ends array<long>, payload binary"
 )
 
 
@@ -202,11 +203,11 @@ def encode_blocks(
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary)
         width = width_of(max(tokenizer.size, end_id + 1))
-        number, ids, ends, held, part = 0, [], [], [], None
+        number, first, ids, ends, held, part = 0, 0, [], [], [], None
 
         def block():
             joined = np.concatenate(held)
-            row = [[part], [number], [width], [len(joined)], [ids], [ends], [pack(joined, width)]]
+            row = [[part], [number], [width], [len(joined)], [first], [ids], [ends], [pack(joined, width)]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, _ARROW.types)], schema=_ARROW
             )
@@ -226,7 +227,7 @@ def encode_blocks(
                     ends.append((ends[-1] if ends else 0) + b - a)
                     if ends[-1] >= block_ids:
                         yield block()
-                        number, ids, ends, held = number + 1, [], [], []
+                        number, first, ids, ends, held = number + 1, first + ends[-1], [], [], []
         if ids:
             yield block()
 
@@ -239,6 +240,7 @@ _ARROW = pa.schema(
         ("block", pa.int32()),
         ("width", pa.int32()),
         ("n_ids", pa.int64()),
+        ("first", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int64())),
         ("payload", pa.binary()),
@@ -258,22 +260,16 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
 def with_starts(blocks: DataFrame) -> DataFrame:
     """Blocks with ``start``: the ids in all blocks before.
 
-    Ids are added up over the blocks of each part, and over one row for each part.
+    A block knows its place in its part; one row for each part is added up and
+    stored, so that its size is known before any payload would move.
     """
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         blocks.groupBy("part")
         .agg(F.sum("n_ids").alias("part_ids"))
         .select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("part_start"))
     )
-    offsets = blocks.select(
-        "part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("in_part")
-    ).join(parts, "part")
-    return blocks.join(
-        offsets.select("part", "block", (F.col("part_start") + F.col("in_part")).alias("start")),
-        ["part", "block"],
-    )
+    return blocks.join(stored(parts, "parts"), "part").withColumn("start", F.col("part_start") + F.col("first"))
 
 
 def documents_in(blocks: DataFrame) -> DataFrame:
