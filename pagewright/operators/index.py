@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
+from pagewright.operators.embedding import embed
 
 ID_COLUMNS = ["grade", "subject", "source_file", "chunk_index", "text"]
 
@@ -53,12 +54,13 @@ def not_indexed_yet(files: DataFrame, table: DataFrame, keys: list[str]) -> Data
     return files.join(table.select(*keys).distinct(), keys, "left_anti")
 
 
-def apply_text_fixes(chunks: DataFrame, fixes: DataFrame) -> DataFrame:
+def apply_text_fixes(chunks: DataFrame, fixes: DataFrame, embedder=embed) -> DataFrame:
     """Replace misread text in place and give the corrected chunks their new id.
 
     ``fixes``: source_file, chunk_index, position, wrong, right; several fixes of
     one chunk apply in the order of ``position``.  A fix that no longer matches
-    changes nothing, so applying twice is the same as applying once.
+    changes nothing, so applying twice is the same as applying once.  Where chunks
+    have vectors, those of changed texts are worked out again.
     """
     per_chunk = fixes.groupBy("source_file", "chunk_index").agg(
         F.sort_array(F.collect_list(F.struct("position", "wrong", "right"))).alias("__fixes")
@@ -67,9 +69,12 @@ def apply_text_fixes(chunks: DataFrame, fixes: DataFrame) -> DataFrame:
         "__fixes", F.col("text"), lambda text, fix: F.replace(text, fix["wrong"], fix["right"])
     )
     joined = chunks.join(per_chunk, ["source_file", "chunk_index"], "left")
-    corrected = joined.withColumn(
+    corrected = joined.withColumn("__old", F.col("text")).withColumn(
         "text", F.when(F.col("__fixes").isNull(), F.col("text")).otherwise(fixed)
     )
+    if "embedding" in chunks.columns:
+        changed = embedder(F.when(~F.col("text").eqNullSafe(F.col("__old")), F.col("text")))
+        corrected = corrected.withColumn("embedding", F.coalesce(changed, "embedding"))
     return with_chunk_id(corrected).select(*chunks.columns)
 
 
@@ -104,13 +109,20 @@ def latest_repairs(repairs: DataFrame, arrival: str) -> DataFrame:
 
 
 def apply_corrections(
-    chunks: DataFrame, patches: DataFrame, fixes: DataFrame, repairs: DataFrame
+    chunks: DataFrame, patches: DataFrame, fixes: DataFrame, repairs: DataFrame, embedder=embed
 ) -> DataFrame:
     """Patches, then text fixes, then repairs, after every ingest.
 
     Chunks: grade, subject, book_title, source_file, chunk_index, text,
-    page_start, page_end, id.
+    page_start, page_end, id and, as ingest gives them, embedding: every vector
+    is then that of its text.
     """
-    patched = upsert(chunks, patch_chunks(patches), ["id"], ["chunk_index"])
-    fixed = apply_text_fixes(patched, fixes)
-    return upsert(fixed, repair_chunks(repairs), ["id"], ["chunk_index"])
+
+    def alike(rows: DataFrame) -> DataFrame:
+        if "embedding" in chunks.columns:
+            return rows.withColumn("embedding", embedder(F.col("text")))
+        return rows
+
+    patched = upsert(chunks, alike(patch_chunks(patches)), ["id"], ["chunk_index"])
+    fixed = apply_text_fixes(patched, fixes, embedder)
+    return upsert(fixed, alike(repair_chunks(repairs)), ["id"], ["chunk_index"])

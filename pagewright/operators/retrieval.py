@@ -37,9 +37,6 @@ TIER_PHRASE = 0
 TIER_SHORTER = fv.MAX_NAME_VARIANTS + 1
 SLOT_DEFINITION, SLOT_LITERAL, SLOT_VECTOR = 0, 1, 2
 
-#: Scoring tasks per task slot.
-_TASKS_PER_SLOT = 4
-
 _HITS = "qid string, grade int, tier int, slot int, chunk_id bigint, chunk_grade int, passage string, distance double"
 
 
@@ -213,11 +210,10 @@ def _score(batches: Iterator[pd.DataFrame], spec: _Passes, keep: int, rows_at_on
 
 
 def _scoped(chunks: DataFrame, spec: _Passes) -> DataFrame:
-    """The chunks any question of the slice may see, in few enough pieces.
+    """The chunks any question of the slice may see.
 
     Subjects and highest grades are constants here, so the scope reaches the scan
-    as partition and data filters.  Every task sends up to ``keep`` hits per pass;
-    small pieces are therefore read several to a task, a few tasks per slot.
+    as partition and data filters.
     """
     highest = {s: int(spec.grades[asked].max()) for s, asked in sorted(spec.by_subject.items())}
     if len(highest) <= 64:
@@ -226,11 +222,10 @@ def _scoped(chunks: DataFrame, spec: _Passes) -> DataFrame:
         )
     else:
         scope = F.col("grade") <= max(highest.values())
-    scoped = chunks.where(scope)
-    if not spec.patterns:
-        scoped = scoped.withColumn("text", F.lit(None).cast("string"))
-    tasks = _TASKS_PER_SLOT * chunks.sparkSession.sparkContext.defaultParallelism
-    return scoped.coalesce(tasks) if scoped.rdd.getNumPartitions() > tasks else scoped
+    scoped = chunks.where(scope).where(F.col("embedding").isNotNull())
+    if spec.patterns:  # chunks without text are skipped, as empty passages are
+        return scoped.where(F.col("text").isNotNull())
+    return scoped.withColumn("text", F.lit(None).cast("string"))
 
 
 def nearest_per_pass(

@@ -29,8 +29,12 @@ def session_history(spark, sf_dir):
 @query(f"WITH {_SQL_HISTORY} SELECT conv_id, position, turn, role, text FROM placed")
 def stream_sessions(spark, sf_dir):
     """The same, from a file stream with keyed state; the last state of each session counts."""
-    schema = table(spark, sf_dir, "conversations").schema
-    messages = message_stream(spark, sf_dir, schema, "conversations.parquet")
+    name = "conversations.parquet"
+    stored = table(spark, sf_dir, "conversations")
+    # A table may be one file of that name, or a folder of part files.
+    one_file = all(file.endswith(f"/{name}") for file in stored.inputFiles())
+    folder, pattern = (sf_dir, name) if one_file else (f"{sf_dir.rstrip('/')}/{name}", "*.parquet")
+    messages = message_stream(spark, folder, stored.schema, pattern)
     out, checkpoint = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-checkpoint")
     run_to_table(track_history(messages, "conv_id", "turn", "role", "text", _KEEP), out, checkpoint)
     states = spark.read.parquet(out).groupBy("conv_id").agg(
