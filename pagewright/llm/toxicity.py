@@ -108,7 +108,7 @@ def _means(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1)
+    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(float)
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ class Model:
         named, words, per_text = _split(texts)
         grams, owners = _grams_of(named, len(self.weights))
         each = np.bincount(owners, self.weights[grams], len(named))
-        each /= np.maximum(np.bincount(owners, minlength=len(named)), 1)
+        each = each / np.maximum(np.bincount(owners, minlength=len(named)), 1)
         logit = _means(each[words], per_text) * per_text / (per_text + BLANKS) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 

@@ -23,10 +23,11 @@ def corpus(n, seed, stems):
 def test_unseen_spellings_share_n_grams():
     rows = corpus(900, 1, ["grxwk", "plozzq"])
     model = fit([r[1] for r in rows], np.array([r[2] for r in rows]), np.ones(len(rows)))
-    unseen = corpus(300, 2, ["grxwkk", "plozzqy"])
-    score = model.score(pa.array([r[1] for r in unseen]))
-    right = [(s >= 0.5) == bool(r[2]) for s, r in zip(score, unseen)]
-    assert np.mean(right) > 0.97
+    for stems, least in ((["grxwk", "plozzq"], 0.99), (["grxwkk", "plozzqy"], 0.95)):
+        rows = corpus(300, 2, stems)
+        score, toxic = model.score(pa.array([r[1] for r in rows])), np.array([r[2] for r in rows]) == 1
+        # How often a toxic text stands above a clean one.
+        assert (score[toxic][:, None] > score[~toxic][None, :]).mean() > least
     assert 0 <= model.score(pa.array([""]))[0] < 0.5
 
 
