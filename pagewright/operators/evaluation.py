@@ -93,3 +93,20 @@ def report(outcomes: DataFrame) -> DataFrame:
         "needs_human_review": answered & missing,
     }
     return outcomes.agg(*[F.count_if(rule).alias(name) for name, rule in counts.items()])
+
+
+#: Rates of a report: what is counted, out of what.
+RATES = {
+    "answer_rate": ("answered", "in_book_asked"),
+    "wrong_refusal_rate": ("wrong_refusals", "in_book_asked"),
+    "right_refusal_rate": ("refused_rightly", "out_book_asked"),
+    "hallucination_rate": ("hallucinations", "out_book_asked"),
+    "citation_rate": ("answers_citing_a_page", "answered"),
+}
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """The counts of ``report`` as shares; 0 where nothing was asked."""
+    return counts.select(
+        *[F.coalesce(F.try_divide(part, whole), F.lit(0.0)).alias(name) for name, (part, whole) in RATES.items()]
+    )

@@ -70,3 +70,15 @@ def merge_offsets(known: DataFrame, measured: DataFrame, book: str = "source_fil
 def unmeasured(known: DataFrame, measured: DataFrame, book: str = "source_file") -> DataFrame:
     """Books measured without a confident result and without a known offset."""
     return measured.where(F.col("offset").isNull()).select(book).join(known, book, "left_anti")
+
+
+def offset_histogram(measured: DataFrame) -> DataFrame:
+    """How many books have each measured offset; NULL stands for books without a confident one."""
+    return measured.groupBy("offset").agg(F.count("*").alias("books"))
+
+
+def both_strips(top: DataFrame, bottom: DataFrame, page: list[str], text: str) -> DataFrame:
+    """Numbers read from the upper and the lower edge strip of each page, together."""
+    strips = top.select(*page, text).unionByName(bottom.select(*page, text))
+    found = strips.select(*page, F.explode_outer(number_candidates(F.col(text))).alias("__number"))
+    return found.groupBy(*page).agg(F.sort_array(F.collect_set("__number")).alias("candidates"))

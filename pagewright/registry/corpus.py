@@ -319,6 +319,14 @@ def page_offsets(spark, sf_dir):
     return _measured(spark, sf_dir).select("s_suppkey", "offset", "agreeing", "usable", seen.alias("observed"))
 
 
+@query(
+    f"""WITH {_SQL_OBSERVED.replace('>= 0.1', '>= 0.6')}
+        SELECT off AS "offset", count(*) AS books FROM measured GROUP BY off"""
+)
+def offset_histogram(spark, sf_dir):
+    return po.offset_histogram(_measured(spark, sf_dir))
+
+
 def _one_page_books(spark, sf_dir):
     """Line items of one ship mode per supplier as books whose pages mostly agree."""
     page = F.col("l_orderkey")

@@ -220,6 +220,26 @@ def benchmark_report(spark, sf_dir):
     return ev.report(_outcomes(spark, sf_dir))
 
 
+def _sql_rate(part: str, whole: str) -> str:
+    return f"coalesce(count(*) FILTER ({part}) / nullif(count(*) FILTER ({whole}), 0), 0)"
+
+
+_SQL_IN, _SQL_OUT = "in_textbook AND NOT provider_error", "NOT in_textbook AND NOT provider_error"
+
+
+@query(
+    f"""WITH {_SQL_OUTCOMES}
+    SELECT {_sql_rate(_SQL_IN + " AND NOT refused", _SQL_IN)} AS answer_rate,
+           {_sql_rate(_SQL_IN + " AND refused", _SQL_IN)} AS wrong_refusal_rate,
+           {_sql_rate(_SQL_OUT + " AND refused", _SQL_OUT)} AS right_refusal_rate,
+           {_sql_rate(_SQL_OUT + " AND NOT refused", _SQL_OUT)} AS hallucination_rate,
+           {_sql_rate(_SQL_IN + " AND NOT refused AND cites", _SQL_IN + " AND NOT refused")} AS citation_rate
+    FROM judged"""
+)
+def benchmark_rates(spark, sf_dir):
+    return ev.rates(ev.report(_outcomes(spark, sf_dir)))
+
+
 @query(
     f"""WITH {_SQL_OUTCOMES}
     SELECT doc_id AS stt, CASE WHEN in_textbook THEN 'có' ELSE 'không' END AS co_trong_sach, CASE WHEN refused THEN 'không' ELSE 'có' END AS da_tra_loi,
