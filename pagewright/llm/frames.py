@@ -31,6 +31,19 @@ def unboxed(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     )
 
 
+def aside(df: DataFrame, **columns: Column) -> DataFrame:
+    """Like ``boxed``, with each of the caller's columns as ``__0``, ``__1`` and so on."""
+    own = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(df.columns)]
+    return df.select(*own, *[c.alias(n) for n, c in columns.items()])
+
+
+def restored(df: DataFrame, names: list[str], outputs: dict[str, Column]) -> DataFrame:
+    """What ``aside`` put aside under its ``names``, and ``outputs``, which replace columns of their names."""
+    taken = {n.lower() for n in outputs}
+    rest = [F.col(f"__{i}").alias(c) for i, c in enumerate(names) if c.lower() not in taken]
+    return df.select(*rest, *[c.alias(n) for n, c in outputs.items()])
+
+
 def schema_of(rows: DataFrame, names: list[str], more: str) -> StructType:
     """The columns ``names`` of ``rows``, then those of ``more``, as a function's result."""
     return StructType([rows.schema[n] for n in names] + StructType.fromDDL(more).fields)

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.frames import boxed, known, unboxed
+from pagewright.llm.frames import aside, known, restored
 from pagewright.plans.once import with_once
 
 THRESHOLD = 0.8
@@ -169,7 +169,7 @@ def license_scan(
     chosen = ordered_templates(docs, text, templates, threshold)
     rare = sorted({w for t in chosen for w in t.prefix})
 
-    rows = with_once(boxed(docs, words=words_of(text)), "words", F.col("words"))
+    rows = with_once(aside(docs, words=words_of(text)), "words", F.col("words"))
     hits = F.filter(
         F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
         lambda h: h["word"].isin(rare),
@@ -187,8 +187,9 @@ def license_scan(
         F.array(*[F.when(F.get("shares", F.lit(i)) > 0, F.lit(t.label)) for i, t in enumerate(chosen)])
     )
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return unboxed(
+    return restored(
         rows,
+        docs.columns,
         {
             "n_words": F.size("words").cast("long"),
             "n_base": F.size(every).cast("long"),

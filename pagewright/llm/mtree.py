@@ -174,7 +174,7 @@ def top_k(
     rows = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("vector"))
     first = Window.partitionBy("vector").orderBy("id")
     grouped = rows.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= k + 1)
-    dimensions = rows.agg(F.max(F.size("vector"))).first()[0] or 0
+    dimensions = rows.agg(F.max(F.size("vector"))).first()[0] or 1
     zeros = F.array_repeat(F.lit(0).cast("long"), F.lit(dimensions) - F.size("vector"))
     entries = stored(
         grouped.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))

@@ -9,11 +9,12 @@ their shingles' smaller counts is at least 0.8 of the sum of the larger ones.
    odds of 1 in 20,000.  In each bucket a node is compared with one leader of its
    length class only, which links a group of any size by as many pairs as nodes.
 3. Pairs are verified by their exact overlap, and linked nodes form components.
-4. What the leaders missed: in buckets that still hold more than one component,
-   every node outside the bucket's largest component is compared with the nodes
-   of its other components.  No bucket is capped.  Pairs whose lengths alone rule
-   0.8 out (exact), or whose signatures agree in far too few bits (odds of 1 in
-   20,000 at 0.8), are left out.  Components are formed again.
+4. What the leaders missed is compared in full: in buckets that still hold more than
+   one component, every node outside the bucket's largest component with the nodes
+   of the other components, block of nodes against block of nodes, so that only
+   verified links leave a task.  No bucket is capped.  Left out are pairs whose
+   lengths alone rule 0.8 out (exact) and those whose signatures agree in fewer
+   than ``AGREE`` of all slots (odds of 1 in 100,000 at 0.8).
 
 The row with the smallest identifier (null last) of a class stays.  Texts without
 words, null ones among them, are one class; texts of fewer than five words have
@@ -35,12 +36,17 @@ from pagewright.llm.shingles import bag_min_hashes, bags, fingerprints, mixed, w
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Slots whose lowest bits have to agree, of all: at 0.8 nine in ten do.
-AGREE = 98
+#: Slots in which signatures have to agree; 100 of 125 are expected at 0.8.
+AGREE = 80
+#: Nodes of a block in full comparisons.
+BLOCK = 2_048
+#: A sketch has eight bits of each slot, seven slots to a number.
+LANES = 7
+_ONES, _TOPS = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """Rows with their fingerprints one and two, shingles n, bands and bits a and b."""
+    """Rows with their fingerprints one and two, shingles n, bands and sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = BANDS * ROWS
@@ -57,25 +63,27 @@ def _signed(rows: DataFrame) -> DataFrame:
                 bands = np.repeat(salts[None, :], n, axis=0)
                 for k in range(ROWS):
                     bands = mixed(bands * np.uint64(31) + values[:, k::ROWS])
-                bits = (values & np.uint64(1)).astype(np.uint8)
-                packed = np.packbits(np.pad(bits, ((0, 0), (0, 128 - slots))), axis=1)
-                halves = packed.view(">i8").astype(np.int64)
+                low = np.pad(values & np.uint64(255), ((0, 0), (0, -slots % LANES))).reshape(n, -1, LANES)
+                sketch = (low << (np.arange(LANES, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64)
                 total = np.bincount(text, count, n).astype(np.int64)
-                ends = np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.view(np.int64).ravel()))
-                columns = [one, two, total, listed, halves[:, 0].copy(), halves[:, 1].copy()]
+                columns = [one, two, total, _lists(bands), _lists(sketch)]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(ROW), piece.column("id"), piece.column("line")]
                     + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-                    [ROW, "id", "line", "one", "two", "n", "bands", "a", "b"],
+                    [ROW, "id", "line", "one", "two", "n", "bands", "sketch"],
                 )
 
-    more = "one long, two long, n long, bands array<long>, a long, b long"
+    more = "one long, two long, n long, bands array<long>, sketch array<long>"
     return rows.mapInArrow(sign, schema_of(rows, [ROW, "id", "line"], more))
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    ends = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64).ravel()))
+
+
 def _bags_of(nodes: DataFrame) -> DataFrame:
-    """(node, shingles, counts) of nodes with their text."""
+    """(node, shingles) of nodes with their text; a repeated shingle has a hash for each time."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,42 +91,34 @@ def _bags_of(nodes: DataFrame) -> DataFrame:
                 piece = batch.slice(at, 512)
                 words, per_text = word_hashes(piece.column("text"))
                 text, shingle, count = bags(words, per_text, WORDS)
+                time = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                text, shingle = np.repeat(text, count), np.repeat(shingle, count)
+                again = mixed(shingle.astype(np.uint64) * np.uint64(2 * BANDS + 1) + time.astype(np.uint64))
+                shingle = np.where(time > 0, again.view(np.int64), shingle)
+                order = np.lexsort((shingle, text))
                 ends = pa.array(np.searchsorted(text, np.arange(piece.num_rows + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("node"),
-                        pa.ListArray.from_arrays(ends, pa.array(shingle)),
-                        pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
-                    ],
-                    ["node", "shingles", "counts"],
-                )
+                listed = pa.ListArray.from_arrays(ends, pa.array(shingle[order]))
+                yield pa.RecordBatch.from_arrays([piece.column("node"), listed], ["node", "shingles"])
 
-    return nodes.mapInArrow(make, "node long, shingles array<long>, counts array<int>")
+    return nodes.mapInArrow(make, "node long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) of nodes whose bags overlap enough."""
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
     found = stored(_bags_of(texts.join(wanted, "node", "left_semi")), "bags")
-    side = lambda k: found.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"), F.col("counts").alias(f"c{k}"))
+    side = lambda k: found.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = {k: (batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in ("sx", "sy", "cx", "cy")}
+            lists = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in ("sx", "sy")]
             alike = np.zeros(batch.num_rows, bool)
-
-            def of(k, i):
-                ends, values = lists[k]
-                return values[ends[i] : ends[i + 1]]
-
             for i in range(batch.num_rows):
-                a, b = of("sx", i), of("sy", i)
+                a, b = (values[ends[i] : ends[i + 1]] for ends, values in lists)
                 where = np.searchsorted(b, a)
                 where[where == len(b)] = 0
-                both = b[where] == a if len(b) else np.zeros(len(a), bool)
-                ca, cb = of("cx", i), of("cy", i)
-                less = np.minimum(ca[both], cb[where[both]]).sum()
-                alike[i] = less >= similarity * (ca.sum() + cb.sum() - less) - 1e-9
+                both = int((b[where] == a).sum()) if len(b) else 0
+                alike[i] = both >= similarity * (len(a) + len(b) - both) - 1e-9
             yield pa.RecordBatch.from_arrays(
                 [batch.column("x").filter(pa.array(alike)), batch.column("y").filter(pa.array(alike))], ["x", "y"]
             )
@@ -155,10 +155,88 @@ def _near_enough(x: str, y: str, similarity: float):
     """Lengths that allow the similarity, and signatures that do not speak against it."""
     shorter = F.least(f"{x}.n", f"{y}.n")
     longer = F.greatest(f"{x}.n", f"{y}.n")
-    differ = F.bit_count(F.col(f"{x}.a").bitwiseXOR(F.col(f"{y}.a"))) + F.bit_count(
-        F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b"))
+    lanes = -(-BANDS * ROWS // LANES)
+    agree = F.lit(-(-BANDS * ROWS % LANES))  # lanes without a slot agree always
+    for i in range(lanes):
+        t = F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))
+        # The top bit of each lane is set unless the lane of t is zero.
+        some = (t.bitwiseAND(F.lit(_ONES)) + F.lit(_ONES)).bitwiseOR(t).bitwiseAND(F.lit(_TOPS))
+        agree = agree + F.lit(LANES) - F.bit_count(some)
+    return (shorter >= longer * similarity - 1e-9) & (agree >= AGREE)
+
+
+def _compared(rows: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """Comparison of the nodes outside each bucket's largest component with all others.
+
+    With ``exact``, the links (x, y) by shingles; else (bucket, node) of the nodes
+    that signatures do not rule out.  A large bucket is cut into blocks, and every
+    two blocks meet in a task of their own.  A pair counts in its first common bucket.
+    """
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    dealt = (
+        rows.join(blocks, "bucket")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    return (shorter >= longer * similarity - 1e-9) & (differ <= BANDS * ROWS - AGREE)
+
+    def compare(key, table):
+        bucket, i, j = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        n, node, label, block = (table[c].to_numpy() for c in ("n", "node", "label", "own"))
+        outside = label != table["largest"].to_numpy()
+        lists = lambda c: table[c].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        sketch, bands = np.ascontiguousarray(lists("sketch")).view(np.uint8), lists("bands")
+        here = int(np.flatnonzero(bands[0] == bucket)[0])
+        before = bands[:, :here]
+        if exact:
+            shingles = table["shingles"].combine_chunks()
+            values, ends = shingles.flatten().to_numpy(), np.cumsum(np.append(0, n))
+        needed = AGREE + sketch.shape[1] - BANDS * ROWS
+        found, seen = [], np.zeros(len(node), bool)
+        for x in np.flatnonzero(outside).tolist():
+            may = (label != label[x]) & (~outside | (node > node[x]))
+            may &= (np.minimum(n, n[x]) >= np.maximum(n, n[x]) * similarity - 1e-9)
+            if i != j:
+                may &= block != block[x]
+            some = np.flatnonzero(may)
+            some = some[(sketch[some] == sketch[x]).sum(axis=1) >= needed]
+            some = some[~(before[some] == before[x]).any(axis=1)]
+            if not len(some):
+                continue
+            if not exact:
+                seen[some] = seen[x] = True
+                continue
+            mine = values[ends[x] : ends[x + 1]]
+            sizes = n[some]
+            starts = np.cumsum(sizes) - sizes
+            theirs = values[np.repeat(ends[some] - starts, sizes) + np.arange(sizes.sum())]
+            where = np.searchsorted(mine, theirs)
+            where[where == len(mine)] = 0
+            both = np.add.reduceat((mine[where] == theirs).astype(np.int64), starts)
+            alike = both >= similarity * (n[x] + sizes - both) - 1e-9
+            found += [(node[x], y) for y in node[some[alike]]]
+        if exact:
+            return pa.table({k: pa.array([f[c] for f in found], pa.int64()) for c, k in enumerate("xy")})
+        nodes = node[seen]
+        return pa.table({"bucket": pa.array(np.full(len(nodes), bucket)), "node": pa.array(nodes)})
+
+    kind = "x long, y long" if exact else "bucket long, node long"
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, kind).distinct()
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels of components after more links (x, y) between nodes."""
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    between = links.join(side("x"), "x", "left").join(side("y"), "y", "left").select(
+        F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y")
+    )
+    # A node without a label so far is its own component.
+    now = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(now, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = now.select(F.col("label").alias("node"), F.col("to").alias("label")).join(labels, "node", "left_anti")
+    return stored(old.unionByName(new), "labels")
 
 
 def near_duplicates(
@@ -180,18 +258,17 @@ def near_duplicates(
     # The row that stands for its node: fingerprints, lengths and bands of all others are the same.
     heads = signed.join(nodes.select(F.col("node").alias("line")), "line", "left_semi")
     texts = heads.select(F.col("line").alias("node"), known(F.col(ROW).getField(text)).alias("text"))
-    banded = stored(
-        heads.where("n > 0").select(
-            F.col("line").alias("node"), "n", "a", "b",
-            F.floor(F.log("n") / F.log(F.lit(1 / similarity))).cast("int").alias("class"),
-            F.explode("bands").alias("bucket"),
-        ),
-        "bands",
+    kinds = heads.where("n > 0").select(
+        F.col("line").alias("node"), "n", "sketch",
+        F.floor(F.log("n") / F.log(F.lit(1 / similarity))).cast("int").alias("class"), "bands",
     )
+    banded = stored(kinds.select("node", F.explode("bands").alias("bucket")), "bands")
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("nodes")).where("nodes > 1").select("bucket")
-    shared = stored(banded.join(crowded, "bucket"), "shared")
-    lead = F.min_by(F.struct("node", "n", "a", "b"), "node").alias("y")
-    leaders = shared.groupBy("bucket", "class").agg(lead)
+    members = banded.join(crowded, "bucket")
+    shared = stored(members.join(kinds.drop("bands"), "node"), "shared")
+
+    leader = F.min_by(F.struct("node", "n", "sketch"), "node").alias("y")
+    leaders = shared.groupBy("bucket", "class").agg(leader)
     # A leader is met by its own length class and by the next one.
     meet = leaders.select("bucket", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "y")
     stars = stored(
@@ -201,12 +278,9 @@ def near_duplicates(
         .distinct(),
         "stars",
     )
-    links = stored(_verified(stars, texts, similarity), "links")
-    labels = stored(components(links), "labels")
+    labels = stored(components(_verified(stars, texts, similarity)), "labels")
 
-    parted = stored(
-        shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "parted"
-    )
+    parted = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = parted.groupBy("bucket", "label").agg(F.count("*").alias("nodes"))
     largest = (
         sizes.groupBy("bucket")
@@ -214,22 +288,13 @@ def near_duplicates(
         .where("parts > 1")
         .select("bucket", "largest")
     )
-    mixed_ = stored(parted.join(largest, "bucket"), "mixed")
-    outside = mixed_.where("label <> largest").alias("x")
-    others = mixed_.drop("largest").alias("y")
-    more = (
-        outside.join(others, "bucket")
-        .where(
-            (F.col("x.label") != F.col("y.label"))
-            & ((F.col("y.label") == F.col("x.largest")) | (F.col("x.node") < F.col("y.node")))
-            & _near_enough("x", "y", similarity)
-        )
-        .select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
-        .distinct()
-        .join(stars, ["x", "y"], "left_anti")
-    )
-    rest = stored(_verified(stored(more, "more"), texts, similarity), "links")
-    labels = stored(components(links.union(rest)), "labels")
+    apart = stored(parted.join(largest, "bucket"), "apart")
+    full = apart.join(kinds.select("node", "bands"), "node").drop("class")
+    involved = stored(_compared(full, similarity, exact=False), "involved")
+    left = full.join(involved, ["bucket", "node"], "left_semi")
+    bags_ = stored(_bags_of(texts.join(involved.select("node").distinct(), "node", "left_semi")), "bags")
+    links = stored(_compared(left.join(bags_, "node"), similarity, exact=True), "links")
+    labels = _relabelled(labels, links)
 
     classed = signed.select(ROW, "id", "line", *key).join(nodes, key).join(labels, "node", "left")
     classed = classed.withColumn("label", F.coalesce("label", "node")).select(ROW, "id", "line", "label")

@@ -39,7 +39,7 @@ from pagewright.llm.frames import ROW, boxed, known, schema_of, unboxed
 N_BEST = 4
 BLANK = "▁"
 #: Words longer than this are searched one by one; words searched together; words remembered.
-SHORT, TOGETHER, REMEMBERED = 24, 4_096, 400_000
+SHORT, TOGETHER, REMEMBERED = 24, 2_048, 200_000
 #: How much worse than the worst piece a character in bytes is.
 BYTES_PENALTY = 10.0
 _SPELLED = -2  # a character in bytes, in place of a piece's id
@@ -388,8 +388,8 @@ def encode_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(vocabulary, n, all_ids)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_024):
-                piece = batch.slice(at, 1_024)
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
                 ids, sizes, scores, choices = segmenter.segment(piece.column("text"))
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(

@@ -134,7 +134,10 @@ def shard_documents(
     # The documents of a (group, first shard), in the order of their ids, are dealt to its flows.
     own = Window.partitionBy("group", "origin")
     ends = F.sum("n").over(own.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    flows = flows.withColumn("end", ends).withColumn("begin", F.col("end") - F.col("n"))
+    places = F.size(F.collect_set("shard").over(Window.partitionBy("group")))  # at most one for each shard
+    flows = (
+        flows.withColumn("end", ends).withColumn("begin", F.col("end") - F.col("n")).withColumn("split", places > 1)
+    )
     turn = narrow.withColumn("turn", F.row_number().over(own.orderBy("id", "line")) - 1)
     dealt = turn.alias("d").join(
         flows.alias("f"),
@@ -144,9 +147,16 @@ def shard_documents(
         & (F.col("turn") < F.col("end")),
         "left",
     )
-    placed = stored(dealt.select("id", "size", "crc", "line", F.col("f.shard").alias("shard")), "placed")
+    placed = stored(
+        dealt.select("id", "size", "crc", "line", F.col("f.shard").alias("shard"), "split"), "placed"
+    )
 
-    ranked = stored(rank_within(placed.where("shard IS NOT NULL"), ["shard"], ["id", "line"], "slot", total), "linked")
+    # Groups that are in one shard come first, so that they are not the ones above the quota.
+    linked = placed.where("shard IS NOT NULL")
+    whole = {r["shard"]: r["n"] for r in linked.where("NOT split").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    after = F.when(F.col("split"), _per_shard({s: whole.get(s, 0) for s in quotas})).otherwise(0)
+    ranked = rank_within(linked, ["shard", "split"], ["id", "line"], "turn", total)
+    ranked = stored(ranked.withColumn("slot", (F.col("turn") + after).cast("long")).drop("turn", "split"), "linked")
     stay = F.col("slot") < _per_shard(quotas)
     kept = ranked.where(stay)
     held = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}
