@@ -12,7 +12,7 @@ each label, the first by hash, each weighing as many as it stands for.  Every
 document is then scored, whole.  Since all layers up to the softmax are linear
 and there are two labels, a text's score is the sigmoid of the mean of one
 number for each n-gram, and only those numbers (``BUCKETS`` of them) are shipped.  A smaller sample is read more often:
-training takes ``STEPS`` steps.
+training takes ``STEPS`` steps, but no sample is read more than ``PASSES`` times.
 
 Null and empty texts have no words: their score is that of the bias alone.  With
 no labelled documents every score is 0, with one label only it is that label.  A
@@ -35,7 +35,7 @@ from pagewright.llm.frames import ROW, boxed, known, schema_of, unboxed
 #: Most training documents of each label.
 PER_LABEL = 2_500
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 4, (3, 4, 5, 6)
-STEPS, BATCH, SEED = 640, 128, 4
+STEPS, PASSES, BATCH, SEED = 640, 40, 128, 4
 #: Words without meaning that each text has besides its own, so that one odd word
 #: of a short text does not decide alone.
 BLANKS = 20
@@ -154,7 +154,7 @@ def fit(
     params = [table, layer, bias]
     seen = [np.full_like(p, f) for p, f in zip(params, FLOORS)]
     weights = np.asarray(weights, float) / np.mean(weights)
-    epochs = -(-steps // -(-len(labels) // BATCH))
+    epochs = min(PASSES, -(-steps // -(-len(labels) // BATCH)))
     for epoch in range(epochs):
         order = draw.permutation(len(labels))
         rate = 1 - epoch / epochs
