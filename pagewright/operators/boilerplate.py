@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
 from pagewright.functions import text as tx
-from pagewright.plans.joins import lookup
 from pagewright.plans.materialize import materialize
 from pagewright.plans.once import with_once
 
@@ -36,7 +35,7 @@ def repeated_lines(
         )
     )
     return (
-        lookup(counts, books, [book], salt_by=F.col("line"), how="inner")
+        counts.join(books, [book])
         .where(F.col("pages_with_line") >= F.col("__needed"))
         .select(book, "line", "pages_with_line")
     )
@@ -57,6 +56,6 @@ def drop_boilerplate(
         "boilerplate",
     )
     none = F.array().cast("array<string>")
-    joined = lookup(pages, blocked, [book], salt_by=F.col(page))
+    joined = pages.join(blocked, [book], "left")
     dropped = tx.drop_lines(F.col(text), F.coalesce("__blocked", none))
     return with_once(joined, text, dropped).drop("__blocked").select(*pages.columns)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
 from pagewright.functions.answers import page_mentions
-from pagewright.plans.joins import lookup
 
 
 def printed_page(page: Column, offset: Column) -> Column:
@@ -16,10 +15,10 @@ def printed_page(page: Column, offset: Column) -> Column:
     return F.when(shifted >= 1, shifted).otherwise(page)
 
 
-def with_printed_pages(rows: DataFrame, offsets: DataFrame, salt_by: Column) -> DataFrame:
+def with_printed_pages(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     """Translate page_start and page_end; ``offsets``: source_file, offset."""
     valid = offsets.where(F.col("offset") >= 0).select("source_file", F.col("offset").alias("__offset"))
-    joined = lookup(rows, valid, ["source_file"], salt_by=salt_by)
+    joined = rows.join(valid, ["source_file"], "left")
     for column in ("page_start", "page_end"):
         joined = joined.withColumn(column, printed_page(F.col(column), F.col("__offset")))
     return joined.drop("__offset")

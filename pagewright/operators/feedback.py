@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.messages import rating_in_range
 from pagewright.operators.index import latest
-from pagewright.plans.joins import lookup
 from pagewright.plans.ordered import prefix_sum
 
 ANSWER_COLUMNS = (
@@ -57,11 +56,11 @@ def latest_names(answers: DataFrame) -> DataFrame:
     )
 
 
-def fill_names(rows: DataFrame, names: DataFrame, user: str, name: str, salt_by) -> DataFrame:
+def fill_names(rows: DataFrame, names: DataFrame, user: str, name: str) -> DataFrame:
     """Fill missing names from the latest one known for the same person."""
     known = names.withColumnRenamed("user_id", user)
     return (
-        lookup(rows, known, [user], salt_by=salt_by)
+        rows.join(known, [user], "left")
         .withColumn(name, F.coalesce(name, "latest_name"))
         .drop("latest_name")
     )

@@ -43,7 +43,7 @@ def with_passages(
         chunks,
         ["text", "subject", "grade", "book_title", "source_file", "page_start", "page_end"],
     )
-    printed = with_printed_pages(found, offsets, salt_by=F.col("chunk_id")).withColumn(
+    printed = with_printed_pages(found, offsets).withColumn(
         "citation", citation(F.col("book_title"), F.col("page_start"), F.col("page_end"))
     )
     gathered = gather_passages(

@@ -9,7 +9,6 @@ from pagewright.operators.catalog import accepted, infer_books
 from pagewright.operators.chunking import chunk_pages
 from pagewright.operators.embedding import embed
 from pagewright.operators.index import not_indexed_yet, with_chunk_id
-from pagewright.plans.joins import lookup
 from pagewright.settings import Settings
 
 
@@ -29,18 +28,14 @@ def ingest(
     ``pages``: cleaned rows of path, page_number, text.  ``books``: path, grade,
     subject, book_title, source_file, one row per file.
     """
-    known = lookup(pages, books.select("path"), ["path"], salt_by=F.col("page_number"), how="left_semi")
+    known = pages.join(books.select("path"), ["path"], "left_semi")
     chunks = chunk_pages(
         known,
         ["path"],
         chunk_size=settings.chunk_size,
         chunk_overlap=settings.chunk_overlap,
     )
-    described = lookup(
-        chunks,
-        books.select("path", "grade", "subject", "book_title", "source_file"),
-        ["path"],
-        salt_by=F.col("chunk_index"),
-        how="inner",
+    described = chunks.join(
+        books.select("path", "grade", "subject", "book_title", "source_file"), ["path"]
     ).drop("path")
     return with_chunk_id(described).withColumn("embedding", embedder(F.col("text")))

@@ -382,14 +382,13 @@ def unmeasured_books(spark, sf_dir):
     """
 )
 def sampled_pages(spark, sf_dir):
-    from pagewright.plans.joins import lookup
     from pagewright.plans.ordered import prefix_sum
 
     pages = table(spark, sf_dir, "documents").select("source", "doc_id")
     totals = pages.groupBy("source").agg(F.count("*").alias("total"))
     numbered = prefix_sum(pages, ["source"], "doc_id", F.lit(1), "i")
     return (
-        lookup(numbered, totals, ["source"], salt_by=F.col("doc_id"))
+        numbered.join(totals, ["source"], "left")
         .where(po.sampled(F.col("i"), F.col("total")))
         .select("source", "doc_id")
     )
@@ -417,7 +416,7 @@ def printed_pages(spark, sf_dir):
         "doc_id", F.col("source").alias("source_file"), start.alias("page_start"),
         F.when(F.col("doc_id") % 3 > 0, start + F.col("doc_id") % 2).alias("page_end"),
     )
-    return ci.with_printed_pages(pages, offsets, salt_by=F.col("doc_id")).select(
+    return ci.with_printed_pages(pages, offsets).select(
         "doc_id", "page_start", "page_end",
         ci.citation(F.col("source_file"), F.col("page_start"), F.col("page_end")).alias("citation"),
     )

@@ -128,7 +128,7 @@ def latest_names(spark, sf_dir):
 def report_names(spark, sf_dir):
     """Every report with a name for its reporter."""
     filled = fb.fill_names(
-        _reports(spark, sf_dir), fb.latest_names(_answers(spark, sf_dir)), "reporter_id", "reporter_name", salt_by=F.col("report_id")
+        _reports(spark, sf_dir), fb.latest_names(_answers(spark, sf_dir)), "reporter_id", "reporter_name"
     )
     reporter = F.coalesce("reporter_name", F.concat(F.lit("(mã "), "reporter_id", F.lit(")")))
     return filled.select("report_id", reporter.alias("reporter"))

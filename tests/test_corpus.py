@@ -10,7 +10,6 @@ from pagewright.operators import citations as ci
 from pagewright.operators import index as ix
 from pagewright.operators import page_offsets as po
 from pagewright.plans.ingest import ingest, plan_files
-from pagewright.plans.joins import lookup
 from pagewright.settings import Settings
 from pagewright.sources import books as bk
 from pagewright.sources import tables as tb
@@ -29,14 +28,6 @@ def test_repeated_lines_and_drop(spark):
     assert kept[("b", 0)] == f"nội dung trang 0\n\n{'x' * 90}" and kept[("two", 1)] == "Đầu trang\nnội dung"
 
 
-def test_lookup_beyond_the_broadcast_limit(spark):
-    rows = spark.range(0, 4000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
-    dim = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small = lookup(rows, dim, ["k"], salt_by=F.col("id"))
-    large = lookup(rows, dim, ["k"], salt_by=F.col("id"), max_broadcast_rows=10, salts=4)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-
-
 def test_filenames(spark):
     rows = [
         ("raw/9/SGKToan9tapmot.pdf", 9, "Toán", "Toán 9 - tập 1"),
