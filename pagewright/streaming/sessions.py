@@ -50,7 +50,9 @@ def track_scope(events: DataFrame, keep: int) -> DataFrame:
 
     ``events``: channel, user_id, seq, grade, subject (NULL unless the message
     sets them), clear (true for a command that empties the history), role,
-    content, answer_id.  One state row per session and batch.
+    content, answer_id.  One state row per session and batch.  A message that comes
+    in a later batch than messages sent after it is left out, so it cannot bring back
+    an older scope.
     """
     output = "channel string, user_id string, grade int, subject string, last_answer_id bigint, contents array<string>"
 
@@ -58,27 +60,28 @@ def track_scope(events: DataFrame, keep: int) -> DataFrame:
         empty = (-1, None, None, None, [], [], [])
         seen, grade, subject, answer, seqs, roles, contents = state.get if state.exists else empty
         seqs, roles, contents = list(seqs), list(roles), list(contents)
-        for batch in batches:
-            rows = batch.sort_values("seq").astype(object)
-            rows = rows.where(rows.notna(), None)
-            for row in rows.itertuples(index=False):
-                seen = max(seen, row.seq)
-                moved = (
-                    row.clear
-                    or (row.grade is not None and row.grade != grade)
-                    or (row.subject is not None and row.subject != subject)
+        # A session's messages of one micro-batch, in order however they are cut into Arrow batches.
+        rows = pd.concat(list(batches)).sort_values("seq")
+        rows = rows[rows["seq"] > seen].astype(object)
+        rows = rows.where(rows.notna(), None)
+        for row in rows.itertuples(index=False):
+            seen = int(row.seq)
+            moved = (
+                row.clear
+                or (row.grade is not None and row.grade != grade)
+                or (row.subject is not None and row.subject != subject)
+            )
+            if moved:
+                seqs, roles, contents, answer = [], [], [], None
+            grade = grade if row.grade is None else int(row.grade)
+            subject = subject if row.subject is None else row.subject
+            if row.content is not None:
+                seqs, roles, contents = (
+                    [*seqs, seen][-keep:],
+                    [*roles, row.role][-keep:],
+                    [*contents, row.content][-keep:],
                 )
-                if moved:
-                    seqs, roles, contents, answer = [], [], [], None
-                grade = grade if row.grade is None else int(row.grade)
-                subject = subject if row.subject is None else row.subject
-                if row.content is not None:
-                    seqs, roles, contents = (
-                        [*seqs, row.seq][-keep:],
-                        [*roles, row.role][-keep:],
-                        [*contents, row.content][-keep:],
-                    )
-                answer = answer if row.answer_id is None else int(row.answer_id)
+            answer = answer if row.answer_id is None else int(row.answer_id)
         state.update((seen, grade, subject, answer, seqs, roles, contents))
         yield pd.DataFrame(
             [(*keys, grade, subject, answer, contents)],

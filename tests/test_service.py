@@ -188,6 +188,22 @@ def test_streamed_scope(spark, tmp_path):
     ]
 
 
+def test_streamed_scope_keeps_the_order_of_messages(spark, tmp_path):
+    schema = "channel string, user_id string, seq bigint, grade int, subject string, role string, content string, answer_id bigint, clear boolean"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for name, seqs in (("1.json", [5, 6, 1, 2, 3, 4]), ("2.json", [0, 7])):
+            rows = [{"channel": "c", "user_id": "u", "seq": i, "role": "user", "content": f"m{i}", "grade": 6 if i else 9} for i in seqs]
+            (tmp_path / "in").mkdir(exist_ok=True)
+            (tmp_path / "in" / name).write_text("\n".join(map(json.dumps, rows)))
+            stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+            run_to_table(track_scope(stream, 3), str(tmp_path / "out"), str(tmp_path / "cp"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    states = spark.read.parquet(str(tmp_path / "out")).orderBy("batch_id").collect()
+    assert [(r["grade"], list(r["contents"])) for r in states] == [(6, ["m4", "m5", "m6"]), (6, ["m5", "m6", "m7"])]
+
+
 def test_settings(monkeypatch):
     assert Settings().history_messages == 12
     for bad in ({"top_k": 0}, {"top_k": 21}, {"chunk_size": 300, "chunk_overlap": 300}, {"max_distance": 0}, {"session_max_turns": 0}, {"chunk_size": 10}):
