@@ -39,7 +39,7 @@ from pagewright.llm.frames import ROW, boxed, known, schema_of, unboxed
 N_BEST = 4
 BLANK = "▁"
 #: Words longer than this are searched one by one; words searched together; words remembered.
-SHORT, TOGETHER, REMEMBERED = 24, 2_048, 200_000
+SHORT, TOGETHER, REMEMBERED = 24, 1_024, 100_000
 #: How much worse than the worst piece a character in bytes is.
 BYTES_PENALTY = 10.0
 _SPELLED = -2  # a character in bytes, in place of a piece's id
