@@ -2,16 +2,20 @@
 
 Documents with equal texts are linked.  A document's first label is a shard by
 hash.  In each round the documents of a group propose to move to the shard where
-most of their neighbours are, among the shards with room; a shard accepts the
-share of the proposals that its quota of rows allows, drawn by seeded hash, so a
-group that is larger than a shard fills one after another.  Rounds end when
-nothing moves.  The neighbours of a document are counted by (group, shard), and
+most of their neighbours are, or to the few such shards that together hold the group.
+Groups larger than a shard fill shards one after another before.  Proposals from shard to shard are matched with those the other
+way and around cycles, which changes no load; the rest is accepted as the quotas of
+rows and the departures allow.  Exactly so many move, drawn by seeded hash.  Each move
+brings a group closer together, and rounds end when nothing moves, neither when any
+shard may be proposed nor when only those with room may.  The neighbours of a document are counted by (group, shard), and
 documents of a group that began and are in the same shard are alike, so rounds
 join and sum one small row for each (group, first shard, shard), however many
 documents it stands for.  A group with a third of all rows has at most
 shards x shards such rows.
 
-At the end the counts are made exact: rows above a shard's quota and documents
+Groups that are then still split, though a shard would hold them, are dealt whole, one
+after another, to the rows left open, so that only one of them for each border of two
+shards stays split.  At the end the counts are made exact: rows above a shard's quota and documents
 without links, which cost no edge anywhere, fill what room is left.  Slots are
 gapless ranks, made from hashed buckets and their counts.
 
@@ -25,11 +29,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.frames import ROW, known, rank_within, stored, unboxed
+from pagewright.llm.frames import ROW, known, pieces_of, rank_within, stored, unboxed
 
 SHARDS = 24
-#: Most rounds of label propagation.
-ROUNDS = 12
+#: Most rounds of label propagation; None: until nothing moves.
+ROUNDS = None
 SEED = 10
 #: Bytes a stored document has besides its text.
 OVERHEAD = 8
@@ -42,8 +46,154 @@ def _per_shard(values: dict[int, int], shard: str = "shard"):
     )
 
 
+def matched(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many of the documents that ask to go from shard to shard may go.
+
+    What leaves a shard makes room there: flows there and back are matched first, then
+    longer cycles, neither of which changes a load.  What is left has no cycle, and is
+    let in from its ends backwards, as far as ``room`` (quota minus load, which may be
+    negative) and the departures settled before allow.
+    """
+    left: dict[int, dict[int, int]] = {s: {} for s in room}
+    for (i, j), n in sorted(asked.items()):
+        left[i][j] = n
+    taken: dict[tuple[int, int], int] = {}
+
+    def take(i: int, j: int, n: int) -> None:
+        taken[i, j] = taken.get((i, j), 0) + n
+        left[i][j] -= n
+        if not left[i][j]:
+            del left[i][j]
+
+    for i, j in sorted(asked):
+        both = min(asked[i, j], asked.get((j, i), 0))
+        if i < j and both:
+            take(i, j, both)
+            take(j, i, both)
+    ends: dict[int, None] = {}  # shards whose flows lead to earlier ones only
+    for start in room:
+        path = [] if start in ends else [start]
+        while path:
+            to = next((j for j in left[path[-1]] if j not in ends), None)
+            if to is None:
+                ends[path.pop()] = None
+            elif to in path:
+                cycle = path[path.index(to) :]
+                arcs = list(zip(cycle, [*cycle[1:], to]))
+                n = min(left[i][j] for i, j in arcs)
+                for i, j in arcs:
+                    take(i, j, n)
+                del path[path.index(to) + 1 :]
+            else:
+                path.append(to)
+    free = dict(room)
+    for j in ends:
+        for i in room:
+            n = min(free[j], left[i].get(j, 0))
+            if n > 0:
+                take(i, j, n)
+                free[i] += n
+                free[j] -= n
+    return taken
+
+
+def _wishes(flows: DataFrame, capacity: dict[int, int], held: bool, seed: int) -> DataFrame:
+    """``flows`` with to, the shard their documents ask to go to, or null.
+
+    The homes of a group are its largest shards among those with a ``capacity``, as many
+    as hold it; ``held``: besides what the group has there.
+    """
+    at = flows.repartition("group").groupBy("group", "origin", "shard").agg(F.sum("n").alias("n"))
+    own = F.sum("n").over(Window.partitionBy("group", "shard"))
+    weight = F.struct(F.col("own").alias("n"), F.xxhash64(F.lit(seed), "group", "shard").alias("turn"), "shard")
+    every = Window.partitionBy("group")
+    at = at.withColumn("own", own).select(
+        "*", F.sum("n").over(every).alias("all"), F.sort_array(F.collect_set(weight).over(every), False).alias("tallies")
+    )
+    if not capacity:
+        return at.select("group", "origin", "shard", "n", F.lit(None).cast("int").alias("to"))
+    fits = lambda x: F.element_at(
+        F.create_map(*[F.lit(v) for s, c in capacity.items() for v in (s, int(c))]), x["shard"]
+    ).cast("long") + (x["n"] if held else F.lit(0))
+    at = at.withColumn("open", F.filter("tallies", lambda x: x["shard"].isin(*map(int, capacity))))
+    before = lambda i: F.aggregate(F.slice("open", 1, i), F.lit(0).cast("long"), lambda s, x: s + fits(x))
+    homes = F.when(fits(F.get("open", F.lit(0))) >= F.col("all"), F.slice("open", 1, 1)).otherwise(
+        F.filter("open", lambda x, i: before(i) < F.col("all"))
+    )
+    at = at.withColumn("homes", homes)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "group", "origin", "shard"), F.greatest(F.size("homes"), F.lit(1)).cast("long"))
+    at = at.withColumn("home", F.get("homes", draw.cast("int")))
+    stays = F.exists("homes", lambda x: x["shard"] == F.col("shard"))
+    to = F.when(~stays & (F.col("home.n") >= F.col("own")), F.col("home.shard"))
+    return at.select("group", "origin", "shard", "n", to.alias("to"))
+
+
+def _running(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """``df`` with begin: the sum of n over the rows of the same keys before, in hashed buckets by the
+    first column of ``order``."""
+    cut = df.withColumn("bucket", F.pmod(F.xxhash64(order[0]), F.lit(pieces_of(rows, 20_000))).cast("int"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        cut.groupBy(*keys, "bucket")
+        .agg(F.sum("n").alias("m"))
+        .select(*keys, "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"))
+    )
+    inside = Window.partitionBy(*keys, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(starts, [*keys, "bucket"])
+    return cut.withColumn("begin", F.col("start") + F.col("inside")).drop("bucket", "start", "inside")
+
+
+def _dealt(cells: DataFrame, rooms: dict[int, int], rows: int) -> DataFrame:
+    """(group, origin, shard, n): the groups of ``cells`` (group, origin, n) one after another in the rooms."""
+    pieces, opens = [], 0
+    for s, room in rooms.items():
+        first, last = F.lit(opens).cast("long"), F.lit(opens + max(0, room)).cast("long")
+        n = F.least(F.col("begin") + F.col("n"), last) - F.greatest("begin", first)
+        pieces.append(F.struct(F.lit(s).alias("shard"), n.alias("n")))
+        opens += max(0, room)
+    line = _running(cells.withColumn("one", F.lit(0)), ["one"], ["group", "origin"], rows)
+    line = line.select("group", "origin", F.explode(F.array(*pieces)).alias("x"))
+    return line.select("group", "origin", "x.shard", "x.n").where("n > 0")
+
+
+def _closed_up(flows: DataFrame, quotas: dict[int, int]) -> DataFrame:
+    """``flows`` with the groups that are still split, though a shard would hold them, dealt one after
+    another to the open rows of all shards; only those on the border of two shards are split again."""
+    every = Window.partitionBy("group")
+    at = flows.repartition("group").groupBy("group", "origin", "shard").agg(F.sum("n").alias("n"))
+    fits = (F.size(F.collect_set("shard").over(every)) > 1) & (F.sum("n").over(every) <= max(quotas.values()))
+    at = stored(at.withColumn("again", fits), "labels")
+    sums = at.groupBy("shard", "again").agg(F.sum("n").alias("n")).collect()
+    again = sum(r["n"] for r in sums if r["again"])
+    kept = at.where("NOT again").select("group", "origin", "shard", "n")
+    if not again:
+        return kept
+    held = {r["shard"]: r["n"] for r in sums if not r["again"]}
+    cells = at.where("again").groupBy("group", "origin").agg(F.sum("n").alias("n"))
+    return kept.unionByName(_dealt(cells, {s: q - held.get(s, 0) for s, q in quotas.items()}, again))
+
+
+def _moved(wishes: DataFrame, moves: dict[tuple[int, int], int], rows: int, seed: int, step: int) -> DataFrame:
+    """The flows after exactly ``moves`` of the documents went where they asked to, drawn by hash."""
+    move = F.create_map(*[F.lit(x) for (i, j), n in moves.items() for x in (f"{i} {j}", int(n))])
+    most = F.coalesce(F.element_at(move, F.concat_ws(" ", "shard", "to")).cast("long"), F.lit(0).cast("long"))
+    draw = F.xxhash64(F.lit(seed), F.lit(step), "group", "origin", "shard")
+    asking = wishes.where("to IS NOT NULL").withColumn("draw", draw)
+    asking = _running(asking, ["shard", "to"], ["draw", "group", "origin"], rows)
+    going = F.least(F.greatest(most - F.col("begin"), F.lit(0)), F.col("n"))
+    both = F.explode(
+        F.array(
+            F.struct("shard", (F.col("n") - F.col("going")).alias("n")),
+            F.struct(F.col("to").alias("shard"), F.col("going").alias("n")),
+        )
+    )
+    asking = asking.withColumn("going", going).select("group", "origin", both.alias("x"))
+    asking = asking.select("group", "origin", "x.shard", "x.n").where("n > 0")
+    return wishes.where("to IS NULL").select("group", "origin", "shard", "n").unionByName(asking)
+
+
 def propagate(
-    docs: DataFrame, quotas: dict[int, int], rounds: int = ROUNDS, seed: int = SEED
+    docs: DataFrame, quotas: dict[int, int], rounds: int | None = ROUNDS, seed: int = SEED
 ) -> DataFrame:
     """(group, origin, shard, n): where the linked documents of ``docs`` (group, origin) go."""
     cells = docs.groupBy("group", "origin").agg(F.count("*").alias("n"))
@@ -52,50 +202,26 @@ def propagate(
         cells.withColumn("all", linked).where("all > 1").select("group", "origin", F.col("origin").alias("shard"), "n"),
         "labels",
     )
-    for step in range(rounds):
-        load = {r["shard"]: r["n"] for r in flows.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = {s: max(0, q - load.get(s, 0)) for s, q in quotas.items()}
-        weight = F.struct("n", F.xxhash64(F.lit(seed), "group", "shard").alias("turn"), "shard")
-        tallies = flows.groupBy("group", "shard").agg(F.sum("n").alias("n")).withColumn("weight", weight)
-        best = tallies.groupBy("group").agg(
-            F.max(F.when(_per_shard(room) > 0, F.col("weight"))).alias("best")
-        )
-        wishes = stored(
-            flows.join(tallies.select("group", "shard", "weight"), ["group", "shard"])
-            .join(best, "group")
-            .select(
-                "group", "origin", "shard", "n",
-                F.when(F.col("best") > F.col("weight"), F.col("best.shard")).alias("to"),
-            ),
-            "wishes",
-        )
-        asked = {
-            r["to"]: r["n"]
-            for r in wishes.where("to IS NOT NULL").groupBy("to").agg(F.sum("n").alias("n")).collect()
-        }
-        if not asked:
-            break
-        chance = F.element_at(
-            F.create_map(*[F.lit(x) for s, n in asked.items() for x in (s, min(1.0, room[s] / n))]), F.col("to")
-        )
-        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "group", "origin", "shard"), F.lit(1 << 20)) / (1 << 20)
-        going = wishes.withColumn(
-            "going", F.coalesce(F.floor(F.col("n") * chance + draw), F.lit(0)).cast("long")
-        ).withColumn("going", F.least("going", "n"))
-        both = F.explode(
-            F.array(
-                F.struct("shard", (F.col("n") - F.col("going")).alias("n")),
-                F.struct(F.coalesce("to", "shard").alias("shard"), F.col("going").alias("n")),
-            )
-        )
-        flows = stored(
-            going.select("group", "origin", both.alias("x"))
-            .where("x.n > 0")
-            .groupBy("group", "origin", F.col("x.shard").alias("shard"))
-            .agg(F.sum("x.n").alias("n")),
-            "labels",
-        )
-    return flows
+    # Any shard may be asked for, then, where that moves nothing, only those with room, and so in turn.
+    room, any_shard, idle, step = dict(quotas), True, 0, 0
+    while idle < 2 and (rounds is None or step < rounds):
+        capacity = quotas if any_shard else {s: r for s, r in room.items() if r > 0}
+        wishes = stored(_wishes(flows, capacity, not any_shard, seed), "wishes")
+        sums = wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()
+        room = {s: q - sum(r["n"] for r in sums if r["shard"] == s) for s, q in quotas.items()}
+        moves = matched({(r["shard"], r["to"]): r["n"] for r in sums if r["to"] is not None}, room)
+        if moves:
+            total = sum(quotas.values())
+            flows = stored(_moved(wishes, moves, total, seed, step), "labels")
+            for (i, j), n in moves.items():
+                room[i] += n
+                room[j] -= n
+            idle = 0
+        else:
+            any_shard = not any_shard
+            idle += 1
+        step += 1
+    return _closed_up(flows, quotas)
 
 
 def shard_documents(
@@ -104,7 +230,7 @@ def shard_documents(
     text: str = "text",
     ident: str = "doc_id",
     carry: bool = True,
-    rounds: int = ROUNDS,
+    rounds: int | None = ROUNDS,
     seed: int = SEED,
 ) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard.
@@ -124,12 +250,27 @@ def shard_documents(
         ),
         "documents",
     )
-    narrow = rows.drop(ROW).withColumn(
-        "origin", F.pmod(F.xxhash64(F.lit(seed), "id", "line"), F.lit(shards)).cast("int")
-    )
     total = rows.count()
     quotas = {s: total // shards + (s < total % shards) for s in range(shards)}
-    flows = propagate(narrow, quotas, rounds, seed)
+    # Groups larger than a shard, which are fewer than shards, fill shards one after another.
+    counts = rows.groupBy("group").agg(F.count("*").alias("n"))
+    large = counts.where((F.col("n") > 1) & (F.col("n") > min(quotas.values()))).collect()
+    rooms, begin = {}, sum(r["n"] for r in large)
+    for s, quota in quotas.items():
+        rooms[s] = quota - min(begin, quota)
+        begin -= quota - rooms[s]
+    draw = F.xxhash64(F.lit(seed), "id", "line")
+    narrow = rows.drop(ROW).withColumn("origin", F.pmod(draw, F.lit(shards)).cast("int"))
+    if large:
+        is_large = F.col("group").isin(*[bytes(r["group"]) for r in large])
+        among, at, first = F.pmod(draw, F.lit(max(1, sum(rooms.values())))), 0, F.lit(None).cast("int")
+        for s, room in rooms.items():
+            first, at = F.when(among >= at, s).otherwise(first) if room else first, at + room
+        narrow = narrow.withColumn("origin", F.when(is_large, F.col("origin")).otherwise(F.coalesce(first, "origin")))
+        cells = narrow.where(is_large).groupBy("group", "origin").agg(F.count("*").alias("n"))
+        flows = propagate(narrow.where(~is_large), rooms, rounds, seed).unionByName(_dealt(cells, quotas, 1))
+    else:
+        flows = propagate(narrow, quotas, rounds, seed)
 
     # The documents of a (group, first shard), in the order of their ids, are dealt to its flows.
     own = Window.partitionBy("group", "origin")
