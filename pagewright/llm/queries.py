@@ -114,7 +114,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "at", F.sha2("value", 256).alias("value_sha256"), "label", "held_out", "score", "secret"
+        "doc_id", "at", "offset", F.sha2("value", 256).alias("value_sha256"), "label", "held_out", "score", "secret"
     )
 
 

@@ -1,15 +1,19 @@
 """Secret scans: candidates by pattern, a random forest to take out the false ones.
 
-A candidate is a word that holds a run of at least ``SHORTEST`` letters, digits or
-base64 signs.  Its features are its length, its mix of characters and the changes
+A candidate is a run of at least ``SHORTEST`` letters, digits or base64 signs inside a
+word, or a value given to a name that is one of a password or token, of any length and
+any signs, with and without blanks between; also the password of an address.  A word
+can have several, each with its offset and the name nearest before it.  Its features are its length, its mix of characters and the changes
 between their kinds, how much of its letters are words of the corpus, the path
 of its document, and the words around it.  A random forest learns from labelled
 findings which candidates are secrets; all candidates are then scored.
 
 Labelled findings come with the call, as (value, label), or else from rules that
 are sure by form alone: a key with a provider's fixed prefix, or a value given to
-a name that is one of a password or token, is a secret; a value without any
-digit or without any letter, an address, a placeholder or a digest that is named so is none.  What no
+a name that is one of a password or token, with letters and digits, is a secret; a
+placeholder or a digest that is named so is none, nor is, without such a name, a value
+without any digit or without any letter or in an address.  A provider's form counts in
+an address too.  What no
 rule is sure of is left to the forest.  It learns from at most ``SAMPLE`` candidates
 of each label, the first by hash, of the documents that are not held out.
 
@@ -57,30 +61,82 @@ FEATURES = [
 ]
 
 
+#: A name of NAMES and what stands between it and its value, with and without blanks.
+_NAME = "(?i:" + NAMES.replace("(?i)", "").replace("(", "(?:") + r")[A-Za-z0-9_.\-]{0,30}[\"'`\]]{0,2}"
+_GIVEN = r"(?:[=:]{1,3}>?)"
+_GIVES, _NAMED, _SIGN = rf"{_NAME}{_GIVEN}[\"'`]?$", rf"{_NAME}$", rf"^{_GIVEN}$"
+#: An unquoted value ends where another assignment follows, or with its word.
+_VALUE = r".+?(?=[\"'`]?[,;&|?][\"'`]?[A-Za-z_][A-Za-z0-9_.\-]{0,40}[\"'`]?[=:]|[\"'`,;.)\]}>]{0,8}$)"
+_SET = (
+    rf"({_NAME}{_GIVEN})(?![{{\[(]+[\"'`])(?:(\")([^\"]+)(?=\")|(')([^']+)(?=')|([\"'`]?)({_VALUE}))"
+    r"|(://[^:/@]{0,80}:)([^/@]+)(?=@)"
+)
+#: A run inside a word, its name apart.
+_ALONE = rf"(?=[A-Za-z0-9+/_=\-]{{{SHORTEST}}})([+/_=\-]*(?:[A-Za-z_\-]{{2,30}}=+)?)([A-Za-z0-9][A-Za-z0-9+/_=\-]*)"
+_MARK, _PUT = "\x1f", "password="
+_ASSIGNS = r"([A-Za-z_][A-Za-z0-9_.\-]{0,60})[\"'`\]]{0,2}[=:]{1,3}>?[\"'`]?$"
+
+
 def candidates(docs: DataFrame, text: str, ident: str, path: str | None) -> DataFrame:
-    """(doc, at, word, name, value, before, earlier, after, path) of every candidate."""
-    words = F.split(known(text), SPACE + "+")
+    """(doc, at, offset, word, name, value, before, earlier, after, path) of every candidate."""
+    words = F.split(F.translate(known(text), _MARK, "\ufffd"), SPACE + "+")
     where = F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))
     rows = docs.select(F.col(ident).alias("doc"), where.alias("path"), words.alias("words"))
     rows = with_once(rows, "words", F.col("words"))
-    places = F.filter(
-        F.transform("words", lambda w, i: F.when(w.rlike(_RUN), i)), lambda i: i.isNotNull()
+    near = lambda i, k: F.coalesce(F.when(i + k >= 0, F.get("words", i + k)), F.lit(""))
+    given = lambda w, i: (
+        near(i, -1).rlike(_GIVES)
+        | (near(i, -1).rlike(_SIGN) & near(i, -2).rlike(_NAMED))
+        | (w.rlike(rf"^{_GIVEN}.") & near(i, -1).rlike(_NAMED))
+    ) & ~w.rlike(_SIGN)
+    places = F.transform(
+        "words",
+        lambda w, i: F.when(given(w, i), F.struct(i.alias("i"), F.lit(True).alias("given"))).when(
+            w.rlike(_RUN) | w.rlike(_SET), F.struct(i.alias("i"), F.lit(False).alias("given"))
+        ),
+    )
+    around = F.transform(F.filter(places, lambda x: x.isNotNull()), _around)
+    found = rows.select("doc", "path", F.explode(around).alias("c")).select("doc", "path", "c.*")
+    # The values of a word stand between marks: those given to a name first, then runs outside them.
+    put = F.when(F.col("given"), F.lit(_PUT)).otherwise("")
+    found = found.withColumn("put", F.length(put))
+    first = F.split(F.regexp_replace(F.concat(put, "word"), _SET, rf"$1$2$4$6$8{_MARK}$3$5$7$9{_MARK}"), _MARK)
+    marked = F.transform(
+        first, lambda x, k: F.when(k % 2 == 1, x).otherwise(F.regexp_replace(x, _ALONE, rf"$1{_MARK}$2{_MARK}"))
     )
-    found = rows.select("doc", "path", F.explode(F.transform(places, _around)).alias("c")).select("doc", "path", "c.*")
-    bare = F.regexp_replace("word", r"^[^A-Za-z0-9]+|[^A-Za-z0-9=/+]+$", "")
-    cut = r"^([A-Za-z_\-]{2,30})[=:]+[\"']?(.+)$"
-    parted = bare.rlike(cut)
+    pieces = F.split(F.array_join(marked, _MARK), _MARK)
+    found = with_once(found.withColumn("pieces", pieces), "pieces", F.col("pieces"))
+    ends = F.aggregate(
+        "pieces", F.array(F.lit(0)), lambda e, x: F.concat(e, F.array(F.element_at(e, -1) + F.length(x)))
+    )
+    found = with_once(found.withColumn("ends", ends), "ends", F.col("ends"))
+    found = found.select("*", F.posexplode("pieces").alias("k", "raw")).where("k % 2 = 1")
+    name = F.regexp_extract(F.get("pieces", F.col("k") - 1), _ASSIGNS, 1)
+    address = F.lower(F.substring_index(F.get("pieces", F.col("k") - 1), "/", -1)).rlike("^[^@]*:$") & F.get(
+        "pieces", F.col("k") + 1
+    ).startswith("@")
     return found.select(
         "doc", "path", "at", "word", "before", "earlier", "after",
-        F.when(parted, F.regexp_extract(bare, cut, 1)).otherwise("").alias("name"),
-        F.when(parted, F.regexp_extract(bare, cut, 2)).otherwise(bare).alias("value"),
-    )
+        (F.get("ends", F.col("k")) - F.col("put")).cast("long").alias("offset"),
+        F.when(F.col("given") & (F.col("k") == 1), F.coalesce(F.nullif(_name_before(), F.lit("")), name))
+        .when(address, F.lit("password"))
+        .otherwise(name)
+        .alias("name"),
+        F.col("raw").alias("value"),
+    ).where("value != ''")
+
+
+def _name_before() -> Column:
+    """The name in the words before a value."""
+    both = F.concat("earlier", F.lit(" "), "before")
+    return F.regexp_extract(both, r"([A-Za-z_][A-Za-z0-9_.\-]{0,60})[\"'`\]]{0,2} ?(?:[=:]{1,3}>?)?[\"'`]?$", 1)
 
 
-def _around(i: Column) -> Column:
+def _around(x: Column) -> Column:
+    i = x["i"]
     near = lambda k: F.coalesce(F.when(i + k >= 0, F.get("words", i + k)), F.lit(""))
     return F.struct(
-        i.cast("long").alias("at"), near(0).alias("word"), near(-1).alias("before"),
+        i.cast("long").alias("at"), x["given"].alias("given"), near(0).alias("word"), near(-1).alias("before"),
         near(-2).alias("earlier"), near(1).alias("after"),
     )
 
@@ -161,7 +217,7 @@ def scan_secrets(
     path: str | None = "source",
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """Every candidate: the identifier, at (its place among the words, from 0), word, value, label
+    """Every candidate: the identifier, at (its place among the words, from 0), offset (in the word), word, value, label
     (of the labelled, else null), held_out, score (0 to 1) and secret (from 0.5 on)."""
     kept_out = F.coalesce(F.crc32(F.col("doc").cast("string")) % FOLDS == 0, F.lit(False))
     found = with_features(candidates(docs, text, ident, path), docs, text)
@@ -171,7 +227,7 @@ def scan_secrets(
         given = findings.groupBy("value").agg(F.max("label").cast("double").alias("label"))
         found = found.join(given, "value", "left")
     found = stored(found.withColumn("held_out", kept_out), "features")
-    turn = [F.xxhash64("value", "doc", "at"), F.col("value"), F.col("doc"), F.col("at")]
+    turn = [F.xxhash64("value", "doc", "at", "offset"), F.col("value"), F.col("doc"), F.col("at"), F.col("offset")]
     of = lambda label: found.where(F.col("label") == label).where(~F.col("held_out")).orderBy(*turn).limit(sample)
     taken = stored(of(0.0).unionByName(of(1.0)).select("label", *FEATURES), "labelled")
     seen = sorted(r["label"] for r in taken.select("label").distinct().collect())
@@ -185,6 +241,6 @@ def scan_secrets(
         forest.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("__odds")
         scored = forest.transform(assembled.transform(found)).withColumn("score", vector_to_array("__odds")[1])
     return scored.select(
-        F.col("doc").alias(ident), "at", "word", "value", F.col("label").cast("int").alias("label"), "held_out",
+        F.col("doc").alias(ident), "at", "offset", "word", "value", F.col("label").cast("int").alias("label"), "held_out",
         "score", (F.col("score") >= 0.5).alias("secret"),
     )
