@@ -85,14 +85,14 @@ def candidates(docs: DataFrame, text: str, ident: str, path: str | None) -> Data
     rows = with_once(rows, "words", F.col("words"))
     near = lambda i, k: F.coalesce(F.when(i + k >= 0, F.get("words", i + k)), F.lit(""))
     given = lambda w, i: (
-        near(i, -1).rlike(_GIVES)
+        (_signed(near(i, -1)) & near(i, -1).rlike(_GIVES))
         | (near(i, -1).rlike(_SIGN) & near(i, -2).rlike(_NAMED))
         | (w.rlike(rf"^{_GIVEN}.") & near(i, -1).rlike(_NAMED))
     ) & ~w.rlike(_SIGN)
     places = F.transform(
         "words",
         lambda w, i: F.when(given(w, i), F.struct(i.alias("i"), F.lit(True).alias("given"))).when(
-            w.rlike(_RUN) | w.rlike(_SET), F.struct(i.alias("i"), F.lit(False).alias("given"))
+            w.rlike(_RUN) | (_signed(w) & w.rlike(_SET)), F.struct(i.alias("i"), F.lit(False).alias("given"))
         ),
     )
     around = F.transform(F.filter(places, lambda x: x.isNotNull()), _around)
@@ -126,6 +126,11 @@ def candidates(docs: DataFrame, text: str, ident: str, path: str | None) -> Data
     ).where("value != ''")
 
 
+def _signed(word: Column) -> Column:
+    """Whether a word has a sign that gives a value; names are looked for in no other."""
+    return word.contains("=") | word.contains(":")
+
+
 def _name_before() -> Column:
     """The name in the words before a value."""
     both = F.concat("earlier", F.lit(" "), "before")
@@ -199,14 +204,15 @@ def sure_label() -> Column:
     for form in FORMS:
         formed = formed | F.col("value").rlike(form)
     named = (F.col("given_name") == 1) | ((F.col("name_before") == 1) & (F.col("assigned") == 1))
-    none = (
-        (F.col("digits") == 0)
-        | ~F.col("value").rlike("[A-Za-z]")
-        | (F.col("address") == 1)
-        | F.col("value").rlike(PLACEHOLDER)
-        | ((F.col("digest_before") == 1) & (F.col("hexadecimal") == 1))
+    never = F.col("value").rlike(PLACEHOLDER) | ((F.col("digest_before") == 1) & (F.col("hexadecimal") == 1))
+    mixed = (F.col("digits") > 0) & F.col("value").rlike("[A-Za-z]")
+    own_address = F.col("value").rlike(r"://|www\.|^[^@]+@[A-Za-z0-9\-]+\.[A-Za-z.]+$")
+    return (
+        F.when(never, 0.0)
+        .when(formed, 1.0)
+        .when(named, F.when(mixed & ~own_address, 1.0))
+        .when(~mixed | (F.col("address") == 1), 0.0)
     )
-    return F.when(none, 0.0).when(formed | (named & (F.col("digits") > 0)), 1.0)
 
 
 def scan_secrets(

@@ -92,6 +92,16 @@ def test_every_value_given_to_a_name_is_a_candidate(spark):
         assert [r["value"] for r in rows if r["doc_id"] == i] == want
 
 
+def test_each_secret_inside_a_word_is_a_candidate(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(INSIDE)], "doc_id long, text string")
+    names = {(r["doc"], r["offset"]): r["name"] for r in candidates(docs, "text", "doc_id", None).collect()}
+    rows = scan_secrets(docs, path=None).orderBy("doc_id", "at", "offset").collect()
+    for i, (text, want) in enumerate(INSIDE):
+        assert [(names[i, r["offset"]], r["value"], r["label"]) for r in rows if r["doc_id"] == i] == want
+    for r in rows:
+        assert r["word"][r["offset"] :].startswith(r["value"])
+
+
 @pytest.mark.parametrize("make", [odd, none])
 def test_secrets_of_odd_rows(spark, make):
     rows = scan_secrets(make(spark)).collect()
