@@ -428,3 +428,25 @@ def decode_documents(docs: DataFrame, vocabulary: str, pieces: str = "pieces") -
 
     found = rows.mapInArrow(decode, schema_of(rows, [ROW], "decoded string, pieces_crc32 long"))
     return unboxed(found, {"decoded": F.col("decoded"), "pieces_crc32": F.col("pieces_crc32")})
+
+
+def check_alternatives(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """``docs``, which have alternatives, with all_crc32 (of the ids of each) and all_back (whether
+    each decodes to the text)."""
+    rows = boxed(docs, text=known(text), ids=F.col("alternatives"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _pieces(vocabulary)
+        for batch in batches:
+            sums, back = [], []
+            for whole, every in zip(batch.column("text"), batch.column("ids")):
+                want, lists = whole.as_py().replace(BLANK, " "), [ids.values.to_numpy() for ids in every.values]
+                sums.append([zlib.crc32(ids.astype("<u4")) for ids in lists])
+                back.append(all(table.decode(ids.tolist()) == want for ids in lists))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(ROW), pa.array(sums, pa.list_(pa.int64())), pa.array(back, pa.bool_())],
+                [ROW, "all_crc32", "all_back"],
+            )
+
+    found = rows.mapInArrow(check, schema_of(rows, [ROW], "all_crc32 array<long>, all_back boolean"))
+    return unboxed(found, {"all_crc32": F.col("all_crc32"), "all_back": F.col("all_back")})

@@ -14,7 +14,7 @@ from pagewright.llm.mixing import mix_sources
 from pagewright.llm.mtree import nearest_embeddings
 from pagewright.llm.near import near_duplicates
 from pagewright.llm.packing import checksums, write_blocks
-from pagewright.llm.pieces import decode_documents, encode_documents
+from pagewright.llm.pieces import check_alternatives, encode_documents
 from pagewright.llm.secrets import scan_secrets
 from pagewright.llm.sharding import shard_documents
 from pagewright.llm.toxicity import held_out, score_documents, train
@@ -127,13 +127,12 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_report(docs: DataFrame) -> DataFrame:
-    """For each row its pieces' number and checksum, the scores of its best segmentations
-    and whether its text comes back from the pieces."""
+    """For each row its pieces' number, the scores and checksums of all its N best segmentations
+    and whether its text comes back from each of them."""
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
-    found = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    back = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    found = check_alternatives(encode_documents(docs.select("doc_id", "text"), vocabulary, all_ids=True), vocabulary)
     return found.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),
@@ -141,8 +140,10 @@ def piece_report(docs: DataFrame) -> DataFrame:
         F.get("scores", F.lit(0)).alias("best_score"),
         F.get("scores", F.lit(1)).alias("second_score"),
         F.get("scores", F.size("scores") - 1).alias("last_score"),
-        F.col("pieces_crc32").alias("ids_crc32"),
-        (F.col("decoded") == back).alias("round_trip"),
+        "scores",
+        F.get("all_crc32", F.lit(0)).alias("ids_crc32"),
+        F.col("all_crc32").alias("all_ids_crc32"),
+        F.col("all_back").alias("round_trip"),
     )
 
 

@@ -133,3 +133,13 @@ def test_odd_rows_come_back_from_their_pieces(spark):
         assert row["alternatives"][0] == row["pieces"] and len(row["scores"]) == len(row["alternatives"])
         assert row["scores"] == sorted(row["scores"], reverse=True)
     assert encode_documents(none(spark), PIECES).count() == 0
+
+
+def test_the_report_has_all_segmentations(spark):
+    from pagewright.llm.queries import piece_report
+
+    docs = spark.createDataFrame([(1, "in the a"), (2, None), (3, "naïve \u2581 x")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in piece_report(docs).collect()}
+    assert all(r["round_trip"] and len(r["all_ids_crc32"]) == len(r["scores"]) == r["n_best"] for r in rows.values())
+    assert len(set(rows[1]["all_ids_crc32"])) == 4 and rows[1]["ids_crc32"] == rows[1]["all_ids_crc32"][0]
+    assert rows[2]["n_best"] == 1
