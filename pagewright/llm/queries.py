@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.copies import exact_dedup
+from pagewright.llm.divergence import divergence_sql, source_divergence
 from pagewright.llm.licenses import license_scan, license_scan_sql
+from pagewright.llm.lloyd import cluster_vectors, lloyd_sql
 from pagewright.llm.mixing import mix_sources
 from pagewright.llm.mtree import nearest_embeddings
 from pagewright.llm.near import near_duplicates
+from pagewright.llm.packages import ARCHIVE_SQL, archived
 from pagewright.llm.packing import checksums, write_blocks
 from pagewright.llm.pieces import check_alternatives, encode_documents
 from pagewright.llm.secrets import scan_secrets
@@ -155,3 +158,21 @@ def op9_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), carry=False)
+
+
+@query(sql=lloyd_sql())
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), carry=False)
+
+
+@query(sql=divergence_sql())
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query(sql=ARCHIVE_SQL)
+def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archived(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )

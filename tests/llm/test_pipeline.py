@@ -27,4 +27,4 @@ def test_stages_on_odd_and_no_rows(spark, sf):
 
 def test_run_and_registry(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
