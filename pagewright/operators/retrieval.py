@@ -1,34 +1,40 @@
-"""Scoped hybrid retrieval of many questions in one pass over the chunks.
+"""Scoped hybrid retrieval of many questions in one blocked join with the chunks.
 
 A question is only ever compared with chunks of its own subject at or below its
 grade.  For each question there is one *vector* pass (nearest chunks) and, when
 it carries a search term, *literal* passes (nearest chunks containing a given
-text).  All passes of a slice of questions are scored in a single scan of the
-chunks: each task keeps the best few hits of every pass for its own partition,
-so what leaves a task is bounded by (passes x hits kept) and never by the number
-of (question, chunk) pairs.  Which literal passes count, grade preference,
-merging and the cutoff are DataFrame operations on those hits.
+text).
+
+Questions and chunks both stay tables.  The questions of a subject, lowest grade
+first, are cut into blocks of bounded size, its chunks into salted pieces of
+bounded size, and each piece meets each block that holds a question of its grade
+or a higher one.  A meeting is one group of a cogroup: a matrix product for the
+vectors, one multi-pattern matcher for the terms.  What leaves it are the best
+hits of each pass, never question-chunk pairs, and a subject of any size is
+spread over as many tasks as it has meetings.  Nothing passes the driver.  Which
+literal passes count, grade preference, merging and the cutoff are DataFrame
+operations on those hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from math import ceil
-from operator import or_
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagewright import fixed_values as fv
 from pagewright.functions import text as tx
-from pagewright.plans.materialize import materialize
 
-#: Scoped questions scored per scan of the chunks.  The slice is what travels to
-#: the executors, so its size does not depend on how many questions there are.
-QUESTIONS_PER_SCAN = 8192
+#: Questions of a block, chunks of a piece: what one group holds at once.
+QUESTIONS_PER_BLOCK = 8192
+CHUNKS_PER_PIECE = 4096
+#: Questions of a block whose distances are held at once.
+TOGETHER = 512
 #: Distances are compared after rounding to this many digits, so that chunks with
 #: equal vectors tie exactly and the tie goes to the smaller id.
 DISTANCE_DIGITS = 8
@@ -37,7 +43,8 @@ TIER_PHRASE = 0
 TIER_SHORTER = fv.MAX_NAME_VARIANTS + 1
 SLOT_DEFINITION, SLOT_LITERAL, SLOT_VECTOR = 0, 1, 2
 
-_HITS = "qid string, grade int, tier int, slot int, chunk_id bigint, chunk_grade int, passage string, distance double"
+_HITS = "qid string, grade int, tier int, slot int, chunk_id {kind}, chunk_grade int, passage string, distance double"
+_CELL = ["subject", "__block", "__piece"]
 
 
 def passage_key(source_file: Column, chunk_index: Column, text: Column) -> Column:
@@ -86,35 +93,18 @@ def prepare_questions(questions: DataFrame, literal: bool = True) -> DataFrame:
     )
 
 
-class _Passes:
-    """The passes of one slice of questions, laid out for scoring."""
-
-    def __init__(self, rows: list) -> None:
-        self.qids = [r["qid"] for r in rows]
-        self.grades = np.array([r["grade"] for r in rows])
-        self.by_subject: dict[str, np.ndarray] = {}
-        for i, row in enumerate(rows):
-            self.by_subject.setdefault(row["subject"], []).append(i)
-        self.by_subject = {s: np.array(ix) for s, ix in self.by_subject.items()}
-        self.vectors = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
-        # Pass i < len(rows) is question i's vector pass; literal passes follow.
-        self.passes = [(i, -1, SLOT_VECTOR) for i in range(len(rows))]
-        self.patterns: dict[tuple[str, str], list[int]] = {}
-        for i, row in enumerate(rows):
-            for p in row["patterns"] or []:
-                self.patterns.setdefault((row["subject"], p["pattern"]), []).append(len(self.passes))
-                self.passes.append((i, p["tier"], p["slot"]))
-
-    def automata(self) -> dict:
-        """One multi-pattern matcher per subject, built once per task."""
-        import ahocorasick
-
-        built: dict = {}
-        for (subject, pattern), passes in self.patterns.items():
-            built.setdefault(subject, ahocorasick.Automaton()).add_word(pattern, passes)
-        for automaton in built.values():
-            automaton.make_automaton()
-        return built
+def searchable(chunks: DataFrame) -> DataFrame:
+    """Chunks as retrieval reads them: chunk_id, subject, grade, passage, text, embedding.
+
+    What ``ingest`` writes is taken as it is: its id serves as chunk_id, and the
+    passage is worked out from place or text where there is none.
+    """
+    if "chunk_id" not in chunks.columns:
+        chunks = chunks.withColumnRenamed("id", "chunk_id")
+    if "passage" not in chunks.columns:
+        key = passage_key(F.col("source_file"), F.col("chunk_index"), F.col("text"))
+        chunks = chunks.withColumn("passage", key)
+    return chunks.select("chunk_id", "subject", "grade", "passage", "text", "embedding")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -122,142 +112,157 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-class _Best:
-    """The ``keep`` best hits of each pass seen so far, by (distance, chunk id)."""
-
-    def __init__(self, passes: int, keep: int) -> None:
-        self.keep = keep
-        self.limit = np.full(passes, np.inf)
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.pending = 0
-
-    def add(self, passes, distances, ids, grades, passages) -> None:
-        near = distances <= self.limit[passes]
-        if near.any():
-            self.parts.append((passes[near], distances[near], ids[near], grades[near], passages[near]))
-            self.pending += int(near.sum())
-            if self.pending > max(4 * self.keep * len(self.limit), 100_000):
-                self.prune()
-
-    def prune(self) -> tuple[np.ndarray, ...]:
-        if not self.parts:
-            return tuple(np.array([]) for _ in range(5))
-        columns = [np.concatenate(c) for c in zip(*self.parts)]
-        order = np.lexsort((columns[2], columns[1], columns[0]))
-        columns = [c[order] for c in columns]
-        first = np.r_[True, columns[0][1:] != columns[0][:-1]]
-        starts = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        rank = np.arange(len(first)) - starts
-        full = rank == self.keep - 1
-        self.limit[columns[0][full]] = columns[1][full]
-        columns = [c[rank < self.keep] for c in columns]
-        self.parts, self.pending = [tuple(columns)], 0
-        return tuple(columns)
-
-
-def _score(batches: Iterator[pd.DataFrame], spec: _Passes, keep: int, rows_at_once: int = 2048):
-    """Best hits of every pass within one partition of chunks."""
-    automata = spec.automata()
-    best = _Best(len(spec.passes), keep)
-    owner = np.array([p[0] for p in spec.passes])
-    for whole in batches:
-        for at in range(0, len(whole), rows_at_once):
-            batch = whole.iloc[at : at + rows_at_once]
-            for subject, part in batch.groupby("subject", sort=False):
-                asked = spec.by_subject.get(subject)
-                if asked is None:
-                    continue
-                ids = part["chunk_id"].to_numpy()
-                grades = part["grade"].to_numpy()
-                passages = part["passage"].to_numpy()
-                chunks = _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
-                # Adding zero turns a negative zero into a plain one.
-                distances = np.round(1.0 - chunks @ spec.vectors[asked].T, DISTANCE_DIGITS) + 0.0
-                allowed = grades[:, None] <= spec.grades[asked][None, :]
-                row, col = np.nonzero(allowed & (distances <= best.limit[asked][None, :]))
-                best.add(asked[col], distances[row, col], ids[row], grades[row], passages[row])
-                automaton = automata.get(subject)
-                if automaton is None:
-                    continue
-                column_of = {q: c for c, q in enumerate(asked)}
-                found = [
-                    (i, p)
-                    for i, text in enumerate(part["text"])
-                    for p in {p for _, group in automaton.iter(text) for p in group}
-                    if grades[i] <= spec.grades[owner[p]]
-                ]
-                if found:
-                    row = np.array([f[0] for f in found])
-                    hit = np.array([f[1] for f in found])
-                    col = np.array([column_of[q] for q in owner[hit]])
-                    best.add(hit, distances[row, col], ids[row], grades[row], passages[row])
-    passes, distances, ids, grades, passages = best.prune()
-    if not len(passes):
-        return
-    info = [spec.passes[int(p)] for p in passes]
-    yield pd.DataFrame(
-        {
-            "qid": pd.Series([spec.qids[i[0]] for i in info], dtype=object),
-            "grade": np.array([spec.grades[i[0]] for i in info], dtype="int32"),
-            "tier": np.array([i[1] for i in info], dtype="int32"),
-            "slot": np.array([i[2] for i in info], dtype="int32"),
-            "chunk_id": ids.astype("int64"),
-            "chunk_grade": grades.astype("int32"),
-            "passage": pd.Series(passages, dtype=object),
-            "distance": distances.astype("float64"),
-        }
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return _unit(flat.reshape(len(column), -1).astype(np.float64))
+
+
+def _literal_hits(patterns: list, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``texts``, questions, tiers and slots of every literal hit, by one matcher."""
+    import ahocorasick
+
+    asked: dict[str, list[tuple[int, int, int]]] = {}
+    for question, wanted in enumerate(patterns):
+        for p in wanted or []:
+            asked.setdefault(p["pattern"], []).append((question, p["tier"], p["slot"]))
+    found = []
+    if asked:
+        matcher = ahocorasick.Automaton()
+        for pattern in asked:
+            matcher.add_word(pattern, pattern)
+        matcher.make_automaton()
+        for row, text in enumerate(texts):
+            for pattern in {p for _, p in matcher.iter(text)} if text else ():
+                found += [(row, *one) for one in asked[pattern]]
+    hits = np.array(found, dtype=np.int64).reshape(-1, 4)
+    return tuple(hits[np.argsort(hits[:, 1], kind="stable")].T)
+
+
+def _nearest(groups: np.ndarray, distances: np.ndarray, rows: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` smallest (distance, row) of each group."""
+    order = np.lexsort((rows, distances, groups))
+    sorted_groups = groups[order]
+    first = np.r_[True, sorted_groups[1:] != sorted_groups[:-1]]
+    starts = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - starts < keep]
+
+
+def _meeting(keep: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best hits of every pass of a block of questions in a piece of chunks."""
+
+    def score(asked: pa.Table, chunks: pa.Table) -> pa.Table:
+        asked = asked.filter(pa.compute.is_valid(asked["embedding"]))
+        chunks = chunks.filter(pa.compute.is_valid(chunks["embedding"])).sort_by("chunk_id")
+        if not len(asked) or not len(chunks):
+            return _hits(chunks, asked, *[np.zeros(0, np.int64)] * 4, np.zeros(0), names)
+        theirs, own = _vectors(chunks["embedding"]), _vectors(asked["embedding"])
+        grades = chunks["grade"].to_numpy()
+        highest = asked["grade"].to_numpy()
+        rows, questions, tiers, slots = _literal_hits(asked["patterns"].to_pylist(), chunks["text"].to_pylist())
+        found = []
+        for at in range(0, len(asked), TOGETHER):
+            # Adding zero turns a negative zero into a plain one.
+            away = np.round(1.0 - theirs @ own[at : at + TOGETHER].T, DISTANCE_DIGITS) + 0.0
+            away[grades[:, None] > highest[None, at : at + TOGETHER]] = np.inf
+            last = min(keep, len(chunks)) - 1
+            limit = np.partition(away, last, axis=0)[last]
+            row, column = np.nonzero((away <= limit) & (away < np.inf))
+            best = _nearest(column, away[row, column], row, keep)
+            row, column = row[best], column[best]
+            vector = np.full(len(row), SLOT_VECTOR)
+            found.append((row, column + at, np.full(len(row), -1), vector, away[row, column]))
+            begin, end = np.searchsorted(questions, [at, at + TOGETHER])
+            row, column, tier, slot = rows[begin:end], questions[begin:end] - at, tiers[begin:end], slots[begin:end]
+            near = away[row, column]
+            inside = near < np.inf
+            row, column, tier, slot, near = row[inside], column[inside], tier[inside], slot[inside], near[inside]
+            best = _nearest((column * (TIER_SHORTER + 1) + tier) * 2 + slot, near, row, keep)
+            found.append((row[best], column[best] + at, tier[best], slot[best], near[best]))
+        return _hits(chunks, asked, *[np.concatenate(c) for c in zip(*found)], names)
+
+    return score
+
+
+def _hits(chunks, asked, rows, questions, tiers, slots, distances, names: list[str]) -> pa.Table:
+    their, own = pa.array(rows), pa.array(questions)
+    columns = [
+        asked["qid"].take(own),
+        asked["grade"].take(own).cast(pa.int32()),
+        pa.array(tiers, pa.int32()),
+        pa.array(slots, pa.int32()),
+        chunks["chunk_id"].take(their),
+        chunks["grade"].take(their).cast(pa.int32()),
+        chunks["passage"].take(their),
+        pa.array(distances, pa.float64()),
+    ]
+    return pa.table(columns, names)
+
+
+def _within_range(grade: str) -> Column:
+    """Grades for planning only: those outside the known ones count as the next to them."""
+    return F.greatest(F.lit(1), F.least(F.col(grade), F.lit(fv.MAX_GRADE + 1))).cast("int")
+
+
+def _block_plan(questions: DataFrame, per_block: int) -> DataFrame:
+    """For each subject and grade: questions of lower grades, of this one and of all, and the subject's blocks."""
+    counted = questions.groupBy("subject", _within_range("grade").alias("g")).agg(F.count("*").alias("n"))
+    listed = counted.groupBy("subject").agg(
+        F.collect_list(F.struct("g", "n")).alias("__grades"),  # at most one entry for each grade
+        F.sum("n").alias("__asked"),
+        F.ceil(F.sum("n") / per_block).cast("int").alias("__blocks"),
     )
 
+    def questions_of(grades: Callable[[Column], Column]) -> Column:
+        some = F.filter("__grades", lambda entry: grades(entry["g"]))
+        return F.aggregate(some, F.lit(0).cast("long"), lambda total, entry: total + entry["n"])
 
-def _scoped(chunks: DataFrame, spec: _Passes) -> DataFrame:
-    """The chunks any question of the slice may see.
-
-    Subjects and highest grades are constants here, so the scope reaches the scan
-    as partition and data filters.
-    """
-    highest = {s: int(spec.grades[asked].max()) for s, asked in sorted(spec.by_subject.items())}
-    if len(highest) <= 64:
-        scope = reduce(
-            or_, [(F.col("subject") == s) & (F.col("grade") <= g) for s, g in highest.items()]
-        )
-    else:
-        scope = F.col("grade") <= max(highest.values())
-    scoped = chunks.where(scope).where(F.col("embedding").isNotNull())
-    if spec.patterns:  # chunks without text are skipped, as empty passages are
-        return scoped.where(F.col("text").isNotNull())
-    return scoped.withColumn("text", F.lit(None).cast("string"))
+    every = F.explode(F.sequence(F.lit(1), F.lit(fv.MAX_GRADE + 1)))
+    return listed.withColumn("__grade", every).select(
+        "subject", "__grade", "__asked", "__blocks",
+        questions_of(lambda g: g < F.col("__grade")).alias("__before"),
+        questions_of(lambda g: g == F.col("__grade")).alias("__here"),
+    )
 
 
 def nearest_per_pass(
-    chunks: DataFrame, questions: DataFrame, keep: int, per_scan: int = QUESTIONS_PER_SCAN
+    chunks: DataFrame,
+    questions: DataFrame,
+    keep: int,
+    per_scan: int = QUESTIONS_PER_BLOCK,
+    per_piece: int = CHUNKS_PER_PIECE,
 ) -> DataFrame:
     """The ``keep`` nearest chunks of every pass of every question.
 
-    ``chunks``: chunk_id, subject, grade, passage, text, embedding (text may be
-    NULL when no question has literal passes).  ``questions`` as returned by
-    :func:`prepare_questions`.  The number of slices follows from the number of
-    questions; each slice is one scan.
+    ``chunks``: as :func:`searchable` gives them (text may be NULL when no question
+    has literal passes; chunks without vector are skipped, as empty passages
+    are).  ``questions`` as returned by :func:`prepare_questions`, ``per_scan``
+    of them in a block.
     """
-    spark = chunks.sparkSession
-    rows = questions.limit(per_scan + 1).collect()
-    slices = 1
-    if len(rows) > per_scan:
-        questions = materialize(questions, "questions")
-        slices = ceil(questions.count() / per_scan)
-    columns = ["chunk_id", "subject", "grade", "passage", "text", "embedding"]
-    out = None
-    for part in range(slices):
-        if slices > 1:
-            rows = questions.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == part).collect()
-        if not rows:
-            continue
-        spec = spark.sparkContext.broadcast(_Passes(rows))
-        scored = _scoped(chunks.select(*columns), spec.value).mapInPandas(
-            lambda batches, spec=spec: _score(batches, spec.value, keep), _HITS
-        )
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        out = spark.createDataFrame([], _HITS)
+    sizes = chunks.groupBy("subject").agg(F.ceil(F.count("*") / per_piece).cast("int").alias("__pieces"))
+    plan = _block_plan(questions, per_scan).join(sizes, "subject")
+    # A question's block: its place among those of its subject by grade, drawn inside the grade.
+    place = F.col("__before") + F.pmod(F.xxhash64("qid"), F.col("__here"))
+    asked = (
+        questions.withColumn("__grade", _within_range("grade"))
+        .join(plan.where("__here > 0"), ["subject", "__grade"])
+        .withColumn("__block", F.floor(place * F.col("__blocks") / F.col("__asked")).cast("int"))
+        .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
+        .select(*_CELL, "qid", "grade", "embedding", "patterns")
+    )
+    first = F.floor(F.col("__before") * F.col("__blocks") / F.col("__asked")).cast("int")
+    offered = (
+        chunks.withColumn("__grade", _within_range("grade"))
+        .join(plan.where("__before < __asked"), ["subject", "__grade"])
+        .withColumn("__piece", F.pmod(F.xxhash64("chunk_id"), F.col("__pieces")).cast("int"))
+        .withColumn("__block", F.explode(F.sequence(first, F.col("__blocks") - 1)))
+        .select(*_CELL, "chunk_id", "grade", "passage", "text", "embedding")
+    )
+    hits = StructType.fromDDL(_HITS.format(kind=chunks.schema["chunk_id"].dataType.simpleString()))
+    out = (
+        asked.groupBy(*_CELL)
+        .cogroup(offered.groupBy(*_CELL))
+        .applyInArrow(_meeting(keep, hits.names), hits)
+    )
     ranked = Window.partitionBy("qid", "tier", "slot").orderBy("distance", "chunk_id")
     # One shuffle by question serves every later step, all of which work per question.
     return (
@@ -313,11 +318,15 @@ def retrieve(
     top_k: int = 10,
     cutoff: float = 1.1,
     literal: bool = True,
-    per_scan: int = QUESTIONS_PER_SCAN,
+    per_scan: int = QUESTIONS_PER_BLOCK,
 ) -> DataFrame:
-    """Passages for every question: qid, rank, chunk_id, passage, distance, tier, slot, ..."""
+    """Passages for every question: qid, rank, chunk_id, passage, distance, tier, slot, ...
+
+    ``chunks``: what ``ingest`` writes, or any table :func:`searchable` accepts.
+    """
     prepared = prepare_questions(questions, literal)
-    hits = nearest_per_pass(chunks, prepared, top_k * fv.OVERFETCH, per_scan)
+    offered = searchable(chunks) if literal else searchable(chunks).withColumn("text", F.lit(None).cast("string"))
+    hits = nearest_per_pass(offered, prepared, top_k * fv.OVERFETCH, per_scan)
     ranked = prefer_own_grade(hits, top_k)
     merged = merge_passes(first_answering_tier(ranked) if literal else ranked, top_k)
     return within_distance(merged, cutoff)
