@@ -19,8 +19,10 @@ give one correction, times that number.
 The tree is spread by ranges of its paths.  A task sees its paths in order and
 holds only the branch it is on: what a path does not share with the next one is
 closed, which settles its multiplicity.  A node cut by a range's end counts in
-both tasks with what each has seen, and the corrections add up.  Documents are
-counted in Python by task; counts are combined again before they are shuffled.
+both tasks with what each has seen, and the corrections add up.  Ranges are cut
+by hashes of the path's nodes, so what is sampled for them is small.  Documents
+are counted by numpy, some megabytes at once; counts are combined again before
+they are shuffled.
 
 Null text, language and source count as empty.  A repeated document counts each
 time.  Groups without terms have pair rows (value 0 where V is 0).  Texts are
@@ -31,10 +33,11 @@ are given, by value, then by the term's bytes.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +47,10 @@ from pagewright.llm.frames import known, stored
 LEAST = 10
 RANKS = 10
 BILLION = 1_000_000_000
-#: Distinct terms a task counts before it hands them on.
-HELD_TERMS = 200_000
-#: Pairs of sources whose corrections a task holds.
-HELD_PAIRS = 200_000
+#: Bytes of text a task counts at once, unless a single text is longer.
+PIECE_BYTES = 8 << 20
+#: Combinations of a node and an ancestor a task works out at once.
+HELD_COMBINATIONS = 200_000
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Bytes of terms as they are or in lower case, all others as blanks.
@@ -57,49 +60,53 @@ COUNTED = "lang string, source string, term string, n long, docs long"
 CORRECTED = "lang string, source string, item string, value long"
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """The terms of a text in UTF-8, in order."""
-    return text.translate(_PLAIN).split()
+def terms_in(texts: pa.Array) -> pa.ListArray:
+    """The terms of texts in UTF-8, in order, with empty ones at the ends of some."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    plain = bytes(memoryview(data)[ends[0] : ends[-1]]).translate(_PLAIN) if data is not None else b""
+    buffers = [None, pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(plain)]
+    return pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), buffers))
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
     """lang, source, term, uses and documents with it; a term may come in several rows of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            groups = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-            for group, text in zip(groups, texts):
-                uses, docs = held.setdefault(group, (Counter(), Counter()))
-                words = terms_of(text.as_py())
-                uses.update(words)
-                docs.update(set(words))
-            if sum(len(uses) for uses, _ in held.values()) > HELD_TERMS:
-                yield from _counted(held)
-                held = {}
-        yield from _counted(held)
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            reached = np.cumsum(sizes, dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                before = reached[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(reached, before + PIECE_BYTES, "right")))
+                yield _counted(batch.slice(at, end - at))
+                at = end
 
     return docs.select(
         known("lang").alias("lang"), known("source").alias("source"), known("text").alias("text")
     ).mapInArrow(run, COUNTED)
 
 
-def _counted(held: dict) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (uses, docs) in held.items():
-        words = list(uses)
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(some), pa.string()),
-                    pa.array([source] * len(some), pa.string()),
-                    pa.array(some, pa.binary()).cast(pa.string()),
-                    pa.array([uses[w] for w in some], pa.int64()),
-                    pa.array([docs[w] for w in some], pa.int64()),
-                ],
-                ["lang", "source", "term", "n", "docs"],
-            )
+def _counted(piece: pa.RecordBatch) -> pa.RecordBatch:
+    numbers: dict[tuple[str, str], int] = {}
+    pairs = zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist())
+    group = np.array([numbers.setdefault(pair, len(numbers)) for pair in pairs], np.int64)
+    lists = terms_in(piece.column("text"))
+    coded = lists.flatten().dictionary_encode()
+    code, size = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:
+        doc, code = doc[code != blank], code[code != blank]
+    key, uses = np.unique(group[doc] * size + code, return_counts=True)
+    once = np.unique(doc * size + code)
+    # Each use is in a document, so both have the same keys.
+    _, docs = np.unique(group[once // size] * size + once % size, return_counts=True)
+    lang, source = (pa.array([pair[i] for pair in numbers], pa.string()) for i in (0, 1))
+    at = pa.array(key // size)
+    columns = [lang.take(at), source.take(at), coded.dictionary.take(pa.array(key % size)), pa.array(uses), pa.array(docs)]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
 
 def share(n: str, size: str) -> Column:
@@ -208,52 +215,79 @@ def shared_corrections(valued: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("m"))
         .where(F.size("path") > 1)
     )
-    ranges = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Any order in which paths that begin alike are neighbours will do.
+    marked = paths.withColumn("mark", F.transform("path", lambda x: F.xxhash64(x["source"], x["p"])))
+    ranges = marked.repartitionByRange("lang", "mark").sortWithinPartitions("lang", "mark")
     return ranges.mapInArrow(_tree, CORRECTED).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The corrections of the tree of sorted paths, one branch at a time."""
+    """The corrections of the tree of neighbouring paths, one branch at a time."""
     lang: str | None = None
-    branch: list[tuple[str, int, int]] = []
+    names: dict[str, int] = {}  # of this language's sources
+    branch: list[tuple[int, int, int]] = []
     below: list[int] = []
-    found: dict[tuple[str, str], int] = {}
+    room = np.zeros((3, 64), np.int64)  # the branch as columns: source, p, p of no use
+    closed: list[tuple[int, int, int, int, int]] = []
+    above: list[np.ndarray] = []
+    held = 0
+
+    def corrections() -> pa.RecordBatch:
+        nonlocal held
+        source, p, p0, m, depth = np.array(closed, np.int64).T
+        other, q, q0 = np.concatenate(above, axis=1)
+        source, p, p0, m = (np.repeat(column, depth) for column in (source, p, p0, m))
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        value = m * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
+        pair, place = np.unique(other * len(names) + source, return_inverse=True)
+        total = np.zeros(len(pair), np.int64)
+        np.add.at(total, place, value)
+        named = pa.array(list(names), pa.string())
+        closed.clear()
+        above.clear()
+        held = 0
+        columns = [
+            pa.array([lang] * len(pair), pa.string()),
+            named.take(pa.array(pair // len(names))),
+            named.take(pa.array(pair % len(names))),
+            pa.array(total),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "value"])
 
     def close(depth: int) -> None:
+        nonlocal held
         while len(branch) > depth:
-            (source, p, p0), m = branch.pop(), below.pop()
-            for above, q, q0 in branch:
-                value = (
-                    (p - q) ** 2 // (p + q) - (p - q0) ** 2 // (p + q0)
-                    - (p0 - q) ** 2 // (p0 + q) + (p0 - q0) ** 2 // (p0 + q0)
-                )
-                found[above, source] = found.get((above, source), 0) + m * value
-
-    def out() -> pa.RecordBatch:
-        columns = [[lang] * len(found), [a for a, _ in found], [b for _, b in found], list(found.values())]
-        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "item", "value"])
+            node, m = branch.pop(), below.pop()
+            if branch:
+                closed.append((*node, m, len(branch)))
+                above.append(room[:, : len(branch)].copy())
+                held += len(branch)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1_000):
             for row in batch.slice(at, 1_000).to_pylist():
-                path = [(n["source"], n["p"], n["none"]) for n in row["path"]]
-                alike = 0
-                if row["lang"] == lang:
-                    alike = next((i for i, (a, b) in enumerate(zip(branch, path)) if a != b), min(len(branch), len(path)))
-                close(alike)
-                if row["lang"] != lang or len(found) > HELD_PAIRS:
-                    if found:
-                        yield out()
-                        found.clear()
+                if row["lang"] != lang:
+                    close(0)
+                    if held:
+                        yield corrections()
                     lang = row["lang"]
+                    names.clear()
+                path = [(names.setdefault(n["source"], len(names)), n["p"], n["none"]) for n in row["path"]]
+                alike = next((i for i, (a, b) in enumerate(zip(branch, path)) if a != b), min(len(branch), len(path)))
+                close(alike)
+                if held > HELD_COMBINATIONS:
+                    yield corrections()
+                while room.shape[1] < len(path):
+                    room = np.concatenate([room, np.zeros_like(room)], axis=1)
+                if len(path) > alike:
+                    room[:, alike : len(path)] = np.array(path[alike:], np.int64).T
                 branch += path[alike:]
                 below += [0] * (len(path) - alike)
                 for i in range(len(path)):
                     below[i] += row["m"]
     close(0)
-    if found:
-        yield out()
+    if held:
+        yield corrections()
 
 
 def divergence_sql(least: int = LEAST, ranks: int = RANKS) -> str:

@@ -3,10 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 from llm_cases import none, odd
 
 from pagewright.llm import divergence
-from pagewright.llm.divergence import source_divergence, terms_of
+from pagewright.llm.divergence import source_divergence, terms_in
 
 SCHEMA = "doc_id long, text string, lang string, source string, value string, part string, item string"
 
@@ -61,7 +62,8 @@ def drawn(n, seed=5, hot=0.34):
 
 def test_terms():
     text = "It's NAÏVE—don't x2y ÄÖ \x00\x7f[a]"
-    assert [t.decode() for t in terms_of(text.encode())] == ["it", "s", "naÏve—don", "t", "x", "y", "ÄÖ", "a"]
+    found = terms_in(pa.array(["before", text, "", " . ", "last"]).slice(1, 3)).to_pylist()
+    assert [[t for t in terms if t] for terms in found] == [["it", "s", "naÏve—don", "t", "x", "y", "ÄÖ", "a"], [], []]
 
 
 def test_equals_all_pairs(spark):
@@ -73,11 +75,42 @@ def test_equals_all_pairs(spark):
 def test_flushes_of_full_tasks_change_nothing(spark, monkeypatch):
     rows = drawn(80, seed=8)
     df = spark.createDataFrame(rows, SCHEMA).repartition(2)
-    monkeypatch.setattr(divergence, "HELD_TERMS", 3)
-    monkeypatch.setattr(divergence, "HELD_PAIRS", 1)
+    monkeypatch.setattr(divergence, "PIECE_BYTES", 50)
+    monkeypatch.setattr(divergence, "HELD_COMBINATIONS", 1)
     check(rows, df, 2)
 
 
+def test_tree_in_small_steps(monkeypatch):
+    """Corrections of few combinations at once add up to those of all."""
+    draw = random.Random(4)
+    paths = {
+        (lang, tuple((s, draw.choice([3, 40, 900]), 2) for s in "abcdef" if draw.random() < 0.6))
+        for lang in "xy"
+        for _ in range(60)
+    }
+    rows = [{"lang": n, "path": [dict(zip(("source", "p", "none"), x)) for x in p], "m": 2} for n, p in sorted(paths)]
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 7]) for i in range(0, len(rows), 7)]
+
+    def totals():
+        out = {}
+        for batch in divergence._tree(iter(batches)):
+            for r in batch.to_pylist():
+                key = (r["lang"], *sorted((r["source"], r["item"])))
+                out[key] = out.get(key, 0) + r["value"]
+        return out
+
+    wanted = {}
+    f = lambda a, b: (a - b) ** 2 // (a + b)
+    for lang, path in paths:
+        for i, (s, p, p0) in enumerate(path):
+            for t, q, q0 in path[:i]:
+                value = 2 * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
+                wanted[lang, t, s] = wanted.get((lang, t, s), 0) + value
+    assert totals() == wanted
+    monkeypatch.setattr(divergence, "HELD_COMBINATIONS", 1)
+    assert totals() == wanted
+
+
 def test_tree_cut_anywhere(spark):
     rows = drawn(120, seed=9)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
