@@ -13,9 +13,13 @@ complete in the order in which they were found, shorter last pieces first.
 
 No piece has a blank after another character, so the lattice of a text falls
 apart at the blanks.  Each distinct word is searched once per worker; short
-words are searched many at a time in numpy, long ones one by one with a heap.
-The N best of the text are the N best choices among the words with the smallest
-losses, of which N-1 are enough.
+words are searched many at a time in numpy, long ones one by one with a heap,
+which drops what N others are strictly better than.  The N best of the text are
+the N best choices among the words with the smallest losses, of which N-1 are
+enough.  So a word is first searched for its two best segmentations, and for N
+only if it is among those N-1 of some text.  A worker remembers words and their
+segmentations as numbers in a few arrays, up to a number of bytes, and then
+begins anew.
 
 Null texts count as empty and have one segmentation, without pieces.  A literal
 U+2581 decodes as a blank, as in the library.
@@ -26,7 +30,8 @@ from __future__ import annotations
 import heapq
 import itertools
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +43,10 @@ from pagewright.llm.frames import ROW, boxed, known, schema_of, unboxed
 
 N_BEST = 4
 BLANK = "▁"
-#: Words longer than this are searched one by one; words searched together; words remembered.
-SHORT, TOGETHER, REMEMBERED = 24, 1_024, 100_000
+#: Words longer than this are searched one by one; words searched together; bytes of words remembered.
+SHORT, TOGETHER, REMEMBERED = 24, 1_024, 64 << 20
+#: What a remembered word takes besides its characters and ids.
+_WORD_BYTES = 300
 #: How much worse than the worst piece a character in bytes is.
 BYTES_PENALTY = 10.0
 _SPELLED = -2  # a character in bytes, in place of a piece's id
@@ -121,42 +128,65 @@ class Pieces:
 def n_best_of(pieces: Pieces, text: str, n: int) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of ``text`` (blanks as U+2581) with their scores, by heap."""
     size = len(text)
-    edges: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
-    forward = [0.0] + [-np.inf] * size
+    lengths, ids, ends = array("i"), array("i"), array("q", [0])
+    forward = array("d", [0.0])
     for end in range(1, size + 1):
+        best = -np.inf
         for length in range(1, min(pieces.longest, end) + 1):
             i = pieces.ids.get(text[end - length : end])
-            if i is None and length == 1:
-                i, score = _SPELLED, pieces.spelled
-            elif i is None:
+            if i is None and length > 1:
                 continue
-            else:
-                score = pieces.scores[i]
-            edges[end].append((end - length, i, score))
-            forward[end] = max(forward[end], forward[end - length] + score)
-    agenda, turn, found = [(-forward[size], 0, size, 0.0, None)], 0, []
+            lengths.append(length)
+            ids.append(_SPELLED if i is None else i)
+            best = max(best, forward[end - length] + (pieces.spelled if i is None else pieces.scores[i]))
+        forward.append(best)
+        ends.append(len(ids))
+    agenda, turn, found, room = [(-forward[size], 0, size, 0.0, None)], 0, [], 16 * n
     while agenda and len(found) < n:
         rank, _, place, own, path = heapq.heappop(agenda)
         if place == 0:
-            ids = []
+            whole = []
             while path is not None:
-                ids.append(path[0])
+                whole.append(path[0])
                 path = path[1]
-            found.append((-rank, pieces.spell(text, ids)))
+            found.append((-rank, pieces.spell(text, whole)))
             continue
-        for begin, i, score in edges[place]:
+        for e in range(ends[place - 1], ends[place]):
+            begin, i = place - lengths[e], ids[e]
+            score = pieces.spelled if i == _SPELLED else pieces.scores[i]
             turn += 1
             heapq.heappush(agenda, (-(forward[begin] + own + score), turn, begin, own + score, (i, path)))
+        if len(agenda) > room:
+            # Each entry has a completion of its own with just its rank.
+            worst = heapq.nsmallest(n, agenda)[-1][0]
+            agenda = [entry for entry in agenda if entry[0] <= worst]
+            heapq.heapify(agenda)
+            room = max(16 * n, 2 * len(agenda))
     return found
 
 
 def n_best_together(
     pieces: Pieces, words: list[str], n: int, paths: int
 ) -> tuple[np.ndarray, list[list[list[int]]]]:
-    """``n_best_of`` of many short, non-empty words, all searches one step at a time.
+    """``n_best_of`` of many short, non-empty words.
 
     Gives the scores, -inf where there is no further one, and the ids of the first ``paths``.
     """
+    totals, found = _search_together(pieces, words, n, paths)
+    result: list[list[list[int]]] = [[] for _ in words]
+    for ids, sizes in found:
+        parts = iter(np.split(ids, np.cumsum(sizes[sizes >= 0])[:-1]) if (sizes >= 0).any() else [])
+        for w in np.flatnonzero(sizes >= 0):
+            result[w].append(next(parts).tolist())
+    return totals, result
+
+
+def _search_together(
+    pieces: Pieces, words: list[str], n: int, paths: int
+) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """All searches one step at a time: the scores and, for each of the first ``paths`` places, the
+    words' ids one after another and how many each has, -1 where it has no such segmentation.
+    """
     count, size = len(words), max(map(len, words))
     lengths = np.array([len(w) for w in words])
     points = np.zeros((count, size), np.uint64)
@@ -222,24 +252,53 @@ def n_best_together(
         used[grow] += fan
         active = active[done[active] < n]
 
-    result: list[list[list[int]]] = [[] for _ in words]
+    result = []
     for k in range(min(n, paths)):
         some = np.flatnonzero(ends[:, k] >= 0)
-        at, steps = ends[some, k], []
+        at, steps, places = ends[some, k], [], []
         while True:
             step = np.where(at > 0, piece[some, at], -1)
             if (step == -1).all():
                 break
             steps.append(step)
+            places.append(place[some, at])
             at = np.where(at > 0, parent[some, at], 0)
-        found = np.stack(steps, axis=1) if steps else np.zeros((len(some), 0), np.int32)
-        full = (found != -1).sum(axis=1).tolist()
-        spelled = (found == _SPELLED).any(axis=1).tolist()
-        for w, row, length, spell in zip(some.tolist(), found.tolist(), full, spelled):
-            result[w].append(pieces.spell(words[w], row[:length]) if spell else row[:length])
+        sizes = np.full(count, -1, np.int64)
+        sizes[some] = 0
+        if not steps:
+            result.append((np.zeros(0, np.int32), sizes))
+            continue
+        matrix = np.stack(steps, axis=1)
+        row, column = np.nonzero(matrix != -1)
+        flat = matrix[row, column]
+        spelled = flat == _SPELLED
+        if spelled.any():
+            begins = np.stack(places, axis=1)[row[spelled], column[spelled]]
+            character = (points[some[row[spelled]], begins] - np.uint64(1)).astype(np.int64)
+            flat, row = _spelt(pieces, flat, row, spelled, character)
+        sizes[some] = np.bincount(row, minlength=len(some))
+        result.append((flat.astype(np.int32), sizes))
     return totals, result
 
 
+def _spelt(
+    pieces: Pieces, flat: np.ndarray, row: np.ndarray, spelled: np.ndarray, character: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with those of the UTF-8 bytes of ``character`` in place of the spelled ones, and their rows."""
+    bytes_each = 1 + (character > 0x7F) + (character > 0x7FF) + (character > 0xFFFF)
+    each = np.ones(len(flat), np.int64)
+    each[spelled] = bytes_each
+    ids = np.repeat(flat, each)
+    inside = np.repeat(spelled, each)
+    number = np.arange(bytes_each.sum()) - np.repeat(np.cumsum(bytes_each) - bytes_each, bytes_each)
+    size, point = np.repeat(bytes_each, bytes_each), np.repeat(character, bytes_each)
+    bits = point >> (6 * (size - 1 - number))
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
+    value = np.where(number == 0, lead | bits, 0x80 | (bits & 0x3F))
+    ids[inside] = np.array(pieces.byte_ids)[value]
+    return ids, np.repeat(row, each)
+
+
 class Segmenter:
     """N-best segmentation of texts, remembering the words it has met."""
 
@@ -249,94 +308,149 @@ class Segmenter:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.paths: list[list[list[int]]] = []  # of all n, if they are kept
-        self.totals = np.zeros((0, self.n))
-        self.best = np.zeros(0, np.int32)
-        self.sizes = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """The numbers of words (each after a blank), new ones searched."""
-        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
+        self.names: list[str] = []
+        self.ids = np.zeros(0, np.int32)  # of all segmentations of all words
+        self.bytes = 0
+        # Of each word: its two best scores, where its best segmentation stands, its row among the deep ones.
+        self.totals = np.zeros((0, 2))
+        self.starts = self.sizes = np.zeros((0, 1), np.int64)
+        self.deep = np.zeros(0, np.int64)
+        # Of words searched for all n: the scores, and where all segmentations stand.
+        self.deep_totals = np.zeros((0, self.n))
+        self.deep_starts = self.deep_sizes = np.zeros((0, self.n), np.int64)
+
+    def _search(self, words: list[str], n: int, paths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the ``n`` best of words, shortest first, and where the first ``paths`` stand in ``ids``."""
+        short = sum(len(w) < SHORT for w in words)
+        totals, starts, sizes, ids = [], [], [], [self.ids]
+        used = len(self.ids)
+        searched = [
+            _search_together(self.pieces, [BLANK + w for w in words[at : min(at + TOGETHER, short)]], n, paths)
+            for at in range(0, short, TOGETHER)
+        ]
+        for word in words[short:]:
+            found = n_best_of(self.pieces, BLANK + word, n)
+            total = np.array([[f[0] for f in found] + [-np.inf] * (n - len(found))])
+            searched.append((total, [(np.array(f[1], np.int32), np.array([len(f[1])])) for f in found[:paths]]))
+        for total, found in searched:
+            begin, size = np.zeros((len(total), paths), np.int64), np.full((len(total), paths), -1)
+            for k, (flat, each) in enumerate(found):
+                taken = np.maximum(each, 0)
+                begin[:, k], size[:, k] = used + np.cumsum(taken) - taken, each
+                ids.append(flat)
+                used += len(flat)
+            totals.append(total)
+            starts.append(begin)
+            sizes.append(size)
+        self.ids = np.concatenate(ids)
+        return np.concatenate(totals), np.concatenate(starts), np.concatenate(sizes)
+
+    def _learn(self, words: list[str]) -> None:
+        """Search the two best segmentations of those words that are new."""
+        new = sorted((w for w in words if w not in self.known), key=len)
+        if not new:
+            return
+        totals, starts, sizes = self._search(new, 2, 1)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.names += new
+        self.totals = np.concatenate([self.totals, totals])
+        self.starts = np.concatenate([self.starts, starts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.deep = np.concatenate([self.deep, np.full(len(new), -1)])
+        self.bytes += 4 * sum(map(len, new)) + _WORD_BYTES * len(new)
+
+    def _deepen(self, numbers: np.ndarray) -> None:
+        """Search all n best segmentations of those words that have only two so far."""
+        new = np.unique(numbers[self.deep[numbers] < 0])
         if not len(new):
-            return at
-        lengths = np.fromiter((len(words[i]) for i in new), np.int64, len(new))
-        order = np.argsort(lengths, kind="stable")
-        new, short = new[order], int((lengths < SHORT).sum())
-        named = [BLANK + words[i] for i in new]
-        totals, paths = [self.totals], []
-        for begin in range(0, short, TOGETHER):
-            some = named[begin : min(begin + TOGETHER, short)]
-            t, p = n_best_together(self.pieces, some, self.n, self.n if self.keep else 1)
-            totals.append(t)
-            paths += p
-        for word in named[short:]:
-            found = n_best_of(self.pieces, word, self.n)
-            totals.append(np.array([[f[0] for f in found] + [-np.inf] * (self.n - len(found))]))
-            paths.append([f[1] for f in found])
-        numbers = np.arange(len(self.known), len(self.known) + len(new))
-        self.known.update(zip([w[1:] for w in named], numbers.tolist()))
-        at[new] = numbers
-        if self.keep:
-            self.paths += paths
-        self.totals = np.concatenate(totals)
-        best = np.fromiter(itertools.chain.from_iterable(p[0] for p in paths), np.int32)
-        self.best = np.concatenate([self.best, best])
-        self.sizes = np.concatenate([self.sizes, [len(p[0]) for p in paths]])
-        return at
-
-    def _choices(self, at: np.ndarray, losses: np.ndarray) -> tuple[np.ndarray, list[dict[int, int]]]:
-        """What the n best of a text of the words ``at`` lose, and where they do not take a word's best."""
-        second = losses[:, 1] if self.n > 1 else np.zeros(0)
-        few = min(self.n - 1, len(second))
-        near = np.argpartition(second, few - 1)[:few] if 0 < few < len(second) else np.arange(few)
-        near = near[np.lexsort((near, second[near]))]
+            return
+        new = new[np.argsort([len(self.names[i]) for i in new], kind="stable")]
+        totals, starts, sizes = self._search([self.names[i] for i in new], self.n, self.n)
+        self.deep[new] = np.arange(len(self.deep_totals), len(self.deep_totals) + len(new))
+        self.deep_totals = np.concatenate([self.deep_totals, totals])
+        self.deep_starts = np.concatenate([self.deep_starts, starts])
+        self.deep_sizes = np.concatenate([self.deep_sizes, sizes])
+        self.bytes += 24 * self.n * len(new)
+
+    def _near(self, losses: np.ndarray) -> np.ndarray:
+        """The places of the n - 1 words of a text whose second segmentations lose least."""
+        few = min(self.n - 1, len(losses))
+        near = np.argpartition(losses, few - 1)[:few] if 0 < few < len(losses) else np.arange(few)
+        near = near[np.lexsort((near, losses[near]))]
+        return near[np.isfinite(losses[near])]
+
+    def _choices(self, near: np.ndarray, losses: np.ndarray) -> tuple[np.ndarray, list[dict[int, int]]]:
+        """What the n best of a text lose, and where they do not take a word's best."""
         lost, taken = np.zeros(1), [{}]
-        for place in near.tolist():
-            sums = (lost[:, None] + losses[place][None, :]).ravel()
+        for place, own in zip(near.tolist(), losses):
+            sums = (lost[:, None] + own[None, :]).ravel()
             order = np.argsort(sums, kind="stable")[: self.n]
             order = order[np.isfinite(sums[order])]
             lost = sums[order]
-            if self.keep:
-                taken = [
-                    taken[i // self.n] | ({place: i % self.n} if i % self.n else {}) for i in order.tolist()
-                ]
+            taken = [taken[i // self.n] | ({place: i % self.n} if i % self.n else {}) for i in order.tolist()]
         return lost, taken
 
-    def segment(self, texts: pa.Array):
-        """The ids of the best segmentations one after another, how many each text has, for each
-        text the scores of its n best and, if kept, their ids."""
-        if len(self.known) > REMEMBERED:
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all texts, one after another, and how many each has."""
+        if self.bytes + self.ids.nbytes > REMEMBERED:
             self._forget()
         odd = pc.match_substring_regex(texts, _ODD)
         lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
         numbered = lists.flatten().dictionary_encode()
-        at = self._learn(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
+        distinct = numbered.dictionary.to_pylist()
+        apart = [self._odd_words(t) for t in texts.filter(odd).to_pylist()]
+        self._learn(list(dict.fromkeys(itertools.chain(distinct, *apart))))
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[numbered.indices.to_numpy()]
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        if pc.any(odd).as_py():
-            apart = iter(np.split(at, np.cumsum(per_text)[:-1]) if len(per_text) else [])
+        if apart:
+            plain = iter(np.split(at, np.cumsum(per_text)[:-1]) if len(per_text) else [])
+            others = iter(apart)
             each = [
-                self._learn_whole(self._odd_words(t)) if o else next(apart)
-                for o, t in zip(odd.to_pylist(), texts.to_pylist())
+                np.array([self.known[w] for w in next(others)], np.int64) if o else next(plain) for o in odd.to_pylist()
             ]
             at, per_text = np.concatenate(each), np.array([len(e) for e in each], np.int64)
-        starts = np.cumsum(self.sizes) - self.sizes
-        taken = self.sizes[at]
-        reached = np.cumsum(taken)
-        ids = self.best[np.repeat(starts[at] - (reached - taken), taken) + np.arange(taken.sum())]
+        return at, per_text
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        reached = np.cumsum(sizes)
+        return self.ids[np.repeat(starts - (reached - sizes), sizes) + np.arange(sizes.sum())]
+
+    def best_of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """For each text the scores of its n best segmentations and, if kept, the ids of each, else of the best."""
+        at, per_text = self._words(texts)
         totals = self.totals[at]
-        losses = totals[:, :1] - totals
-        ends = np.cumsum(per_text)
+        losses = totals[:, 0] - totals[:, 1]
         summed = np.concatenate([[0.0], np.cumsum(totals[:, 0])])
-        sizes = np.diff(np.concatenate([[0], reached])[np.concatenate([[0], ends])])
+        ends = np.cumsum(per_text)
+        begins = ends - per_text
+        near = [self._near(losses[begin:end]) for begin, end in zip(begins, ends)]
+        self._deepen(np.concatenate([at[begin + n] for begin, n in zip(begins, near)] or [at]))
+        for begin, end, places in zip(begins.tolist(), ends.tolist(), near):
+            words = at[begin:end]
+            deep = self.deep[words[places]]
+            lost, others = self._choices(places, self.deep_totals[deep, :1] - self.deep_totals[deep])
+            starts, sizes = self.starts[words, 0], self.sizes[words, 0]
+            found = []
+            for other in others if self.keep else others[:1]:
+                own, each = starts, sizes
+                if other:
+                    place, k = np.array(list(other.items())).T
+                    own, each = starts.copy(), sizes.copy()
+                    row = self.deep[words[place]]
+                    own[place], each[place] = self.deep_starts[row, k], self.deep_sizes[row, k]
+                found.append(self._gather(own, each))
+            yield (summed[end] - summed[begin]) - lost, found
+
+    def segment(self, texts: pa.Array):
+        """The ids of the best segmentations one after another, how many each text has, for each
+        text the scores of its n best and, if kept, their ids."""
         scores, choices = [], []
-        for begin, end in zip((ends - per_text).tolist(), ends.tolist()):
-            lost, other = self._choices(at[begin:end], losses[begin:end])
-            scores.append((summed[end] - summed[begin]) - lost)
-            if self.keep:
-                paths = [self.paths[w] for w in at[begin:end].tolist()]
-                choices.append([[i for p, path in enumerate(paths) for i in path[o.get(p, 0)]] for o in other])
-        return ids, sizes, scores, choices
+        for score, found in self.best_of(texts):
+            scores.append(score)
+            choices.append(found)
+        sizes = np.array([len(found[0]) for found in choices], np.int64)
+        ids = np.concatenate([found[0] for found in choices]) if choices else np.zeros(0, np.int32)
+        return ids, sizes, scores, [[ids.tolist() for ids in found] for found in choices] if self.keep else []
 
     @staticmethod
     def _odd_words(text: str) -> list[str]:
@@ -351,11 +465,6 @@ class Segmenter:
                 parts.append(word)
         return parts
 
-    def _learn_whole(self, words: list[str]) -> np.ndarray:
-        numbers = self._learn(list(dict.fromkeys(words)))
-        del numbers
-        return np.array([self.known[w] for w in words], np.int64)
-
 
 _SEGMENTERS: dict[tuple[str, int, bool], Segmenter] = {}
 
@@ -375,6 +484,18 @@ def _pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
+_NESTED = pa.list_(pa.list_(pa.int32()))
+
+
+def _nested(choices: Sequence[list[np.ndarray]]) -> pa.Array:
+    """Lists of lists of ids, without Python's integers."""
+    flat = [ids for found in choices for ids in found]
+    inner = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+    outer = np.cumsum([0, *map(len, choices)]).astype(np.int32)
+    ids = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), ids))
+
+
 def encode_documents(
     docs: DataFrame, vocabulary: str, text: str = "text", n: int = N_BEST, all_ids: bool = False
 ) -> DataFrame:
@@ -390,14 +511,13 @@ def encode_documents(
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                ids, sizes, scores, choices = segmenter.segment(piece.column("text"))
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                scores, choices = zip(*segmenter.best_of(piece.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(ROW),
-                        pa.ListArray.from_arrays(ends, pa.array(ids)),
+                        _nested([[found[0]] for found in choices]).flatten(),
                         pa.array(scores, pa.list_(pa.float64())),
-                        pa.array(choices or [None] * piece.num_rows, pa.list_(pa.list_(pa.int32()))),
+                        _nested(choices) if all_ids else pa.nulls(piece.num_rows, _NESTED),
                     ],
                     [ROW, "pieces", "scores", "alternatives"],
                 )
@@ -408,6 +528,44 @@ def encode_documents(
     return unboxed(found, {c: F.col(c) for c in names})
 
 
+def report_segmentations(docs: DataFrame, vocabulary: str, text: str = "text", n: int = N_BEST) -> DataFrame:
+    """``docs`` without their text, with scores (of the n best, best first) and, for each of the n
+    best segmentations, all_sizes (its pieces) and all_crc32 (of its ids as little-endian unsigned
+    32-bit integers), and all_back: whether every one of them decodes to the text.
+
+    All is done where the segmentations are, a text at a time; only numbers leave the task.
+    """
+    rest = F.struct(*[c for c in docs.columns if c != text]).alias(ROW)
+    rows = docs.select(rest, known(text).alias("text"))
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = _segmenter(vocabulary, n, True)
+        table = segmenter.pieces
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                scores, sizes, sums, back = [], [], [], []
+                texts = piece.column("text")
+                for whole, (score, found) in zip(texts, segmenter.best_of(texts)):
+                    want = whole.as_py().replace(BLANK, " ")
+                    scores.append(score)
+                    sizes.append([len(ids) for ids in found])
+                    sums.append([zlib.crc32(ids.astype("<u4", copy=False)) for ids in found])
+                    back.append(all(table.decode(ids.tolist()) == want for ids in found))
+                columns = [
+                    piece.column(ROW),
+                    pa.array(scores, pa.list_(pa.float64())),
+                    pa.array(sizes, pa.list_(pa.int64())),
+                    pa.array(sums, pa.list_(pa.int64())),
+                    pa.array(back, pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [ROW, "scores", "all_sizes", "all_crc32", "all_back"])
+
+    more = "scores array<double>, all_sizes array<long>, all_crc32 array<long>, all_back boolean"
+    found = rows.mapInArrow(report, schema_of(rows, [ROW], more))
+    return unboxed(found, {c: F.col(c) for c in ("scores", "all_sizes", "all_crc32", "all_back")})
+
+
 def decode_documents(docs: DataFrame, vocabulary: str, pieces: str = "pieces") -> DataFrame:
     """``docs`` with decoded (the text of the ids in ``pieces``) and pieces_crc32 (of the ids
     as little-endian unsigned 32-bit integers)."""

@@ -17,7 +17,7 @@ from pagewright.llm.mtree import nearest_embeddings
 from pagewright.llm.near import near_duplicates
 from pagewright.llm.packages import ARCHIVE_SQL, archived
 from pagewright.llm.packing import checksums, write_blocks
-from pagewright.llm.pieces import check_alternatives, encode_documents
+from pagewright.llm.pieces import report_segmentations
 from pagewright.llm.secrets import scan_secrets
 from pagewright.llm.sharding import shard_documents
 from pagewright.llm.toxicity import held_out, score_documents, train
@@ -135,10 +135,10 @@ def piece_report(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
-    found = check_alternatives(encode_documents(docs.select("doc_id", "text"), vocabulary, all_ids=True), vocabulary)
+    found = report_segmentations(docs.select("doc_id", "text"), vocabulary)
     return found.select(
         "doc_id",
-        F.size("pieces").cast("long").alias("n_pieces"),
+        F.get("all_sizes", F.lit(0)).alias("n_pieces"),
         F.size("scores").cast("long").alias("n_best"),
         F.get("scores", F.lit(0)).alias("best_score"),
         F.get("scores", F.lit(1)).alias("second_score"),
