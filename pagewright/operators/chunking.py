@@ -1,21 +1,31 @@
 """Cutting books into overlapping, sentence-aligned chunks.
 
-A chunk's start depends on where the chunk before it ended, so a book is a
-sequential fold.  A book is still never one task: its pages are cut into blocks
-of ``pages_per_block``, every block is folded on its own from an *assumed* open
-buffer, and the assumption is checked against what the block before it really
-left open.  Blocks whose assumption was wrong are folded again.  When nothing
-changes any more, each block agrees with its predecessor and the first block of
-a book starts from nothing, so the result equals one fold over the whole book.
-Folds fall back into step within a few chunks, so the first check nearly always
-passes.
+Where the chunk that begins at a sentence ends follows from the running sum of
+the sentences' sizes by binary search, and where the next one begins by another.
+Whole chunks are stepped over, so a book's cuts come from numbers alone: sizes,
+section marks and pages.  Texts are written once, and joined once, at the end,
+inside the JVM, with the ranges of sentences the cuts name.
+
+A book is still never one task: its pages are cut into blocks of
+``pages_per_block``, and every block is stepped over from an *assumed* open
+chunk, which is then checked against what the block before it really left open.
+Blocks whose assumption was wrong are cut again.  When nothing changes any more,
+each block agrees with its predecessor and the first block of a book starts from
+nothing, so the result equals one pass over the whole book.  Cuts fall back into
+step within a few chunks, and at every section, so the first check nearly always
+passes; each check reads numbers only.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagewright.functions import text as tx
 from pagewright.plans.materialize import materialize
@@ -23,14 +33,16 @@ from pagewright.plans.once import with_once
 from pagewright.plans.ordered import prefix_sum
 
 PAGES_PER_BLOCK = 64
-#: Sentences at the end of a block from which its open buffer is first guessed.
+#: Sentences at the end of a block from which its open chunk is first guessed.
 GUESS_SENTENCES = 160
 #: Blocks per group when looking for the block before each block.
 _BLOCK_GROUP = 4096
 
-_FOLDED = (
-    "texts array<string>, first_pages array<int>, last_pages array<int>, "
-    "open_texts array<string>, open_pages array<int>"
+#: A sentence by its block and place; what is open at a block's end is a list of these.
+_OPEN = "array<struct<block: bigint, place: int, size: int, page: int>>"
+_CUT = (
+    "chunks array<struct<page_start: int, page_end: int, parts: array<struct<block: bigint, first: int, n: int>>>>, "
+    f"open {_OPEN}"
 )
 
 
@@ -52,63 +64,92 @@ def page_sentences(text) -> "F.Column":
     )
 
 
-def _overlap(lengths: list[int], overlap: int) -> int:
-    """How many trailing sentences of an emitted chunk the next one starts with."""
-    if overlap <= 0:
-        return 0
-    kept = total = 0
-    for length in reversed(lengths):
-        if kept and total + length > overlap:
+def cut_points(
+    sizes: list[int], opens: list[int], held: int, closed: bool, size: int, overlap: int
+) -> tuple[list[tuple[int, int]], int]:
+    """Chunks as (begin, end) over consecutive sentences, and where the open chunk begins.
+
+    ``sizes`` are lengths with their separator, ``opens`` the places of sentences
+    that begin a section, and the first ``held`` sentences are in the first chunk
+    already.  The end of a chunk is the next section, or as far as ``size`` goes,
+    but it takes one sentence beyond what it shares with the chunk before.  A
+    chunk cut for size shares the sentences of its last ``overlap`` characters
+    with the next one: one at least, and not all of several.  Unless ``closed``,
+    a chunk that reaches the last sentence stays open.
+    """
+    count = len(sizes)
+    reach = [0, *accumulate(sizes)]
+    borders = [*opens, count]
+    found: list[tuple[int, int]] = []
+    begin, least = 0, max(held, 1)
+    while begin < count:
+        border = borders[bisect_right(borders, begin)]
+        end = min(border, max(least, bisect_right(reach, reach[begin] + size) - 1))
+        if end == count and not closed:
             break
-        kept, total = kept + 1, total + length
-    return kept - 1 if kept == len(lengths) > 1 else kept
-
-
-def fold_block(texts, pages, opens, open_texts, open_pages, last, size, overlap):
-    """Fold one block's sentences onto the buffer left open before it."""
-    out_text, out_first, out_last = [], [], []
-    held = list(zip(open_texts, open_pages))
-    length = sum(len(t) + 1 for t, _ in held)
-
-    def emit():
-        out_text.append(" ".join(t for t, _ in held))
-        out_first.append(min(p for _, p in held))
-        out_last.append(max(p for _, p in held))
-
-    for sentence, page, starts in zip(texts, pages, opens):
-        if held and starts:
-            emit()
-            held, length = [], 0
-        elif held and length + len(sentence) + 1 > size:
-            emit()
-            keep = _overlap([len(t) + 1 for t, _ in held], overlap)
-            held = held[len(held) - keep :]
-            length = sum(len(t) + 1 for t, _ in held)
-        held.append((sentence, page))
-        length += len(sentence) + 1
-    if last and held:
-        emit()
-        held = []
-    return out_text, out_first, out_last, [t for t, _ in held], [p for _, p in held]
-
-
-def _fold_udf(size: int, overlap: int):
-    @F.pandas_udf(_FOLDED)
-    def fold(
-        texts: pd.Series,
-        pages: pd.Series,
-        opens: pd.Series,
-        open_texts: pd.Series,
-        open_pages: pd.Series,
-        last: pd.Series,
-    ) -> pd.DataFrame:
-        rows = [
-            fold_block(*row, size, overlap)
-            for row in zip(texts, pages, opens, open_texts, open_pages, last)
+        found.append((begin, end))
+        shared = end
+        if end < border and overlap > 0:
+            shared = min(end - 1, bisect_left(reach, reach[end] - overlap))
+            if shared <= begin:
+                shared = begin if end - begin == 1 else begin + 1
+        begin, least = shared, end + 1
+    return found, begin
+
+
+def _cutter(size: int, overlap: int):
+    """Cuts of each block from what is open before it."""
+
+    def parts(sentences: list[dict]) -> list[dict]:
+        runs: list[dict] = []
+        for s in sentences:
+            if runs and runs[-1]["block"] == s["block"] and runs[-1]["first"] + runs[-1]["n"] == s["place"]:
+                runs[-1]["n"] += 1
+            else:
+                runs.append({"block": s["block"], "first": s["place"], "n": 1})
+        return runs
+
+    def cut(row: dict) -> dict:
+        held = row["__in"] or []
+        own = zip(row["sizes"], row["pages"])
+        skipped = row["__skipped"]
+        every = held + [
+            {"block": row["__block"], "place": skipped + i, "size": n, "page": p} for i, (n, p) in enumerate(own)
+        ]
+        opens = [len(held) + i for i, o in enumerate(row["opens"]) if o and len(held) + i > 0]
+        found, rest = cut_points([s["size"] for s in every], opens, len(held), row["__last"], size, overlap)
+        chunks = [
+            {"page_start": every[a]["page"], "page_end": every[b - 1]["page"], "parts": parts(every[a:b])}
+            for a, b in found
         ]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _FOLDED.split(", ")])
+        return {"chunks": chunks, "open": every[rest:]}
 
-    return fold
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("chunks", _ARROW_CHUNKS), ("open", _ARROW_OPEN)])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                cuts = pa.RecordBatch.from_pylist([cut(row) for row in some.select(_READ).to_pylist()], kinds)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("__whole"), *cuts.columns], ["__whole", *cuts.schema.names]
+                )
+
+    return run
+
+
+_READ = ["__block", "sizes", "pages", "opens", "__in", "__skipped", "__last"]
+_ARROW_OPEN = pa.list_(
+    pa.struct([("block", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("page", pa.int32())])
+)
+_ARROW_CHUNKS = pa.list_(
+    pa.struct(
+        [
+            ("page_start", pa.int32()),
+            ("page_end", pa.int32()),
+            ("parts", pa.list_(pa.struct([("block", pa.int64()), ("first", pa.int32()), ("n", pa.int32())]))),
+        ]
+    )
+)
 
 
 def _blocks(pages: DataFrame, keys: list[str], page: str, text: str, width: int) -> DataFrame:
@@ -192,72 +233,95 @@ def chunk_pages(
     """
     if chunk_overlap >= chunk_size:
         raise ValueError("chunk_overlap must be smaller than chunk_size")
-    fold = _fold_udf(chunk_size, chunk_overlap)
-    no_text, no_page = F.array().cast("array<string>"), F.array().cast("array<int>")
+    cutter = _cutter(chunk_size, chunk_overlap)
+    book = [*keys, "__block"]
+
+    def cut(todo: DataFrame) -> DataFrame:
+        """``todo`` (a block's numbers and ``__in``) with its chunks and what it leaves open."""
+        whole = F.struct(*book, "__prev", "__in").alias("__whole")
+        rows = todo.select(whole, *_READ)
+        schema = StructType([rows.schema["__whole"], *StructType.fromDDL(_CUT).fields])
+        return rows.mapInArrow(cutter, schema).select("__whole.*", "chunks", "open")
 
     raw = materialize(_blocks(pages, keys, page, text, pages_per_block), "blocks")
-    blocks = raw.join(_neighbours(raw, keys), [*keys, "__block"])
-    is_last = F.col("__next").isNull()
+    sizes = F.transform("texts", lambda t: (F.char_length(t) + 1).cast("int"))
+    numbers = raw.select(*book, sizes.alias("sizes"), "pages", "opens")
+    blocks = materialize(
+        numbers.join(_neighbours(raw, keys), book).select(
+            "*", F.lit(0).alias("__skipped"), F.col("__next").isNull().alias("__last")
+        ),
+        "block-numbers",
+    )
 
+    # What each block leaves open, guessed from its last sentences alone.
     def tail(name: str):
         return F.slice(name, -F.least(F.size(name), F.lit(GUESS_SENTENCES)), F.lit(GUESS_SENTENCES))
 
-    # What each block leaves open, guessed from its last sentences alone.
-    guess = (
-        blocks.where(~is_last)
-        .withColumn("__f", fold(tail("texts"), tail("pages"), tail("opens"), no_text, no_page, is_last))
-        .select(*keys, F.col("__block").alias("__prev"), "__f.open_texts", "__f.open_pages")
+    tails = blocks.where(~F.col("__last")).withColumns(
+        {
+            "__skipped": F.greatest(F.size("sizes") - GUESS_SENTENCES, F.lit(0)),
+            "__in": F.lit(None).cast(_OPEN),
+            **{name: tail(name) for name in ("sizes", "pages", "opens")},
+        }
     )
-
-    def folded(todo: DataFrame, entries: DataFrame) -> DataFrame:
-        return (
-            todo.join(entries, [*keys, "__prev"], "left")
-            .withColumn("__in_texts", F.coalesce("open_texts", no_text))
-            .withColumn("__in_pages", F.coalesce("open_pages", no_page))
-            .withColumn("__f", fold("texts", "pages", "opens", "__in_texts", "__in_pages", is_last))
-            .select(*keys, "__block", "__prev", "__in_texts", "__in_pages", "__f.*")
-        )
-
-    done = materialize(folded(blocks, guess), "folded")
+    guess = cut(tails).select(*keys, F.col("__block").alias("__prev"), F.col("open").alias("__in"))
+    done = materialize(cut(blocks.join(guess, [*keys, "__prev"], "left")), "cuts")
     while True:
-        left = done.select(
-            *keys, F.col("__block").alias("__prev"), F.col("open_texts"), F.col("open_pages")
-        )
+        left = done.select(*keys, F.col("__block").alias("__prev"), "open")
         wrong = (
-            done.select(*keys, "__block", "__prev", "__in_texts", "__in_pages")
+            done.select(*book, "__prev", "__in")
             .where(F.col("__prev").isNotNull())
             .join(left, [*keys, "__prev"])
-            .where(
-                (F.col("__in_texts") != F.col("open_texts"))
-                | (F.col("__in_pages") != F.col("open_pages"))
-            )
-            .select(*keys, "__block")
+            .where(~F.col("__in").eqNullSafe(F.col("open")))
+            .select(*book, F.col("open").alias("__in"))
         )
         wrong = materialize(wrong, "wrong-entries")
         if wrong.isEmpty():
             break
-        again = folded(blocks.join(wrong, [*keys, "__block"], "left_semi"), left)
-        kept = done.join(wrong, [*keys, "__block"], "left_anti")
-        done = materialize(kept.unionByName(again), "folded")
+        again = cut(blocks.join(wrong, book))
+        kept = done.join(wrong.select(*book), book, "left_anti")
+        done = materialize(kept.unionByName(again), "cuts")
+    return _joined(done, raw, keys)
+
 
+def _joined(done: DataFrame, raw: DataFrame, keys: list[str]) -> DataFrame:
+    """The texts of the chunks: ranges of each block's sentences, put together where a chunk crosses blocks."""
+    book = [*keys, "__block"]
     counted = prefix_sum(
-        done.select(*keys, "__block", F.size("texts").alias("__n")),
-        keys,
-        "__block",
-        F.col("__n"),
-        "__first_index",
+        done.select(*book, F.size("chunks").alias("__n")), keys, "__block", F.col("__n"), "__first_index",
         width=_BLOCK_GROUP,
-    ).select(*keys, "__block", "__first_index")
-    parts = F.arrays_zip("texts", "first_pages", "last_pages")
-    return (
-        done.join(counted, [*keys, "__block"])
-        .select(*keys, "__first_index", F.posexplode(parts).alias("__pos", "__c"))
-        .select(
-            *keys,
-            (F.col("__first_index") + F.col("__pos")).cast("int").alias("chunk_index"),
-            F.col("__c.texts").alias("text"),
-            F.col("__c.first_pages").alias("page_start"),
-            F.col("__c.last_pages").alias("page_end"),
-        )
+    ).select(*book, "__first_index")
+    chunks = done.join(counted, book).select(
+        *keys, "__first_index", F.posexplode("chunks").alias("__pos", "__c")
     )
-
+    parts = chunks.select(
+        *keys,
+        (F.col("__first_index") + F.col("__pos")).cast("int").alias("chunk_index"),
+        "__c.page_start",
+        "__c.page_end",
+        F.size("__c.parts").alias("__parts"),
+        F.posexplode("__c.parts").alias("__part", "__p"),
+    )
+    named = ["chunk_index", "page_start", "page_end", "__parts", "__part"]
+    wanted = parts.groupBy(*keys, F.col("__p.block").alias("__block")).agg(
+        F.collect_list(F.struct(*named, F.col("__p.first").alias("first"), F.col("__p.n").alias("n"))).alias("__want")
+    )
+    cut = F.transform(
+        "__want",
+        lambda w: F.struct(
+            *[w[n].alias(n) for n in named],
+            F.array_join(F.slice("texts", w["first"] + 1, w["n"]), " ").alias("text"),
+        ),
+    )
+    pieces = (
+        raw.select(*book, "texts").join(wanted, book).select(*keys, F.explode(cut).alias("__t")).select(*keys, "__t.*")
+    )
+    columns = [*keys, "chunk_index", "text", "page_start", "page_end"]
+    pieces = materialize(pieces, "pieces")
+    crossing = (
+        pieces.where("__parts > 1")
+        .groupBy(*keys, "chunk_index", "page_start", "page_end")
+        .agg(F.sort_array(F.collect_list(F.struct("__part", "text"))).alias("__texts"))
+        .withColumn("text", F.array_join(F.col("__texts.text"), " "))
+    )
+    return pieces.where("__parts = 1").select(*columns).unionByName(crossing.select(*columns))
