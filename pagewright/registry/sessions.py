@@ -8,7 +8,7 @@ from pagewright.operators import generation as ge
 from pagewright.operators import sessions as ss
 from pagewright.plans.materialize import scratch_path
 from pagewright.registry.common import query, table
-from pagewright.streaming.sessions import message_stream, run_to_table, track_history
+from pagewright.streaming.sessions import latest_states, message_stream, run_to_table, track_history, track_scope
 
 #: Messages kept per session; conversations have up to eight.
 _KEEP = 4
@@ -46,6 +46,54 @@ def stream_sessions(spark, sf_dir):
     )
 
 
+@query(
+    f"""
+    WITH said AS (
+        SELECT user_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN event_id % 3 + 6 END AS grade,
+               CASE WHEN event_type = 'purchase' THEN 's' || (event_id % 2) END AS subject, event_type = 'error' AS clear,
+               CASE WHEN event_type IN ('click', 'view') THEN event_type || ' ' || event_id END AS content,
+               CASE WHEN event_type = 'view' THEN event_id END AS answer_id FROM events),
+    grades AS (SELECT *, grade IS DISTINCT FROM lag(grade) OVER (PARTITION BY user_id ORDER BY seq) AS moved FROM said WHERE grade IS NOT NULL),
+    subjects AS (SELECT *, subject IS DISTINCT FROM lag(subject) OVER (PARTITION BY user_id ORDER BY seq) AS moved FROM said WHERE subject IS NOT NULL),
+    since AS (
+        SELECT user_id, max(seq) AS since FROM (
+            SELECT user_id, seq FROM grades WHERE moved UNION ALL SELECT user_id, seq FROM subjects WHERE moved
+            UNION ALL SELECT user_id, seq FROM said WHERE clear) GROUP BY user_id),
+    kept AS (
+        SELECT user_id, seq, content FROM (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS n FROM said WHERE content IS NOT NULL)
+        WHERE n <= {_KEEP})
+    SELECT s.user_id::VARCHAR AS user_id, (SELECT arg_max(grade, seq) FROM grades g WHERE g.user_id = s.user_id)::INTEGER AS grade,
+           (SELECT arg_max(subject, seq) FROM subjects g WHERE g.user_id = s.user_id) AS subject,
+           (SELECT CASE WHEN max(a.seq) >= coalesce(any_value(since), 0) THEN arg_max(a.answer_id, a.seq) END
+            FROM said a WHERE a.user_id = s.user_id AND a.answer_id IS NOT NULL) AS last_answer_id,
+           coalesce((SELECT string_agg(content, '; ' ORDER BY seq) FROM kept k WHERE k.user_id = s.user_id AND k.seq >= coalesce(since, 0)), '') AS history
+    FROM (SELECT DISTINCT user_id FROM events) s LEFT JOIN since USING (user_id) GROUP BY s.user_id, since
+    """
+)
+def stream_scope(spark, sf_dir):
+    """Profile, history and last answer of every user, from a stream whose messages come in any order."""
+    kind, number = F.col("event_type"), F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.lit("chat").alias("channel"),
+        F.col("user_id").cast("string").alias("user_id"),
+        number.alias("seq"),
+        F.when(kind == "signup", number % 3 + 6).cast("int").alias("grade"),
+        F.when(kind == "purchase", F.concat(F.lit("s"), (number % 2).cast("string"))).alias("subject"),
+        (kind == "error").alias("clear"),
+        F.lit("user").alias("role"),
+        F.when(kind.isin("click", "view"), F.concat_ws(" ", kind, number.cast("string"))).alias("content"),
+        F.when(kind == "view", number).alias("answer_id"),
+    )
+    inbox, out, checkpoint = (scratch_path(spark, f"scope-{n}") for n in ("inbox", "states", "checkpoint"))
+    # A file is one micro-batch; its messages are drawn from the whole time.
+    events.repartition(3, F.xxhash64("seq") % 3).write.parquet(inbox)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    run_to_table(track_scope(stream, _KEEP), out, checkpoint)
+    states = latest_states(spark, out, ["channel", "user_id"])
+    return states.select("user_id", "grade", "subject", "last_answer_id", F.array_join("contents", "; ").alias("history"))
+
+
 @query(
     """
     WITH changed AS (

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = (
@@ -45,54 +46,110 @@ def track_history(messages: DataFrame, key: str, order: str, role: str, content:
     )
 
 
+class _Latest:
+    """Values set at sequence numbers, the newest ``ROOM`` of them, in order.
+
+    ``base`` is the value the oldest of them replaced.  Adding values is the same
+    in any order, unless more than ``ROOM`` newer ones are known already.
+    """
+
+    ROOM = 64
+
+    def __init__(self, seqs: list[int], values: list, base, base_seq: int) -> None:
+        self.at = dict(zip(seqs, values))
+        self.base, self.base_seq = base, base_seq
+
+    def add(self, seqs: list[int], values: list) -> None:
+        self.at.update((s, v) for s, v in zip(seqs, values) if s > self.base_seq)
+        if len(self.at) > self.ROOM:
+            *old, last = sorted(self.at)[: len(self.at) - self.ROOM]
+            self.base, self.base_seq = self.at[last], last
+            for seq in [*old, last]:
+                del self.at[seq]
+
+    def value(self):
+        return self.at[max(self.at)] if self.at else self.base
+
+    def changed(self) -> int:
+        """Where the value took its present state, -1 if before all that is known."""
+        where, held = -1, self.base
+        for seq in sorted(self.at):
+            if self.at[seq] != held:
+                where, held = seq, self.at[seq]
+        return where
+
+    def row(self) -> tuple:
+        seqs = sorted(self.at)
+        return seqs, [self.at[s] for s in seqs], self.base, self.base_seq
+
+
+SCOPE_STATE = (
+    "grade_seqs array<bigint>, grades array<int>, grade_base int, grade_base_seq bigint, "
+    "subject_seqs array<bigint>, subjects array<string>, subject_base string, subject_base_seq bigint, "
+    "cleared bigint, answer_seq bigint, answer_id bigint, "
+    "seqs array<bigint>, roles array<string>, contents array<string>"
+)
+
+
 def track_scope(events: DataFrame, keep: int) -> DataFrame:
     """Profile, history and last answer per (channel, user_id), cleared when the scope changes.
 
     ``events``: channel, user_id, seq, grade, subject (NULL unless the message
     sets them), clear (true for a command that empties the history), role,
-    content, answer_id.  One state row per session and batch.  A message that comes
-    in a later batch than messages sent after it is left out, so it cannot bring back
-    an older scope.
+    content, answer_id.  One row per touched session and batch.
+
+    The state is that of all messages so far in the order of ``seq``, in whatever
+    order, batch or micro-batch they came: it holds the newest ``keep`` messages,
+    the newest settings of grade and subject, the last clearing and the last
+    answer, each with its number.  A late message finds its place among them, and
+    what the history shows is what lies behind the last change of scope.  Each
+    Arrow batch is folded into this state, so a session's messages are never held
+    together.  Of grade and subject, the ``_Latest.ROOM`` newest settings are told apart.
     """
     output = "channel string, user_id string, grade int, subject string, last_answer_id bigint, contents array<string>"
 
     def update(keys, batches: Iterator[pd.DataFrame], state: GroupState):
-        empty = (-1, None, None, None, [], [], [])
-        seen, grade, subject, answer, seqs, roles, contents = state.get if state.exists else empty
-        seqs, roles, contents = list(seqs), list(roles), list(contents)
-        # A session's messages of one micro-batch, in order however they are cut into Arrow batches.
-        rows = pd.concat(list(batches)).sort_values("seq")
-        rows = rows[rows["seq"] > seen].astype(object)
-        rows = rows.where(rows.notna(), None)
-        for row in rows.itertuples(index=False):
-            seen = int(row.seq)
-            moved = (
-                row.clear
-                or (row.grade is not None and row.grade != grade)
-                or (row.subject is not None and row.subject != subject)
-            )
-            if moved:
-                seqs, roles, contents, answer = [], [], [], None
-            grade = grade if row.grade is None else int(row.grade)
-            subject = subject if row.subject is None else row.subject
-            if row.content is not None:
-                seqs, roles, contents = (
-                    [*seqs, seen][-keep:],
-                    [*roles, row.role][-keep:],
-                    [*contents, row.content][-keep:],
-                )
-            answer = answer if row.answer_id is None else int(row.answer_id)
-        state.update((seen, grade, subject, answer, seqs, roles, contents))
-        yield pd.DataFrame(
-            [(*keys, grade, subject, answer, contents)],
-            columns=["channel", "user_id", "grade", "subject", "last_answer_id", "contents"],
-        )
+        empty = ([], [], None, -1, [], [], None, -1, -1, -1, None, [], [], [])
+        held = state.get if state.exists else empty
+        grades, subjects = _Latest(*held[:4]), _Latest(*held[4:8])
+        cleared, answered, answer = held[8:11]
+        messages = dict(zip(held[11], zip(held[12], held[13])))
+        for batch in batches:
+            for column, known, kind in (("grade", grades, int), ("subject", subjects, str)):
+                some = batch[batch[column].notna()]
+                known.add(some["seq"].tolist(), [kind(v) for v in some[column]])
+            gone = batch.loc[batch["clear"].fillna(False).astype(bool), "seq"]
+            cleared = max(cleared, int(gone.max()) if len(gone) else -1)
+            given = batch[batch["answer_id"].notna()]
+            if len(given) and given["seq"].max() > answered:
+                last = given.loc[given["seq"].idxmax()]
+                answered, answer = int(last["seq"]), int(last["answer_id"])
+            said = batch[batch["content"].notna()].nlargest(keep, "seq")
+            messages |= dict(zip(said["seq"].tolist(), zip(said["role"].tolist(), said["content"].tolist())))
+            for seq in sorted(messages)[:-keep]:
+                del messages[seq]
+        seqs = sorted(messages)
+        roles, contents = ([messages[s][i] for s in seqs] for i in (0, 1))
+        state.update((*grades.row(), *subjects.row(), cleared, answered, answer, seqs, roles, contents))
+        since = max(cleared, grades.changed(), subjects.changed())
+        shown = [messages[s][1] for s in seqs if s >= since]
+        row = (*keys, grades.value(), subjects.value(), answer if answered >= since else None, shown)
+        names = ["channel", "user_id", "grade", "subject", "last_answer_id", "contents"]
+        yield pd.DataFrame([row], columns=names).astype({"grade": "Int32", "last_answer_id": "Int64"})
 
     return events.groupBy("channel", "user_id").applyInPandasWithState(
-        update, output, STATE, "update", GroupStateTimeout.NoTimeout
+        update, output, SCOPE_STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
+def latest_states(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The newest row of each session in a table written by :func:`run_to_table`."""
+    rows = spark.read.parquet(table)
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = F.max_by(F.struct(*rest), "batch_id").alias("__s")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "__s.*")
+
+
 def run_to_table(stream: DataFrame, table: str, checkpoint: str, name: str | None = None) -> None:
     """Process what is available now into ``table``, one folder per batch.
 

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pagewright.operators.retrieval import passage_key
 from pagewright.settings import Settings
 from pagewright.sources.tables import feedback_sheet, write_csv
 from pagewright.streaming.channels import incoming, outgoing, webhook_deliveries
-from pagewright.streaming.sessions import run_to_table, track_scope
+from pagewright.streaming.sessions import _Latest, latest_states, run_to_table, track_scope
 
 ANSWERS = "answer_id bigint, created_at string, channel string, user_id string, display_name string, grade int, subject string, question string, answer string, citations string, grounded int"
 
@@ -204,6 +205,48 @@ def test_streamed_scope_keeps_the_order_of_messages(spark, tmp_path):
     assert [(r["grade"], list(r["contents"])) for r in states] == [(6, ["m4", "m5", "m6"]), (6, ["m5", "m6", "m7"])]
 
 
+def test_streamed_scope_takes_late_messages_of_later_batches(spark, tmp_path):
+    schema = "channel string, user_id string, seq bigint, grade int, subject string, role string, content string, answer_id bigint, clear boolean"
+    batches = [
+        ([(5, {}), (6, {"grade": 6, "answer_id": 60})], (6, 60, ["m6"])),
+        # An older setting of the same grade moves the change of scope back.
+        ([(1, {}), (2, {"grade": 6})], (6, 60, ["m2", "m5", "m6"])),
+        ([(3, {}), (4, {})], (6, 60, ["m4", "m5", "m6"])),
+        ([(5.5, {"clear": True, "content": None})], (6, 60, ["m6"])),
+        ([(7, {"grade": 9})], (9, None, ["m7"])),
+        ([(6.5, {"answer_id": 65})], (9, None, ["m7"])),
+    ]
+    for number, (rows, wanted) in enumerate(batches):
+        base = {"channel": "c", "user_id": "u", "role": "user"}
+        lines = [{**base, "seq": int(seq * 10), "content": f"m{seq}", **more} for seq, more in rows]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{number}.json").write_text("\n".join(map(json.dumps, lines)))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        run_to_table(track_scope(stream, 3), str(tmp_path / "out"), str(tmp_path / "cp"))
+        (row,) = latest_states(spark, str(tmp_path / "out"), ["channel", "user_id"]).collect()
+        assert (row["grade"], row["last_answer_id"], list(row["contents"])) == wanted, number
+
+
+def test_newest_settings_add_up_in_any_order(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(200):
+        events = [(s, rng.choice("ab")) for s in range(12)]
+        wanted = max((i for i in range(12) if i == 0 or events[i][1] != events[i - 1][1]), default=-1)
+        rng.shuffle(events)
+        known = _Latest([], [], None, -1)
+        while events:
+            some, events = events[:3], events[3:]
+            known.add(*map(list, zip(*some)))
+            known = _Latest(*known.row())
+        assert known.changed() == wanted
+    monkeypatch.setattr(_Latest, "ROOM", 4)
+    known = _Latest([], [], None, -1)
+    known.add(list(range(20)), ["a"] * 17 + ["b"] * 3)
+    assert known.row() == ([16, 17, 18, 19], ["a", "b", "b", "b"], "a", 15) and known.changed() == 17
+    known.add([3], ["c"])
+    assert known.value() == "b" and known.changed() == 17
+
+
 def test_settings(monkeypatch):
     assert Settings().history_messages == 12
     for bad in ({"top_k": 0}, {"top_k": 21}, {"chunk_size": 300, "chunk_overlap": 300}, {"max_distance": 0}, {"session_max_turns": 0}, {"chunk_size": 10}):
