@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.messages import rating_in_range
 from pagewright.operators.index import latest
-from pagewright.plans.ordered import prefix_sum
+from pagewright.plans.ordered import gapless_rank
 
 ANSWER_COLUMNS = (
     "answer_id bigint, created_at timestamp, channel string, user_id string, display_name string, "
@@ -21,17 +21,24 @@ def with_later_columns(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: F.lit(None).cast("string") for n in missing}) if missing else rows
 
 
+def with_answer_ids(known: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """``incoming`` with ``answer_id``: ids go on gaplessly from the largest of ``known`` in the order of arrival."""
+    placed = gapless_rank(incoming, order, "__place")
+    largest = known.agg(F.coalesce(F.max("answer_id"), F.lit(0)).alias("__largest"), F.lit(0).alias("__one"))
+    # One row, looked up like any other.
+    numbered = placed.withColumn("__one", F.lit(0)).join(largest, "__one")
+    return numbered.withColumn("answer_id", F.col("__largest") + F.col("__place") + 1).drop("__one", "__largest", "__place")
+
+
 def record_answers(known: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """``incoming`` as rows of the answer log: ids go on gaplessly from the largest known one.
 
-    ``order`` (a unique whole number) is the order of arrival.  A NULL creation
-    time becomes the present one; columns an answer lacks are NULL.
+    ``order`` (unique) is the order of arrival.  A NULL creation time becomes the
+    present one; columns an answer lacks are NULL.
     """
-    last = known.agg(F.coalesce(F.max("answer_id"), F.lit(0))).first()[0]
-    placed = prefix_sum(incoming.withColumn("__all", F.lit(0)), ["__all"], order, F.lit(1), "__before")
+    placed = with_answer_ids(known, incoming.drop("answer_id"), order)
     columns = dict(c.strip().split(" ") for c in ANSWER_COLUMNS.split(","))
-    given = {c: F.col(c) if c in incoming.columns else F.lit(None) for c in columns}
-    given["answer_id"] = F.col("__before") + 1 + last
+    given = {c: F.col(c) if c in placed.columns else F.lit(None) for c in columns}
     given["created_at"] = F.coalesce(given["created_at"].cast("timestamp"), F.current_timestamp())
     return placed.select(*[given[c].cast(kind).alias(c) for c, kind in columns.items()])
 

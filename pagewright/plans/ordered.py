@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from pagewright.plans.materialize import materialize
+
 BUCKET_WIDTH = 65_536
 _B = "__bucket"
 
@@ -115,3 +117,28 @@ def change_epochs(
         .withColumn(out, F.col("__base") + F.col("__inside"))
         .drop(_B, "__state", "__change", "__inside", "__base")
     )
+
+
+def gapless_rank(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Each row's rank, from 0, by ``order`` (unique, of any sortable type) among all rows.
+
+    Rows are dealt into ranges by sampled bounds, so their number in a range does
+    not depend on how the values are spread; each range is ranked on its own and
+    moved up by the rows of the ranges before, of which there are as many as
+    shuffle partitions.
+    """
+    ranged = df.repartitionByRange(order).withColumn("__range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")  # a range's number is drawn once
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("__range")
+        .agg(F.count("*").alias("__n"))
+        .select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    )
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
+    return (
+        ranged.withColumn("__inside", inside)
+        .join(starts, "__range")
+        .withColumn(out, F.col("__start") + F.col("__inside"))
+        .drop("__range", "__inside", "__start")
+    )

@@ -14,7 +14,7 @@ from pagewright.operators import sessions as ss
 from pagewright.registry.common import query, table
 from pagewright.sources.tables import feedback_sheet
 
-_SQL_TABLES = """
+SQL_TABLES = """
     referred AS (
         SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS)
                       OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS about
@@ -50,7 +50,7 @@ def _user():
     return F.concat(F.lit("u"), F.col("user_id").cast("string"))
 
 
-def _answers(spark, sf_dir):
+def answer_log(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("event_type = 'view'").select(
         F.col("event_id").alias("answer_id"),
         F.col("ts").alias("created_at"),
@@ -76,7 +76,7 @@ def _reports(spark, sf_dir):
         F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("note"),
         F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("reporter "), "user_id")).alias("reporter_name"),
     )
-    return fb.accept_reports(fb.with_later_columns(old, "note", "reporter_name"), _answers(spark, sf_dir))
+    return fb.accept_reports(fb.with_later_columns(old, "note", "reporter_name"), answer_log(spark, sf_dir))
 
 
 def _ratings(spark, sf_dir):
@@ -89,11 +89,11 @@ def _ratings(spark, sf_dir):
         F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 5).cast("int").alias("guidance"),
         F.lit(None).cast("string").alias("user_name"),
     )
-    return fb.accept_ratings(arrived, _answers(spark, sf_dir), ["event_id"])
+    return fb.accept_ratings(arrived, answer_log(spark, sf_dir), ["event_id"])
 
 
 @query(
-    f"""WITH {_SQL_TABLES}
+    f"""WITH {SQL_TABLES}
     SELECT a.answers, grounded_answers::BIGINT AS grounded_answers, (answers - grounded_answers)::BIGINT AS refusals, reports, reporters,
            ratings, raters, round(clarity, 9) AS average_clarity, round(guidance, 9) AS average_guidance, round(reports / answers, 9) AS report_rate
     FROM (SELECT count(*) AS answers, coalesce(sum(grounded), 0) AS grounded_answers FROM answers) a,
@@ -101,41 +101,41 @@ def _ratings(spark, sf_dir):
          (SELECT count(*) AS ratings, count(DISTINCT user_id) AS raters, avg(clarity) AS clarity, avg(guidance) AS guidance FROM ratings)"""
 )
 def feedback_summary(spark, sf_dir):
-    totals = fb.summary(_answers(spark, sf_dir), _reports(spark, sf_dir), _ratings(spark, sf_dir))
+    totals = fb.summary(answer_log(spark, sf_dir), _reports(spark, sf_dir), _ratings(spark, sf_dir))
     rounded = {c: F.round(c, 9) for c in ("average_clarity", "average_guidance", "report_rate")}
     return totals.withColumns(rounded)
 
 
-@query(f"WITH {_SQL_TABLES} SELECT report_id, answer_id, reporter_id, note FROM reports")
+@query(f"WITH {SQL_TABLES} SELECT report_id, answer_id, reporter_id, note FROM reports")
 def accepted_reports(spark, sf_dir):
     return _reports(spark, sf_dir).select("report_id", "answer_id", "reporter_id", "note")
 
 
-@query(f"WITH {_SQL_TABLES} SELECT answer_id, user_id, event_id AS arrival, clarity, guidance FROM ratings")
+@query(f"WITH {SQL_TABLES} SELECT answer_id, user_id, event_id AS arrival, clarity, guidance FROM ratings")
 def rating_upsert(spark, sf_dir):
     return _ratings(spark, sf_dir).select("answer_id", "user_id", F.col("event_id").alias("arrival"), "clarity", "guidance")
 
 
-@query(f"WITH {_SQL_TABLES} SELECT user_id, latest_name FROM names")
+@query(f"WITH {SQL_TABLES} SELECT user_id, latest_name FROM names")
 def latest_names(spark, sf_dir):
-    return fb.latest_names(_answers(spark, sf_dir))
+    return fb.latest_names(answer_log(spark, sf_dir))
 
 
 @query(
-    f"""WITH {_SQL_TABLES}
+    f"""WITH {SQL_TABLES}
     SELECT report_id, coalesce(reporter_name, latest_name, '(mã ' || reporter_id || ')') AS reporter FROM reports LEFT JOIN names ON user_id = reporter_id"""
 )
 def report_names(spark, sf_dir):
     """Every report with a name for its reporter."""
     filled = fb.fill_names(
-        _reports(spark, sf_dir), fb.latest_names(_answers(spark, sf_dir)), "reporter_id", "reporter_name"
+        _reports(spark, sf_dir), fb.latest_names(answer_log(spark, sf_dir)), "reporter_id", "reporter_name"
     )
     reporter = F.coalesce("reporter_name", F.concat(F.lit("(mã "), "reporter_id", F.lit(")")))
     return filled.select("report_id", reporter.alias("reporter"))
 
 
 @query(
-    f"""WITH {_SQL_TABLES}
+    f"""WITH {SQL_TABLES}
     SELECT report_id, r.answer_id, reporter_id, coalesce(reporter_name, n.latest_name, '(mã ' || reporter_id || ')') AS reporter,
            coalesce(display_name, m.latest_name) AS display_name, grade, question
     FROM (SELECT * FROM reports ORDER BY report_id DESC LIMIT 20) r JOIN answers a USING (answer_id)
@@ -143,12 +143,12 @@ def report_names(spark, sf_dir):
 )
 def recent_reports(spark, sf_dir):
     """The twenty newest reports with their answers."""
-    rows = fb.recent_reports(_reports(spark, sf_dir), _answers(spark, sf_dir))
+    rows = fb.recent_reports(_reports(spark, sf_dir), answer_log(spark, sf_dir))
     return rows.select("report_id", "answer_id", "reporter_id", "reporter", "display_name", "grade", "question")
 
 
 @query(
-    f"""WITH {_SQL_TABLES}
+    f"""WITH {SQL_TABLES}
     SELECT report_id AS bao_sai_id, coalesce(reporter_name, n.latest_name, '(mã ' || reporter_id || ')') AS nguoi_bao, grade AS lop, question AS cau_hoi,
            coalesce(note, '') AS hoc_sinh_noi_sai_o_dau, 'Sách A, trang 1; Sách B, trang ' || (answer_id % 200) AS trang_sach,
            CASE WHEN grounded = 1 THEN 'có' ELSE 'không' END AS tra_loi_duoc_tu_sach, '' AS ket_luan_cua_thay_co
@@ -156,7 +156,7 @@ def recent_reports(spark, sf_dir):
 )
 def feedback_review_sheet(spark, sf_dir):
     """The review sheet of the 500 newest reports."""
-    sheet = feedback_sheet(fb.recent_reports(_reports(spark, sf_dir), _answers(spark, sf_dir), limit=500))
+    sheet = feedback_sheet(fb.recent_reports(_reports(spark, sf_dir), answer_log(spark, sf_dir), limit=500))
     return sheet.select(
         "bao_sai_id", "nguoi_bao", "lop", "cau_hoi", "hoc_sinh_noi_sai_o_dau", "trang_sach", "tra_loi_duoc_tu_sach", "ket_luan_cua_thay_co"
     )
@@ -184,7 +184,7 @@ def interaction_commands(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SQL_TABLES},
+    f"""WITH {SQL_TABLES},
     last AS (SELECT coalesce(max(answer_id), 0) AS id FROM answers WHERE answer_id % 2 = 0)
     SELECT last.id + row_number() OVER (ORDER BY answer_id) AS answer_id, created_at, 'events' AS channel, user_id,
            display_name, grade::INTEGER AS grade, question, grounded::INTEGER AS grounded
@@ -192,7 +192,7 @@ def interaction_commands(spark, sf_dir):
 )
 def recorded_answers(spark, sf_dir):
     """Every second answer is in the log already; the others arrive in the order of their events."""
-    answers = _answers(spark, sf_dir)
+    answers = answer_log(spark, sf_dir)
     known, incoming = answers.where("answer_id % 2 = 0"), answers.where("answer_id % 2 = 1")
     recorded = fb.record_answers(known, incoming.withColumn("arrival", F.col("answer_id")), "arrival")
     return recorded.select(

@@ -14,7 +14,9 @@ from pagewright.functions import answers as an
 from pagewright.functions import text as tx
 from pagewright.operators import retrieval as rt
 from pagewright.operators.embedding import embed
+from pagewright.plans import tutoring as tu
 from pagewright.plans.answering import answer_questions
+from pagewright.registry import feedback as fq
 from pagewright.registry.common import query, quote, sql_sentences, sql_strip, table
 from pagewright.registry.texts import SQL_EMBED, sql_keyword
 
@@ -282,3 +284,78 @@ def answer_all_questions(spark, sf_dir):
         "qid", "answer", "grounded", F.array_join("citations", "; ").alias("cited"), F.length("message").alias("message_length"),
         an.names_a_page(F.col("answer")).alias("names_a_page"),
     )
+
+
+# --- Conversations ---------------------------------------------------------------------------
+
+#: The subject a student asks about in each language's documents, as typed and as known.
+_SUBJECTS = {"de": ("toan", "Toán"), "en": ("ngu van", "Ngữ văn"), "es": ("lich su", "Lịch sử"), "fr": ("vat li", "Vật lí")}
+_TYPED = ["/baosai sai rồi", "/chamdiem 5 4", "/toi", "/xoa", "/abc"]
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join(quote(v) for v in values) + "]"
+
+
+_SQL_REMINDER = f"replace({quote(_REMINDER)}, 'Bạn mở sách  để', 'Bạn mở sách ' || cited || ' để')"
+
+
+@query(
+    f"""{_SQL_HYBRID},
+    {fq.SQL_TABLES.strip()},
+    turns AS (
+        SELECT qid, question, g, split_part(qid, '-', 1)::BIGINT AS item, split_part(qid, '-', 2)::BIGINT AS pos,
+               {_sql_list(_SUBJECTS)}[pos % 4 + 1] AS lang, {_sql_list(n for _, n in _SUBJECTS.values())}[pos % 4 + 1] AS subject
+        FROM questions),
+    placed AS (
+        SELECT *, lag(subject) OVER (PARTITION BY item ORDER BY pos) AS before, lag(g) OVER (PARTITION BY item ORDER BY pos) AS g_before,
+               (item * 1000 + pos) * 4 AS arrival, row_number() OVER (ORDER BY item, pos) + (SELECT max(answer_id) FROM answers) AS answer_id
+        FROM turns),
+    tops AS (
+        SELECT qid, {_SQL_CITATION} AS cited,
+               {sql_strip("string_split(string_split(text, chr(10) || chr(10))[1], '. ')[1]")} AS sentence
+        FROM (SELECT t.qid, arg_min(doc_id, rank) AS doc_id FROM placed t JOIN merged m ON m.qid = t.qid AND m.lang = t.lang
+              WHERE rank <= 10 AND d <= 1.1 GROUP BY t.qid) JOIN documents USING (doc_id)),
+    answered AS (
+        SELECT p.*, coalesce(cited, '') AS cited,
+               coalesce('Theo sách ' || cited || ': ' || sentence || chr(10) || chr(10) || {_SQL_REMINDER}, {quote(fv.NO_CONTEXT_ANSWER)}) AS message
+        FROM placed p LEFT JOIN tops USING (qid)),
+    replies AS (
+        SELECT item, arrival, 'set_grade' AS action, g AS grade, coalesce(before, CASE WHEN item % 2 = 0 THEN 'Toán' END) AS subject, NULL AS answer_id,
+               'Đã chọn lớp ' || g || coalesce(', môn ' || coalesce(before, CASE WHEN item % 2 = 0 THEN 'Toán' END), '') || '.' AS reply FROM answered
+        UNION ALL SELECT item, arrival + 1, 'set_subject', g, subject, NULL, 'Đã chọn lớp ' || g || ', môn ' || subject || '.' FROM answered
+        UNION ALL SELECT item, arrival + 2, 'question', g, subject, answer_id, message FROM answered
+        UNION ALL SELECT item, arrival + 3, {_sql_list(['report', 'rate', 'show_scope', 'clear_history', 'unknown'])}[pos % 5 + 1], g, subject, NULL,
+               CASE pos % 5
+                   WHEN 0 THEN 'Cảm ơn bạn đã báo! Lý do của bạn đã được ghi lại. '
+                       || CASE WHEN cited = '' THEN 'Bạn thử hỏi lại bằng từ ngữ trong sách nhé.' ELSE 'Bạn mở sách ' || cited || ' đối chiếu nhé.' END
+                   WHEN 1 THEN {quote(tu.RATING_THANKS)}
+                   WHEN 2 THEN 'Bạn đang học lớp ' || g || ', môn ' || subject || '.'
+                   WHEN 3 THEN {quote(tu.CLEARED)}
+                   ELSE 'Mình chưa hiểu lệnh /abc. Bạn xem các lệnh bằng /trogiup nhé!' END FROM answered)
+    SELECT item::VARCHAR AS user_id, arrival, action, grade::INTEGER AS grade, subject, answer_id::BIGINT AS answer_id, md5(reply) AS reply FROM replies"""
+)
+def tutor_turns(spark, sf_dir):
+    """Every benchmark item is a student who, for each sentence, chooses grade and subject, asks it, and then reports, rates or commands."""
+    questions = _text_questions(spark, sf_dir)
+    place = F.split("qid", "-")
+    item, position = place[0].cast("bigint"), place[1].cast("bigint")
+    choice = (position % 4 + 1).cast("int")
+    named = F.concat(F.lit("/mon "), F.element_at(F.array(*[F.lit(t) for t, _ in _SUBJECTS.values()]), choice))
+    last = F.element_at(F.array(*map(F.lit, _TYPED)), (position % 5 + 1).cast("int"))
+    typed = F.array(F.concat(F.lit("/lop "), F.col("grade").cast("string")), named, F.col("question"), last)
+    messages = questions.select(
+        F.lit("chat").alias("channel"), item.cast("string").alias("user_id"),
+        ((item * 1000 + position) * 4).alias("first"), F.posexplode(typed).alias("n", "text"),
+    ).select("channel", "user_id", (F.col("first") + F.col("n")).alias("arrival"), "text")
+    even = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").cast("string").alias("user_id"))
+    sessions = even.distinct().select(
+        F.lit("chat").alias("channel"), "user_id", F.lit(13).alias("grade"), F.lit("Toán").alias("subject"),
+        F.lit(None).cast("bigint").alias("last_answer_id"),
+    )
+    known = F.create_map(*[F.lit(x) for lang, (_, name) in _SUBJECTS.items() for x in (lang, name)])
+    chunks = _text_chunks(spark, sf_dir).withColumn("subject", F.try_element_at(known, F.col("subject")))
+    offsets = table(spark, sf_dir, "documents").select(F.col("source").alias("source_file")).distinct().withColumn("offset", F.lit(1))
+    log = fq.answer_log(spark, sf_dir)
+    turns = tu.tutor_turns(messages, sessions, log, chunks, offsets)
+    return turns.select("user_id", "arrival", "action", "grade", "subject", "answer_id", F.md5("reply").alias("reply"))
