@@ -19,7 +19,7 @@ the N best choices among the words with the smallest losses, of which N-1 are
 enough.  So a word is first searched for its two best segmentations, and for N
 only if it is among those N-1 of some text.  A worker remembers words and their
 segmentations as numbers in a few arrays, up to a number of bytes, and then
-begins anew.
+keeps those that it has met repeatedly.
 
 Null texts count as empty and have one segmentation, without pieces.  A literal
 U+2581 decodes as a blank, as in the library.
@@ -203,10 +203,11 @@ def _search_together(
     score_of = np.concatenate([pieces.scores, [pieces.spelled, -np.inf]])  # at -2 and -1
     forward = np.full((count, size + 1), -np.inf)
     forward[:, 0] = 0
+    worth = score_of[edge]
     for end in range(1, size + 1):
-        for k in range(1, min(widest, end) + 1):
-            reach = forward[:, end - k] + score_of[edge[:, end, k - 1]]
-            np.maximum(forward[:, end], reach, out=forward[:, end])
+        k = min(widest, end)
+        begins = forward[:, end - k : end][:, ::-1]  # shorter pieces first
+        forward[:, end] = (begins + worth[:, end, :k]).max(axis=1)
 
     room = 64
     rank = np.full((count, room), -np.inf)
@@ -245,7 +246,7 @@ def _search_together(
         w, e = grow[which], choices[which, k]
         fan = np.bincount(which, minlength=len(grow))
         slot = used[w] + np.arange(len(w)) - np.repeat(np.cumsum(fan) - fan, fan)
-        total = before[which] + score_of[e]
+        total = before[which] + worth[w, at[which], k]
         to = at[which] - k - 1
         own[w, slot], piece[w, slot], parent[w, slot] = total, e, best[which]
         place[w, slot], rank[w, slot] = to, forward[w, to] + total
@@ -315,6 +316,7 @@ class Segmenter:
         self.totals = np.zeros((0, 2))
         self.starts = self.sizes = np.zeros((0, 1), np.int64)
         self.deep = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)  # slices of texts with the word
         # Of words searched for all n: the scores, and where all segmentations stand.
         self.deep_totals = np.zeros((0, self.n))
         self.deep_starts = self.deep_sizes = np.zeros((0, self.n), np.int64)
@@ -357,6 +359,7 @@ class Segmenter:
         self.starts = np.concatenate([self.starts, starts])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.deep = np.concatenate([self.deep, np.full(len(new), -1)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
         self.bytes += 4 * sum(map(len, new)) + _WORD_BYTES * len(new)
 
     def _deepen(self, numbers: np.ndarray) -> None:
@@ -372,6 +375,29 @@ class Segmenter:
         self.deep_sizes = np.concatenate([self.deep_sizes, sizes])
         self.bytes += 24 * self.n * len(new)
 
+    def _shrink(self) -> None:
+        """Keep the words met repeatedly, a third of all at most, and forget the others."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > len(self.names) // 3:
+            kept = kept[np.argsort(-self.met[kept], kind="stable")[: len(self.names) // 3]]
+        names, totals, deep, met = [self.names[i] for i in kept], self.totals[kept], self.deep[kept], self.met[kept]
+        searched = np.flatnonzero(deep >= 0)
+        rows = deep[searched]
+        parts, moved, used = [], [], 0
+        for starts, sizes in ((self.starts[kept], self.sizes[kept]), (self.deep_starts[rows], self.deep_sizes[rows])):
+            taken = np.maximum(sizes, 0).ravel()
+            parts.append(self._gather(starts.ravel(), taken))
+            moved.append(((used + np.cumsum(taken) - taken).reshape(sizes.shape), sizes))
+            used += len(parts[-1])
+        deep_totals = self.deep_totals[rows]
+        self._forget()
+        self.names, self.known = names, dict(zip(names, range(len(names))))
+        self.ids, self.totals, self.met, self.deep_totals = np.concatenate(parts), totals, met // 2, deep_totals
+        (self.starts, self.sizes), (self.deep_starts, self.deep_sizes) = moved
+        self.deep = np.full(len(names), -1)
+        self.deep[searched] = np.arange(len(searched))
+        self.bytes = 4 * sum(map(len, names)) + _WORD_BYTES * len(names) + 24 * self.n * len(rows)
+
     def _near(self, losses: np.ndarray) -> np.ndarray:
         """The places of the n - 1 words of a text whose second segmentations lose least."""
         few = min(self.n - 1, len(losses))
@@ -393,14 +419,16 @@ class Segmenter:
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the words of all texts, one after another, and how many each has."""
         if self.bytes + self.ids.nbytes > REMEMBERED:
-            self._forget()
+            self._shrink()
         odd = pc.match_substring_regex(texts, _ODD)
         lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
         numbered = lists.flatten().dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
         apart = [self._odd_words(t) for t in texts.filter(odd).to_pylist()]
         self._learn(list(dict.fromkeys(itertools.chain(distinct, *apart))))
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[numbered.indices.to_numpy()]
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.met[numbers] += 1
+        at = numbers[numbered.indices.to_numpy()]
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         if apart:
             plain = iter(np.split(at, np.cumsum(per_text)[:-1]) if len(per_text) else [])

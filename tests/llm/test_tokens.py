@@ -124,6 +124,21 @@ def test_n_best_of_texts_equals_all_segmentations(pieces):
             assert pieces.decode(one) == text.replace(BLANK, " ")
 
 
+def test_words_met_repeatedly_are_kept_when_memory_is_full(monkeypatch):
+    import pagewright.llm.pieces as module
+
+    texts = [pa.array([f"the cat w{i} of x{i}", "the end of naïve"]) for i in range(30)]
+    roomy = Segmenter(PIECES, 4, keep=True)
+    wanted = [roomy.segment(t) for t in texts]
+    monkeypatch.setattr(module, "REMEMBERED", 4_000)
+    small = Segmenter(PIECES, 4, keep=True)
+    for t, want in zip(texts, wanted):
+        ids, sizes, scores, choices = small.segment(t)
+        assert ids.tolist() == want[0].tolist() and sizes.tolist() == want[1].tolist() and choices == want[3]
+        assert [s.tolist() for s in scores] == [s.tolist() for s in want[2]]
+    assert len(small.known) < 20 and "the" in small.known and len(roomy.known) > 60
+
+
 def test_odd_rows_come_back_from_their_pieces(spark):
     encoded = encode_documents(odd(spark), PIECES, all_ids=True)
     rows = decode_documents(encoded, PIECES).collect()
