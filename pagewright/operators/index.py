@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
 from pagewright.operators.embedding import embed
+from pagewright.plans.materialize import materialize
 
 ID_COLUMNS = ["grade", "subject", "source_file", "chunk_index", "text"]
 
@@ -37,10 +38,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``table`` with the rows of ``incoming`` inserted or replaced by key.
 
-    Only the incoming rows are deduplicated; the table is read through an anti
-    join, which Spark turns into a broadcast when the incoming keys are few.
+    Only the incoming rows are deduplicated.  They are stored, so that their
+    size is known when the anti join with the table is planned: few of them are
+    broadcast, and the table is not shuffled.
     """
-    fresh = latest(incoming, keys, order)
+    fresh = materialize(latest(incoming, keys, order), "upserted")
     kept = table.join(fresh.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh.select(*table.columns))
 
@@ -60,10 +62,14 @@ def apply_text_fixes(chunks: DataFrame, fixes: DataFrame, embedder=embed) -> Dat
     ``fixes``: source_file, chunk_index, position, wrong, right; several fixes of
     one chunk apply in the order of ``position``.  A fix that no longer matches
     changes nothing, so applying twice is the same as applying once.  Where chunks
-    have vectors, those of changed texts are worked out again.
+    have vectors, those of changed texts are worked out again.  Fixes are stored
+    first: a few of them are broadcast, and no text of a chunk is shuffled.
     """
-    per_chunk = fixes.groupBy("source_file", "chunk_index").agg(
-        F.sort_array(F.collect_list(F.struct("position", "wrong", "right"))).alias("__fixes")
+    per_chunk = materialize(
+        fixes.groupBy("source_file", "chunk_index").agg(
+            F.sort_array(F.collect_list(F.struct("position", "wrong", "right"))).alias("__fixes")
+        ),
+        "fixes",
     )
     fixed = F.aggregate(
         "__fixes", F.col("text"), lambda text, fix: F.replace(text, fix["wrong"], fix["right"])

@@ -15,7 +15,7 @@ from pagewright.plans.once import with_once
 
 #: Page rows handed to Spark at a time while one file is being read.
 _PAGES_AT_ONCE = 256
-_PAGES = "path string, page_number int, text string, images array<binary>"
+_PAGES = "path string, page_number int, text string, images array<binary>, error string"
 
 
 class PageExtractor(Protocol):
@@ -55,25 +55,38 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.[pP][dD][fF]")
     )
 
 
-def extract_pages(files: DataFrame, make_extractor: Callable[[], PageExtractor] = PdfExtractor) -> DataFrame:
-    """One row per page of every file; pages leave the task in small batches."""
+def extract_or_report(files: DataFrame, make_extractor: Callable[[], PageExtractor] = PdfExtractor) -> DataFrame:
+    """One row per page of every file; pages leave the task in small batches.
+
+    A file that cannot be read to its end leaves, besides the pages before, a row
+    with page number 0 and the ``error``; the other files go on.
+    """
+    names = [c.split()[0] for c in _PAGES.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extractor = make_extractor()
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 rows = []
-                for number, (text, images) in enumerate(extractor.pages(content), start=1):
-                    rows.append((path, number, text, images))
-                    if len(rows) == _PAGES_AT_ONCE:
-                        yield pd.DataFrame(rows, columns=["path", "page_number", "text", "images"])
-                        rows = []
+                try:
+                    for number, (text, images) in enumerate(extractor.pages(content), start=1):
+                        rows.append((path, number, text, images, None))
+                        if len(rows) == _PAGES_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                except Exception as failure:
+                    rows.append((path, 0, None, None, f"{type(failure).__name__}: {failure}"))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "page_number", "text", "images"])
+                    yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(read, _PAGES)
 
 
+def extract_pages(files: DataFrame, make_extractor: Callable[[], PageExtractor] = PdfExtractor) -> DataFrame:
+    """The pages of :func:`extract_or_report`, without its errors."""
+    return extract_or_report(files, make_extractor).where(F.col("error").isNull()).drop("error")
+
+
 def read_images(pages: DataFrame, make_reader: Callable[[], ImageReader]) -> DataFrame:
     """Fill blank text layers from the page images.
 
