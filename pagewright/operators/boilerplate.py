@@ -16,26 +16,26 @@ def repeated_lines(
 ) -> DataFrame:
     """(book, line, pages_with_line) of the lines on at least ``ratio`` of a book's pages.
 
-    Both counts are combined map-side, so a book with very many pages sends one
-    partial count per line and task, not its pages.
+    One grouping counts pages and lines together: every page brings its lines and
+    one mark without a line.  Counts are combined map-side, so a book with very
+    many pages sends one partial count per line and task, not its pages, and
+    only lines seen often enough in any book are looked at again.
     """
-    counts = (
-        pages.select(F.col(book), F.explode(tx.header_candidates(F.col(text))).alias("line"))
+    marked = F.concat(F.array(F.lit(None).cast("string")), tx.header_candidates(F.col(text)))
+    counts = materialize(
+        pages.select(F.col(book), F.explode(marked).alias("line"))
         .groupBy(book, "line")
         .agg(F.count("*").alias("pages_with_line"))
-        .where(F.col("pages_with_line") >= fv.MIN_REPEATED_LINE_COUNT)
-    )
-    books = (
-        pages.groupBy(book)
-        .agg(F.count("*").alias("__pages"))
-        .where(F.col("__pages") >= fv.MIN_PAGES_FOR_BOILERPLATE)
-        .withColumn(
-            "__needed",
-            F.greatest(F.lit(fv.MIN_REPEATED_LINE_COUNT), F.floor(F.col("__pages") * F.lit(ratio))),
-        )
+        .where(F.col("line").isNull() | (F.col("pages_with_line") >= fv.MIN_REPEATED_LINE_COUNT)),
+        "line-counts",
     )
+    needed = F.greatest(F.lit(fv.MIN_REPEATED_LINE_COUNT), F.floor(F.col("pages_with_line") * F.lit(ratio)))
+    books = counts.where(
+        F.col("line").isNull() & (F.col("pages_with_line") >= fv.MIN_PAGES_FOR_BOILERPLATE)
+    ).select(book, needed.alias("__needed"))
     return (
-        counts.join(books, [book])
+        counts.where(F.col("line").isNotNull())
+        .join(books, [book])
         .where(F.col("pages_with_line") >= F.col("__needed"))
         .select(book, "line", "pages_with_line")
     )
