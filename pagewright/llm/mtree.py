@@ -22,7 +22,10 @@ Results are exact: scores are integers and pruning leaves room for rounding.
 
 Vectors that are null, or hold null or non-finite components, and rows without
 an identifier take no part.  Shorter vectors count as filled up with zeros.
-Empty tables give empty results.  Scores have to fit 64 bits.
+Empty tables give empty results.  Components may be as large as 64 bits hold;
+lengths and distances are doubles, with room for their rounding.  The score of
+a pair has to fit 64 bits, but for that of a row with itself, which is not asked
+for; pairs past that are ranked by what is left of their score in 64 bits.
 """
 
 from __future__ import annotations
@@ -67,7 +70,7 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
 class _Metric:
     """Distances between vectors that have one more component, as their norms say."""
 
-    def __init__(self, longest: int):
+    def __init__(self, longest: float):
         self.longest = float(longest)
 
     def more(self, vectors: np.ndarray) -> np.ndarray:
@@ -154,7 +157,9 @@ def search_tree(pages: list[dict], query: np.ndarray, k: int, metric: _Metric, f
                 if len(best) == k:
                     bar = max(floor, best[0][0])
             continue
-        distances = np.sqrt(np.maximum(total - 2.0 * scores, 0.0))
+        # Products with routing objects may not fit 64 bits, those with answers do.
+        products = vectors[near].astype(float) @ query.astype(float)
+        distances = np.sqrt(np.maximum(total - 2.0 * products, 0.0))
         for i, distance in zip(near.tolist(), distances.tolist()):
             least = max(0.0, distance - radii[i])
             if least <= limit:
@@ -184,8 +189,8 @@ def top_k(
     )
     asked = queries.select(F.col(ident).cast("long").alias("query_id"), F.col(vector).alias("own"))
     asked = stored(asked.join(entries.select("own", "entry"), "own").select("query_id", "entry"), "queries")
-    square = F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    count, longest = entries.agg(F.count("*"), F.coalesce(F.max(square), F.lit(0))).first()
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    count, longest = entries.agg(F.count("*"), F.coalesce(F.max(square), F.lit(0.0))).first()
     metric = _Metric(longest)
 
     # Trees: by the nearest pivot, cut further where a pivot has too many.
@@ -289,7 +294,8 @@ def top_k(
             points = _matrix(batch.column("vector"), dimensions)
             squares = (points.astype(float) ** 2).sum(axis=1)
             total = squares[:, None] + metric.longest
-            distance = np.sqrt(np.maximum(total - 2.0 * (points @ centers.T), 0.0))
+            products = points.astype(float) @ centers.T.astype(float)
+            distance = np.sqrt(np.maximum(total - 2.0 * products, 0.0))
             bar = batch.column("bar").to_numpy(zero_copy_only=False).astype(float)
             reach = np.sqrt(np.maximum(total[:, 0] - 2 * bar, 0.0) + 1e-9 * np.maximum(total[:, 0], 1)) + 1e-9
             reach[np.isnan(bar)] = np.inf

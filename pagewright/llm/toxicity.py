@@ -207,10 +207,13 @@ def train(
         chosen = some if chosen is None else chosen.unionByName(some)
     if chosen is None:
         return fit([], np.zeros(0), np.zeros(0))
-    # At most two times per_label rows.
+    # At most two times per_label rows: of a repeated identifier, one text.
     sample = (
         docs.select(F.col(ident).alias("id"), known(text).alias("text"))
         .join(F.broadcast(chosen), "id")
+        .groupBy("id", "label")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        .select("id", "text", "label")
         .toArrow()
         .sort_by([("id", "ascending"), ("text", "ascending")])
     )

@@ -36,6 +36,18 @@ def test_search_equals_brute_force(spark, monkeypatch, tree, leaf):
     assert len(found) == len(set(found))
 
 
+@pytest.mark.parametrize("tree,leaf", [(16_384, 256), (20, 4)])
+def test_large_finite_components(spark, monkeypatch, tree, leaf):
+    """Products with other rows fit 64 bits, a large row's with itself does not."""
+    monkeypatch.setattr(mtree, "TREE", tree)
+    monkeypatch.setattr(mtree, "LEAF", leaf)
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(size=3).tolist()) for i in range(1, 80)]
+    rows += [(0, [1e9, 1.0, 1.0]), (100, [1.0, 1e9, 0.0]), (150, [0.5, -1e8, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in mtree.nearest_embeddings(df, every=10).collect()} == brute(rows, 5, 10)
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, [1.0]), (1, [2.0])], [(0, None), (50, [float("nan")])]])
 def test_few_rows(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

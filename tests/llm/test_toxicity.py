@@ -61,3 +61,16 @@ def test_without_labels_nothing_is_toxic(spark):
     model = train(odd(spark), labels)
     assert {r["predicted"] for r in score_documents(odd(spark), model).collect()} == {0}
     assert score_documents(none(spark), model).count() == 0
+
+
+def test_a_repeated_identifier_brings_one_text_to_the_driver(spark, monkeypatch):
+    import pagewright.llm.toxicity as module
+
+    taken = []
+    monkeypatch.setattr(module, "fit", lambda texts, y, weights: taken.append((texts, y.tolist(), weights.tolist())))
+    rows = [(1, f"text {i}") for i in range(2_000)] + [(2, "clean"), (3, None), (3, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 9)], "doc_id long, toxic int")
+    train(docs, labels, per_label=10)
+    train(docs.repartition(7), labels, per_label=10)
+    assert taken[0] == taken[1] and len(taken[0][0]) == len(taken[0][1]) <= 3
