@@ -16,8 +16,9 @@ apart at the blanks.  Each distinct word is searched once per worker; short
 words are searched many at a time in numpy, long ones one by one with a heap,
 which drops what N others are strictly better than.  The N best of the text are
 the N best choices among the words with the smallest losses, of which N-1 are
-enough.  So a word is first searched for its two best segmentations, and for N
-only if it is among those N-1 of some text.  A worker remembers words and their
+enough.  So the forward pass keeps the two best scores of every place, which
+gives a word's best segmentation and what its second one loses, and a word is
+searched for N only if it is among those N-1 of some text.  A worker remembers words and their
 segmentations as numbers in a few arrays, up to a number of bytes, and then
 keeps those that it has met repeatedly.
 
@@ -44,7 +45,7 @@ from pagewright.llm.frames import ROW, boxed, known, schema_of, unboxed
 N_BEST = 4
 BLANK = "▁"
 #: Words longer than this are searched one by one; words searched together; bytes of words remembered.
-SHORT, TOGETHER, REMEMBERED = 24, 1_024, 64 << 20
+SHORT, TOGETHER, REMEMBERED = 24, 1_024, 96 << 20
 #: What a remembered word takes besides its characters and ids.
 _WORD_BYTES = 300
 #: How much worse than the worst piece a character in bytes is.
@@ -181,12 +182,9 @@ def n_best_together(
     return totals, result
 
 
-def _search_together(
-    pieces: Pieces, words: list[str], n: int, paths: int
-) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """All searches one step at a time: the scores and, for each of the first ``paths`` places, the
-    words' ids one after another and how many each has, -1 where it has no such segmentation.
-    """
+def _lattice(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of words (plus 1) and their lengths, and the ids and scores of the edges by
+    word, end and length - 1; -1 and -inf where there is none."""
     count, size = len(words), max(map(len, words))
     lengths = np.array([len(w) for w in words])
     points = np.zeros((count, size), np.uint64)
@@ -201,9 +199,53 @@ def _search_together(
     edge[:, 1:, 0][edge[:, 1:, 0] < 0] = _SPELLED
     edge[np.arange(size + 1)[None, :] > lengths[:, None]] = -1
     score_of = np.concatenate([pieces.scores, [pieces.spelled, -np.inf]])  # at -2 and -1
+    return points, lengths, edge, score_of[edge]
+
+
+def _two_best_together(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The forward pass with the two best scores of every place: the scores of many short words' two
+    best segmentations, and the ids of the best, which is where a search from the end comes first."""
+    points, lengths, edge, worth = _lattice(pieces, words)
+    count, size = points.shape
+    first, second = np.full((count, size + 1), -np.inf), np.full((count, size + 1), -np.inf)
+    first[:, 0] = 0
+    back = np.zeros((count, size + 1), np.int64)
+    rows = np.arange(count)
+    for end in range(1, size + 1):
+        k = min(edge.shape[2], end)
+        reach = first[:, end - k : end][:, ::-1] + worth[:, end, :k]
+        last = reach.argmax(axis=1)  # of equal ones the shortest last piece
+        first[:, end], back[:, end] = reach[rows, last], last
+        # The second best way here has another last piece, or is second best where the best one came from.
+        reach[rows, last] = second[rows, end - 1 - last] + worth[rows, end, last]
+        second[:, end] = reach.max(axis=1)
+    at, steps, places = lengths.copy(), [], []
+    while at.any():
+        last = back[rows, at]
+        steps.append(np.where(at > 0, edge[rows, at, last], -1))
+        at = np.maximum(at - last - 1, 0)
+        places.append(at)
+    matrix, begins = np.stack(steps[::-1], axis=1), np.stack(places[::-1], axis=1)
+    row, column = np.nonzero(matrix != -1)
+    flat, spelled = matrix[row, column], matrix[row, column] == _SPELLED
+    if spelled.any():
+        character = (points[row[spelled], begins[row, column][spelled]] - np.uint64(1)).astype(np.int64)
+        flat, row = _spelt(pieces, flat, row, spelled, character)
+    totals = np.stack([first[rows, lengths], second[rows, lengths]], axis=1)
+    return totals, [(flat.astype(np.int32), np.bincount(row, minlength=count))]
+
+
+def _search_together(
+    pieces: Pieces, words: list[str], n: int, paths: int
+) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """All searches one step at a time: the scores and, for each of the first ``paths`` places, the
+    words' ids one after another and how many each has, -1 where it has no such segmentation.
+    """
+    points, lengths, edge, worth = _lattice(pieces, words)
+    count, size = points.shape
+    widest = edge.shape[2]
     forward = np.full((count, size + 1), -np.inf)
     forward[:, 0] = 0
-    worth = score_of[edge]
     for end in range(1, size + 1):
         k = min(widest, end)
         begins = forward[:, end - k : end][:, ::-1]  # shorter pieces first
@@ -326,10 +368,13 @@ class Segmenter:
         short = sum(len(w) < SHORT for w in words)
         totals, starts, sizes, ids = [], [], [], [self.ids]
         used = len(self.ids)
-        searched = [
-            _search_together(self.pieces, [BLANK + w for w in words[at : min(at + TOGETHER, short)]], n, paths)
-            for at in range(0, short, TOGETHER)
-        ]
+        searched = []
+        for at in range(0, short, TOGETHER):
+            some = [BLANK + w for w in words[at : min(at + TOGETHER, short)]]
+            two = n == 2 and paths == 1
+            searched.append(
+                _two_best_together(self.pieces, some) if two else _search_together(self.pieces, some, n, paths)
+            )
         for word in words[short:]:
             found = n_best_of(self.pieces, BLANK + word, n)
             total = np.array([[f[0] for f in found] + [-np.inf] * (n - len(found))])
@@ -458,6 +503,8 @@ class Segmenter:
             deep = self.deep[words[places]]
             lost, others = self._choices(places, self.deep_totals[deep, :1] - self.deep_totals[deep])
             starts, sizes = self.starts[words, 0], self.sizes[words, 0]
+            # Of equally good ones, those the search from the end gives.
+            starts[places], sizes[places] = self.deep_starts[deep, 0], self.deep_sizes[deep, 0]
             found = []
             for other in others if self.keep else others[:1]:
                 own, each = starts, sizes
