@@ -65,7 +65,17 @@ def answer_questions(
     history: str | None = None,
 ) -> DataFrame:
     """Adds answer (polished), grounded, citations and the message to send."""
-    answered = generate(with_passages(questions, chunks, offsets, settings), make_client, settings, history)
+    return answer_found(with_passages(questions, chunks, offsets, settings), settings, make_client, history)
+
+
+def answer_found(
+    found: DataFrame,
+    settings: Settings = Settings(),
+    make_client: Callable[[], AnswerClient] = OfflineClient,
+    history: str | None = None,
+) -> DataFrame:
+    """:func:`answer_questions` for questions that have their passages already."""
+    answered = generate(found, make_client, settings, history)
     polished = answered.withColumn(
         "answer", an.polish_answer(F.col("answer"), retrieved_pages(F.col("passages")))
     )
@@ -119,10 +129,26 @@ def run_benchmark(
     offsets: DataFrame,
     settings: Settings = Settings(),
     make_client: Callable[[], AnswerClient] = OfflineClient,
+    attempts: int = 2,
+    ask_again: Callable[[], AnswerClient] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Outcomes and one row of totals for labelled questions (in_textbook, keywords)."""
-    outcomes = materialize(
-        with_verdict(score(answer_questions(questions, chunks, offsets, settings, make_client))),
-        "outcomes",
-    )
+    """Outcomes and one row of totals for labelled questions (in_textbook, keywords).
+
+    Passages are looked up once.  A question the service failed on is asked
+    again, alone with the others it failed on, up to ``attempts`` times in all
+    (by ``ask_again`` where that is given); ``attempt`` says which ask counts.
+    """
+    found = materialize(with_passages(questions, chunks, offsets, settings), "benchmark-passages")
+
+    def asked(rows: DataFrame, client: Callable[[], AnswerClient], attempt: int) -> DataFrame:
+        scored = with_verdict(score(answer_found(rows, settings, client)))
+        return scored.withColumn("attempt", F.lit(attempt))
+
+    outcomes = materialize(asked(found, make_client, 1), "outcomes")
+    for attempt in range(2, attempts + 1):
+        failed = outcomes.where("provider_error").select("qid")
+        if failed.isEmpty():
+            break
+        again = asked(found.join(failed, "qid", "left_semi"), ask_again or make_client, attempt)
+        outcomes = materialize(outcomes.where("NOT provider_error").unionByName(again), "outcomes")
     return outcomes, report(outcomes)

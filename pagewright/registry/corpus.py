@@ -13,7 +13,10 @@ from pagewright.operators import citations as ci
 from pagewright.operators import index as ix
 from pagewright.operators import page_offsets as po
 from pagewright.operators.chunking import chunk_pages
+from pagewright.plans.materialize import scratch_path
 from pagewright.registry.common import query, quote, sql_sentences, sql_strip, table
+from pagewright.sources.question_sets import all_questions, read_question_set
+from pagewright.sources.tables import load_through, save_repairs, saved_repairs
 
 # --- Boilerplate: a source is a book, a document a page --------------------------------
 
@@ -537,3 +540,84 @@ def accepted_rereads(spark, sf_dir):
         "doc_id", (F.col("doc_id") + fv.REPAIR_INDEX_BASE).alias("chunk_index"), F.length(tx.strip(F.col("text"))).alias("length")
     )
 
+
+
+# --- What runs leave behind ------------------------------------------------------------------
+
+
+@query(
+    """WITH read AS (
+        SELECT source || '.pdf' AS source_file, doc_id % 40 AS page, doc_id % 3 AS run, max(doc_id) AS doc_id FROM documents GROUP BY ALL)
+    SELECT source_file, page::INTEGER AS page, md5(text) AS body FROM (
+        SELECT *, row_number() OVER (PARTITION BY source_file, page ORDER BY run DESC) AS n FROM read) JOIN documents USING (doc_id) WHERE n = 1"""
+)
+def repairs_saved(spark, sf_dir):
+    """Page readings of three runs, saved one after another; the last reading of each page counts."""
+    docs = table(spark, sf_dir, "documents")
+    read = docs.groupBy(F.col("source").alias("s"), (F.col("doc_id") % 40).cast("int").alias("page"), (F.col("doc_id") % 3).alias("run")).agg(
+        F.max_by("text", "doc_id").alias("text")
+    )
+    rows = read.select(
+        F.lit(6).alias("grade"), F.col("s").alias("subject"), F.col("s").alias("book_title"), F.concat("s", F.lit(".pdf")).alias("source_file"),
+        "page", "text", F.array().cast("array<string>").alias("kinds"), "run",
+    )
+    path = scratch_path(spark, "repairs")
+    for run in (2, 0, 1):
+        save_repairs(spark, path, rows.where(F.col("run") == run), run)
+    return saved_repairs(spark, path).select("source_file", "page", F.md5("text").alias("body"))
+
+
+@query(
+    """WITH strips AS (
+        SELECT page_id, unnest([left(html, 200), right(html, 200)]) AS strip FROM pages)
+    SELECT p.page_id, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n), '') AS candidates
+    FROM (SELECT DISTINCT page_id FROM pages) p LEFT JOIN (
+        SELECT DISTINCT page_id, unnest(regexp_extract_all(strip, '(\\d{1,3})', 1))::INTEGER AS n FROM strips) f USING (page_id) GROUP BY p.page_id"""
+)
+def page_number_strips(spark, sf_dir):
+    """Numbers in the upper and the lower edge of each page, together."""
+    pages = table(spark, sf_dir, "pages")
+    top = pages.select("page_id", F.left("html", F.lit(200)).alias("strip"))
+    bottom = pages.select("page_id", F.right("html", F.lit(200)).alias("strip"))
+    found = po.both_strips(top, bottom, ["page_id"], "strip")
+    return found.select("page_id", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
+
+
+@query(
+    """WITH united AS (
+        SELECT 0 AS s, item_id AS i, text, true AS in_textbook FROM benchmark WHERE trim(text) <> ''
+        UNION ALL SELECT 1, conv_id * 1000 + turn, text, false FROM conversations WHERE role = 'user' AND trim(text) <> '')
+    SELECT md5(text) AS body, in_textbook, count(*) AS questions, (SELECT count(*) FROM united)::INTEGER AS last_position FROM united GROUP BY text, in_textbook"""
+)
+def question_sets(spark, sf_dir):
+    """Benchmark items and questions from conversations, written as two sets, read and united."""
+    kind = F.array().cast("array<string>").alias("keywords")
+    shape = [F.col("text").alias("question"), F.lit(6).alias("grade"), F.lit("en").alias("subject"), kind]
+    path = scratch_path(spark, "question-sets")
+    table(spark, sf_dir, "benchmark").select(*shape).write.json(f"{path}/inside")
+    table(spark, sf_dir, "conversations").where("role = 'user'").select(*shape).write.json(f"{path}/outside")
+    united = all_questions(
+        read_question_set(spark, f"{path}/inside", True), read_question_set(spark, f"{path}/outside", False)
+    )
+    last = united.agg(F.max("position").alias("last_position"), F.lit(0).alias("one"))
+    counted = united.groupBy("question", "in_textbook").agg(F.count("*").alias("questions")).withColumn("one", F.lit(0))
+    return counted.join(last, "one").select(F.md5("question").alias("body"), "in_textbook", "questions", "last_position")
+
+
+@query("SELECT lang AS book, count(*) AS pages, min(doc_id)::INTEGER AS first_page, md5(arg_max(text, doc_id)) AS last_text FROM documents WHERE text IS NOT NULL GROUP BY lang")
+def page_cache(spark, sf_dir):
+    """Pages loaded through the cache: two books in a first run, the others in a second."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    books = docs.select(F.lit(6).alias("grade"), F.col("lang").alias("book")).distinct()
+
+    def extract(missing):
+        return docs.select(F.lit(6).alias("grade"), F.col("lang").alias("book"), F.col("doc_id").alias("page_number"), "text").join(
+            missing, ["grade", "book"], "left_semi"
+        )
+
+    path = scratch_path(spark, "page-cache")
+    load_through(books.where("book IN ('de', 'fr')"), path, extract)
+    pages = load_through(books, path, extract)
+    return pages.groupBy("book").agg(
+        F.count("*").alias("pages"), F.min("page_number").alias("first_page"), F.md5(F.max_by("text", "page_number")).alias("last_text")
+    )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.operators.boilerplate import drop_boilerplate
+from pagewright.operators.generation import RateLimited
+from pagewright.plans.materialize import materialize
 from pagewright.plans.once import with_once
 
 #: Page rows handed to Spark at a time while one file is being read.
@@ -87,26 +89,46 @@ def extract_pages(files: DataFrame, make_extractor: Callable[[], PageExtractor]
     return extract_or_report(files, make_extractor).where(F.col("error").isNull()).drop("error")
 
 
-def read_images(pages: DataFrame, make_reader: Callable[[], ImageReader]) -> DataFrame:
-    """Fill blank text layers from the page images.
+class FallbackReader:
+    """Readers in order: a rate-limited one passes the image on, any other failure reads nothing.
 
-    Every page is read on its own, so one long scanned book is spread over all
-    tasks once its pages are rows; pages with text never reach the reader.
+    One image that cannot be read leaves its page as it is; the others go on.
+    """
+
+    def __init__(self, makers: list[Callable[[], ImageReader]]) -> None:
+        self.readers = [make() for make in makers]
+
+    def read(self, image: bytes) -> str:
+        for reader in self.readers:
+            try:
+                return reader.read(image) or ""
+            except RateLimited:
+                continue
+            except Exception:
+                return ""
+        return ""
+
+
+def read_images(pages: DataFrame, make_reader: Callable[[], ImageReader], *others: Callable[[], ImageReader]) -> DataFrame:
+    """Fill blank text layers from the page images, by the first reader that has quota left.
+
+    Only pages to be read are dealt out anew, each on its own, so one long scanned
+    book is spread over all tasks; pages with text stay where they are.
     """
 
     @F.pandas_udf("string")
     def recognise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = make_reader()
+        reader = FallbackReader([make_reader, *others])
         for images in batches:
             yield images.map(
                 lambda found: "\n".join(t for t in map(reader.read, found) if t.strip()),
                 na_action="ignore",
             )
 
-    blank = tx.is_blank(F.col("text"))
-    spread = pages.repartition("path", "page_number")
-    read = recognise(F.when(blank & (F.size("images") > 0), F.col("images")))
-    return spread.withColumn("text", F.coalesce(read, "text")).drop("images")
+    pages = materialize(pages, "pages-with-images")
+    wanted = tx.is_blank(F.col("text")) & (F.size("images") > 0)
+    blank = pages.where(wanted).repartition("path", "page_number").withColumn("text", recognise(F.col("images")))
+    return pages.where(~F.coalesce(wanted, F.lit(False))).unionByName(blank).drop("images")
 
 
 def clean_pages(pages: DataFrame, book: str = "path", strip_boilerplate: bool = True) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from pagewright.operators.index import latest
+from pagewright.plans.materialize import materialize
 
 PAGES = "page_number int, text string"
 REPAIRS = (
@@ -38,6 +44,40 @@ def read_page_cache(spark: SparkSession, root: str) -> DataFrame:
     ).where(F.col("grade").isNotNull() & (F.col("page_number") >= 1) & F.col("text").isNotNull())
 
 
+#: Pages kept between runs, in folders by grade and book.
+CACHED = "page_number int, text string, grade int, book string"
+
+
+def read_cached_pages(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the page cache written by :func:`load_through`; none when there is no cache."""
+    try:
+        return spark.read.schema(CACHED).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return spark.createDataFrame([], CACHED)
+        raise
+
+
+def load_through(
+    books: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame], force: bool = False
+) -> DataFrame:
+    """Pages of ``books`` (grade, book and whatever ``extract`` reads), from the cache where it has them.
+
+    Books the cache lacks (all with ``force``) are given to ``extract``, which returns grade,
+    book, page_number and text; their pages replace or join the cache by
+    book, and no other book's files are written.  A book whose pages could not
+    be read has no page and is extracted again by the next run.
+    """
+    spark = books.sparkSession
+    keys = ["grade", "book"]
+    known = read_cached_pages(spark, path).select(*keys).distinct()
+    missing = books if force else books.join(known, keys, "left_anti")
+    fresh = extract(missing).select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(CACHED).fields])
+    fresh = materialize(fresh, "extracted-pages")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return read_cached_pages(spark, path).join(books.select(*keys).distinct(), keys, "left_semi")
+
+
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     """source_file, offset of an offsets document; anything but a whole number >= 0 is left out."""
     document = _json(spark, path, "offsets map<string,string>")
@@ -55,6 +95,31 @@ def read_repairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.inline("pages"))
 
 
+def write_offsets(offsets: DataFrame, path: str) -> None:
+    """source_file, offset as one offsets document; it has an entry for each book."""
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_file", "offset"))))
+    offsets.where(F.col("offset").isNotNull()).agg(entries.alias("offsets")).write.mode("overwrite").json(path)
+
+
+def save_repairs(spark: SparkSession, path: str, repairs: DataFrame, run: int) -> DataFrame:
+    """Add the page readings of a run to those saved at ``path``; returns the last one of each page.
+
+    Each run has a folder of its own, so one that is repeated replaces only itself.
+    """
+    fields = StructType.fromDDL(REPAIRS)["pages"].dataType.elementType.fields
+    rows = repairs.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
+    return saved_repairs(spark, path)
+
+
+def saved_repairs(spark: SparkSession, path: str) -> DataFrame:
+    """The last reading of each page of all runs."""
+    fields = StructType.fromDDL(REPAIRS)["pages"].dataType.elementType.fields
+    schema = StructType(fields).add("run", "long")
+    saved = spark.read.schema(schema).parquet(path)
+    return latest(saved, ["source_file", "page"], ["run"]).drop("run")
+
+
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The chunk table, laid out by the scope every question filters on."""
     chunks.write.mode(mode).partitionBy("grade", "subject").parquet(path)
