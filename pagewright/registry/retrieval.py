@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagewright import fixed_values as fv
 from pagewright.functions import answers as an
 from pagewright.functions import text as tx
+from pagewright.operators import literal_index as li
 from pagewright.operators import retrieval as rt
 from pagewright.operators.embedding import embed
 from pagewright.operators.generation import OfflineClient, ServiceError
@@ -289,6 +290,43 @@ def answer_all_questions(spark, sf_dir):
     )
 
 
+#: What is looked for in the documents: a sentence's first words, those without their first and last letter, a word, and its middle.
+_SQL_LOOKED_FOR = f"""
+    sentences AS (SELECT item_id, unnest({sql_sentences('text')}) AS s FROM benchmark),
+    heads AS (SELECT item_id, array_to_string(string_split(s, ' ')[1:3], ' ') AS head, string_split(s, ' ')[2] AS word FROM sentences),
+    looked AS (
+        SELECT DISTINCT unnest([head, head[2:-2], word, word[2:-2]]) AS pattern FROM heads),
+    wanted AS (SELECT l.lang, pattern FROM (SELECT DISTINCT lang FROM documents) l, looked WHERE pattern <> '' AND trim(pattern) = pattern)
+"""
+
+
+@query(
+    f"""WITH {_SQL_LOOKED_FOR}
+    SELECT lang AS subject, pattern, count(*) AS chunks, min(doc_id) AS lowest_id
+    FROM wanted JOIN documents USING (lang) WHERE contains(text, pattern) GROUP BY ALL"""
+)
+def literal_index(spark, sf_dir):
+    """Phrases and parts of words found in the documents by the index of word positions."""
+    head = F.array_join(F.slice("words", 1, 3), " ")
+    word = F.get("words", F.lit(1))
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    sentences = table(spark, sf_dir, "benchmark").select(F.explode(tx.split_sentences(F.col("text"))).alias("s"))
+    looked = (
+        sentences.withColumn("words", F.split("s", " "))
+        .select(F.explode(F.array(head, inner(head), word, inner(word))).alias("pattern"))
+        .where("pattern <> '' AND trim(pattern) = pattern")
+        .distinct()
+    )
+    docs = table(spark, sf_dir, "documents")
+    langs = F.collect_set("lang").alias("langs")
+    subjects = docs.agg(langs, F.lit(0).alias("one"))  # one row
+    wanted = looked.withColumn("one", F.lit(0)).join(subjects, "one").select("pattern", F.explode("langs").alias("subject"))
+    wanted = wanted.withColumn("pattern_id", F.concat_ws("|", "subject", "pattern"))
+    index = li.build_index(docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("subject"), "text"))
+    found = li.containing(index, wanted).join(wanted, "pattern_id")
+    return found.groupBy("subject", "pattern").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("lowest_id"))
+
+
 class _Unsteady(OfflineClient):
     """Fails on half of the questions, by their hash."""
 
