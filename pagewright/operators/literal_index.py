@@ -9,8 +9,9 @@ The index is two tables: postings (subject, word, chunk, positions) and the
 vocabulary (subject, word, chunks with it).  A phrase's words are first matched
 with the vocabulary, inner ones by equality, outer ones by their first or last
 letters, which every word of the vocabulary is listed under; then the postings
-of its rarest word give the places where the phrase could stand, and those of
-its other words say where it does.  All are equality joins; no text is read.
+of its rarest word give the places where the phrase could stand, and the
+postings of the chunks concerned what stands around them.  All are equality
+joins; no text is read.
 A word that very many chunks hold is looked up only for phrases that have no
 rarer one, and its postings are many rows, which adaptive execution splits.
 """
@@ -125,12 +126,23 @@ def containing(index: LiteralIndex, patterns: DataFrame) -> DataFrame:
         F.explode("positions").alias("position"),
     ).withColumn("start", F.col("position") - F.col("anchor"))
     longer = materialize(places.distinct(), "phrase-places")
-    others = longer.join(matched.select("pattern_id", "at", "word"), "pattern_id").where("at <> anchor")
+    # What stands where the phrase's other words have to stand.
+    needed = longer.join(parts.withColumn("side", side).select("pattern_id", "at", "part", "side"), "pattern_id").where(
+        "at <> anchor"
+    ).withColumn("position", F.col("start") + F.col("at"))
+    there = index.postings.join(longer.select("subject", "chunk_id").distinct(), ["subject", "chunk_id"], "left_semi").select(
+        "subject", "chunk_id", "word", F.explode("positions").alias("position")
+    )
+    fits = (
+        F.when(F.col("side") == "ends", F.endswith("word", "part"))
+        .when(F.col("side") == "begins", F.startswith("word", "part"))
+        .otherwise(F.col("word") == F.col("part"))
+    )
     standing = (
-        others.join(index.postings, ["subject", "word", "chunk_id"])
-        .where(F.array_contains("positions", F.col("start") + F.col("at")))
+        needed.join(there, ["subject", "chunk_id", "position"])
+        .where(fits)
         .groupBy("pattern_id", "chunk_id", "start", "n")
-        .agg(F.count_distinct("at").alias("found"))
+        .agg(F.count("*").alias("found"))
         .where("found = n - 1")
     )
     return alone.unionByName(standing.select("pattern_id", "chunk_id").distinct())
