@@ -110,19 +110,26 @@ def _cutter(size: int, overlap: int):
         return runs
 
     def cut(row: dict) -> dict:
-        held = row["__in"] or []
-        own = zip(row["sizes"], row["pages"])
-        skipped = row["__skipped"]
-        every = held + [
-            {"block": row["__block"], "place": skipped + i, "size": n, "page": p} for i, (n, p) in enumerate(own)
+        held, block, skipped = row["__in"] or [], row["__block"], row["__skipped"]
+        ahead = len(held)
+        sizes = [s["size"] for s in held] + row["sizes"]
+        pages = [s["page"] for s in held] + row["pages"]
+        opens = [ahead + i for i, o in enumerate(row["opens"]) if o and ahead + i > 0]
+        found, rest = cut_points(sizes, opens, ahead, row["__last"], size, overlap)
+
+        def ranges(begin: int, end: int) -> list[dict]:
+            """Sentences left open by earlier blocks, then a run of this block's own."""
+            earlier = parts(held[begin:end]) if begin < ahead else []
+            first = max(begin, ahead)
+            own = [{"block": block, "first": skipped + first - ahead, "n": end - first}] if end > first else []
+            return earlier + own
+
+        chunks = [{"page_start": pages[a], "page_end": pages[b - 1], "parts": ranges(a, b)} for a, b in found]
+        own = [
+            {"block": block, "place": skipped + i - ahead, "size": sizes[i], "page": pages[i]}
+            for i in range(max(rest, ahead), len(sizes))
         ]
-        opens = [len(held) + i for i, o in enumerate(row["opens"]) if o and len(held) + i > 0]
-        found, rest = cut_points([s["size"] for s in every], opens, len(held), row["__last"], size, overlap)
-        chunks = [
-            {"page_start": every[a]["page"], "page_end": every[b - 1]["page"], "parts": parts(every[a:b])}
-            for a, b in found
-        ]
-        return {"chunks": chunks, "open": every[rest:]}
+        return {"chunks": chunks, "open": held[rest:] + own}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("chunks", _ARROW_CHUNKS), ("open", _ARROW_OPEN)])
