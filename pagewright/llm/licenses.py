@@ -1,19 +1,21 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A template matches where a block of a document, twice as many words long as the
-template, holds at least ``THRESHOLD`` of the template's distinct words.  Blocks
-begin at every multiple of the template's length, so any run of that many words
-lies within one.  The join is exact and needs no shuffle of texts:
+A template matches where a window of a document, twice as many words long as the
+template, holds at least ``THRESHOLD`` of the template's distinct words.  Windows
+begin at every word, so no match depends on where in its text it stands.  The
+join is exact and needs no shuffle of texts:
 
 * Order.  One aggregate over all documents counts the templates' words; each
   template's words are sorted from the globally rarest to the commonest.
-* Prefix.  A block that holds c of a template's n words holds two of its n-c+2
+* Prefix.  A window that holds c of a template's n words holds two of its n-c+2
   rarest ones (one of n-c+1 for templates with a single required word).  Only
-  places of these words make blocks; documents without any are passed over.
-* Length.  Blocks cut short by the end of the text to fewer than c words go.
-* Position.  Of the k-th word in a template's order n-k words follow, so a block
-  goes unless its words among the rarest, and all words behind these, reach c.
-* What is left is verified by counting the template's words in the block.
+  documents with these words are looked at.
+* Position.  With its first rare word given, a window begins after the rare word
+  before, and not so early that the nearest other rare word falls behind its end;
+  of the windows left, those that begin at a word of the template hold all that
+  the others hold.  Where no other rare word is near, there is no window.
+* Length.  Windows cut short by the end of the text to fewer than c words go.
+* What is left is verified by counting the template's words in the window.
 
 Templates are a parameter: they are few and go into the plan as constants, as do
 their word counts; nothing that grows with the documents does.
@@ -118,37 +120,39 @@ def _places(phrase: str) -> Column:
     return F.when(there & (last >= 0), found).otherwise(F.array().cast("array<int>"))
 
 
-def _containment(template: Template) -> Column:
-    """The largest share of the template's words in a block, 0 below what is needed."""
-    length, needed, total = template.length, template.needed, len(template.words)
-    behind = total - len(template.prefix)
-    mine = F.filter("hits", lambda h: h["word"].isin(list(template.prefix)))
-    blocks = F.array_distinct(
-        F.flatten(
-            F.transform(
-                mine,
-                lambda h: F.array(
-                    F.floor(h["at"] / length).cast("int"), F.floor(h["at"] / length).cast("int") - 1
-                ),
-            )
-        )
-    )
-    # Length: what is left of the text from the block's first word.
-    blocks = F.filter(blocks, lambda b: (b >= 0) & (F.size("words") - b * length >= needed))
+def _rare_words(template: Template) -> Column:
+    return F.filter("hits", lambda h: h["word"].isin(list(template.prefix)))
+
+
+def _containment(template: Template, number: int) -> Column:
+    """The largest share of the template's words in a window, 0 below what is needed."""
+    reach, needed, total = 2 * template.length, template.needed, len(template.words)
+    hits = F.get("rare", F.lit(number))  # a column, so that lambdas do not make it again
+    last = F.size(hits) - 1
 
-    def within(b: Column, h: Column) -> Column:
-        return (h["at"] >= b * length) & (h["at"] < (b + 2) * length)
+    def spans(h: Column, i: Column) -> Column:
+        """From where to where windows begin whose first rare word is ``h``."""
+        other = lambda j: (F.get(hits, j)["word"] != h["word"]) & (F.get(hits, j)["at"] < h["at"] + reach)
+        following = F.when(i < last, F.filter(F.sequence(i + 1, F.least(i + reach, last)), other))
+        second = F.get(hits, F.get(following, F.lit(0)))["at"] if needed > 1 else h["at"]
+        before = F.when(i > 0, F.get(hits, i - 1)["at"]).otherwise(F.lit(-1))
+        return F.struct(second.alias("second"), before.alias("before"), h["at"].alias("high"))
 
-    def rare(b: Column) -> Column:
-        return F.size(F.array_distinct(F.transform(F.filter(mine, lambda h: within(b, h)), lambda h: h["word"])))
+    def starts(span: Column) -> Column:
+        low = F.greatest(span["second"] - reach + 1, span["before"] + 1)
+        begins = lambda b: F.get("words", b).isin(list(template.words)) & (F.size("words") - b >= needed)
+        return F.filter(F.sequence(low, span["high"]), begins)
 
-    blocks = F.filter(blocks, lambda b: rare(b) + behind >= needed)
-    overlap = F.transform(
-        blocks,
-        lambda b: F.size(F.array_intersect(F.slice("words", b * length + 1, 2 * length), _constants(template.words))),
+    def overlap(b: Column) -> Column:
+        places = F.sequence(b, F.least(b + reach, F.size("words")) - 1)
+        return F.size(F.array_intersect(F.transform(places, lambda i: F.get("words", i)), _constants(template.words)))
+
+    open_ = F.filter(
+        F.transform(hits, spans),
+        lambda s: s["second"].isNotNull() & (s["second"] - reach < s["high"]),
     )
-    most = F.coalesce(F.array_max(overlap), F.lit(0))
-    return F.when(F.size("hits") == 0, F.lit(0.0)).otherwise(
+    most = F.coalesce(F.array_max(F.transform(F.flatten(F.transform(open_, starts)), overlap)), F.lit(0))
+    return F.when(last + 1 < min(2, needed), F.lit(0.0)).otherwise(
         F.when(most >= needed, most / F.lit(float(total))).otherwise(F.lit(0.0))
     )
 
@@ -160,7 +164,7 @@ def license_scan(
     templates: list[tuple[str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and blocks.
+    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     n_base counts all places of the phrases, first_word and last_word are the
     smallest and largest of them, counted in words from 0.  score is 1 where a
@@ -178,7 +182,8 @@ def license_scan(
     rows = with_once(rows, "hits", F.when(F.arrays_overlap("words", _constants(rare)), hits).otherwise(none))
     names = list(phrases)
     rows = with_once(rows, "places", F.array(*[_places(p) for p in names]))
-    rows = with_once(rows, "shares", F.array(*[_containment(t) for t in chosen]))
+    rows = with_once(rows, "rare", F.array(*[_rare_words(t) for t in chosen]))
+    rows = with_once(rows, "shares", F.array(*[_containment(t, i) for i, t in enumerate(chosen)]))
     every = F.flatten("places")
     base = F.array_compact(
         F.array(*[F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(phrases[p])) for i, p in enumerate(names)])
@@ -207,41 +212,44 @@ def license_scan_sql(
     templates: list[tuple[str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> str:
-    """The same by trying every block of every document, in DuckDB's SQL."""
-    base, shares = [], []
+    """The same by counting in every window that begins at a template's word, in DuckDB's SQL."""
+    base, terms = [], []
     for phrase in phrases:
         wanted = phrase.split()
         same = " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(wanted))
         base.append(f"list_filter(range(0, len(words) - {len(wanted) - 1}), lambda i: {same})")
-    for _, wording in templates:
+    for t, (label, wording) in enumerate(templates):
         words = wording.split()
         distinct = sorted(set(words))
-        needed, n = math.ceil(threshold * len(distinct) - 1e-9), len(words)
-        listed = "[" + ", ".join(f"'{w}'" for w in distinct) + "]"
-        block = f"words[b * {n} + 1 : b * {n} + {2 * n}]"
-        most = (
-            f"coalesce(list_max(list_transform(range(0, len(words) // {n} + 1), "
-            f"lambda b: len(list_intersect({block}, {listed})))), 0)"
-        )
-        shares.append(f"CASE WHEN {most} >= {needed} THEN {most} / {len(distinct)}.0::DOUBLE ELSE 0.0 END")
+        needed = math.ceil(threshold * len(distinct) - 1e-9)
+        terms += [f"({t}, '{label}', {2 * len(words)}, {len(distinct)}, {needed}, '{w}')" for w in distinct]
     labelled = ", ".join(
         f"CASE WHEN len(places[{i + 1}]) > 0 THEN '{label}' END" for i, label in enumerate(phrases.values())
     )
-    similar = ", ".join(f"CASE WHEN shares[{i + 1}] > 0 THEN '{t[0]}' END" for i, t in enumerate(templates))
     join = "coalesce(array_to_string(list_sort(list_distinct(list_filter({0}, lambda x: x IS NOT NULL))), ','), '')"
     return f"""
     WITH split AS MATERIALIZED (
-        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
-                                          '{WORDS}') AS words
+        SELECT row_number() OVER () AS line, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORDS}') AS words
         FROM documents
     ), found AS MATERIALIZED (
-        SELECT doc_id, len(words) AS n_words, [{", ".join(base)}] AS places, [{", ".join(shares)}] AS shares
-        FROM split
+        SELECT line, doc_id, len(words) AS n_words, [{", ".join(base)}] AS places FROM split
+    ), terms(t, label, reach, total, needed, word) AS (VALUES {", ".join(terms)}
+    ), placed AS (
+        SELECT line, unnest(words) AS word, unnest(range(0, len(words))) AS place FROM split
+    ), windows AS (
+        SELECT line, label, total, needed,
+               count(DISTINCT word) OVER (PARTITION BY line, t ORDER BY place
+                                          RANGE BETWEEN CURRENT ROW AND (reach - 1) FOLLOWING) AS n
+        FROM placed JOIN terms USING (word)
+    ), matched AS (
+        SELECT line, list(label) AS labels, max(n / total::DOUBLE) AS share
+        FROM windows WHERE n >= needed GROUP BY line
     )
     SELECT doc_id, n_words, len(flatten(places)) AS n_base,
            list_min(flatten(places)) AS first_word, list_max(flatten(places)) AS last_word,
            {join.format("[" + labelled + "]")} AS base_labels,
-           {join.format("[" + labelled + ", " + similar + "]")} AS labels,
-           CASE WHEN len(flatten(places)) > 0 THEN 1.0 ELSE list_max(shares) END::DOUBLE AS score
-    FROM found
+           {join.format("list_concat([" + labelled + "], coalesce(labels, []))")} AS labels,
+           CASE WHEN len(flatten(places)) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+    FROM found LEFT JOIN matched USING (line)
     """

@@ -18,10 +18,13 @@ TEXTS = [
     "all rights are reserved, all right",
     None,
     "",
+    *["word " * i + "all copyrights and rights reserved" for i in range(7)],
+    "all x rights x x reserved x all x x rights x x x reserved",
+    "may " * 400 + "all " * 300 + "rights reserved",
 ]
 
 
-def test_scan_equals_trying_every_block(spark):
+def test_scan_equals_trying_every_window(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(r[0] and r[0] + 100, r[1]) for r in ROWS] + [(99, TEXTS[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = license_scan(docs).drop("text")
@@ -35,6 +38,8 @@ def test_scan_equals_trying_every_block(spark):
     assert (by[0]["n_base"], by[0]["first_word"], by[0]["last_word"]) == (3, 3, 9)
     assert by[1]["labels"] == "apache" and by[1]["base_labels"] == "" and by[2]["score"] == 6 / 7
     assert by[2]["labels"] == "cc-by-nc" and by[3]["labels"] == ""
+    # The same words are found after any number of others.
+    assert {by[i]["labels"] for i in range(11, 18)} == {"all-rights-reserved"}
     assert by[4]["n_base"] == 300 and by[9]["first_word"] is None and by[9]["labels"] == ""
 
 
