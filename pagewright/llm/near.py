@@ -296,14 +296,17 @@ def near_duplicates(
     links = stored(_compared(left.join(bags_, "node"), similarity, exact=True), "links")
     labels = _relabelled(labels, links)
 
-    classed = signed.select(ROW, "id", "line", *key).join(nodes, key).join(labels, "node", "left")
-    classed = classed.withColumn("label", F.coalesce("label", "node")).select(ROW, "id", "line", "label")
+    # What becomes of each row is worked out without the rows, which move once, by their lines.
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "line")
-    classes = classed.groupBy("label").agg(F.min(place).alias("best"), F.count("*").alias("size"))
+    each = signed.groupBy(*key).agg(F.min(place).alias("best"), F.count("*").alias("size"))
+    each = each.join(nodes, key).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = stored(each.select(*key, "label", "best", "size"), "each")
+    classes = each.groupBy("label").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+    named = stored(each.select(*key, "label").join(classes, "label").drop("label"), "named")
+    decided = stored(signed.select("line", *key).join(named, key).select("line", "best", "size"), "decided")
+    caller = ROW if carry else F.struct(F.col("id").alias(ident)).alias(ROW)
     return unboxed(
-        classed.join(classes, "label").select(
-            ROW if carry else F.struct(F.col("id").alias(ident)).alias(ROW), "line", "best", "size"
-        ),
+        signed.select("line", caller).join(decided, "line"),
         {
             "class_id": F.col("best.id"),
             "class_size": F.col("size"),
