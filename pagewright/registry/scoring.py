@@ -12,6 +12,7 @@ from pagewright import fixed_values as fv
 from pagewright.functions import answers as an
 from pagewright.operators import citations as ci
 from pagewright.operators import evaluation as ev
+from pagewright.operators import reports as rp
 from pagewright.plans.spread import spread
 from pagewright.registry.common import query, quote, table
 from pagewright.sources.tables import benchmark_sheet
@@ -255,6 +256,38 @@ def benchmark_marking_sheet(spark, sf_dir):
     )
 
 
+_SQL_GROUPS = [
+    (rp.WRONG_REFUSALS, "NOT provider_error AND in_textbook AND refused"),
+    (rp.HALLUCINATIONS, "NOT provider_error AND NOT in_textbook AND NOT refused"),
+    (rp.INVENTED, "invented"),
+    (rp.OUT_OF_SCOPE, "NOT scope_ok"),
+    (rp.REVIEW, "NOT provider_error AND in_textbook AND NOT refused AND keyed AND NOT found"),
+]
+_SQL_HEADS = " UNION ALL ".join(
+    f"SELECT {2 + k}, -1, {quote('## ' + name + ': ')} || count(*) FROM judged WHERE {rule} HAVING count(*) > 0"
+    for k, (name, rule) in enumerate(_SQL_GROUPS)
+)
+_SQL_ENTRIES = " UNION ALL ".join(
+    f"""SELECT {2 + k}, doc_id, '- ' || asked || CASE WHEN invented THEN ' – trang: ' || page ELSE '' END FROM told WHERE {rule}"""
+    for k, (_, rule) in enumerate(_SQL_GROUPS)
+)
+
+
+@query(
+    f"""WITH {_SQL_OUTCOMES},
+    told AS (SELECT j.*, d.source, d.lang, 'Lớp 6 ' || d.lang || ': ' || d.source AS asked FROM judged j JOIN documents d USING (doc_id))
+    {_SQL_HEADS} UNION ALL {_SQL_ENTRIES} UNION ALL
+    SELECT 7 AS part, doc_id AS place, '| ' || doc_id || ' | 6 | ' || lang || ' | ' || source || ' | ' || retrieved || ' | ' || verdict || ' | ' ||
+           CASE WHEN refused THEN '-' WHEN retrieved > 0 THEN source || ', trang 0-3' ELSE '' END || ' |' AS text FROM told""".replace(
+        "SELECT 2, -1, ", "SELECT 2 AS part, -1 AS place, ", 1
+    ).replace(" || count(*) FROM", " || count(*) AS text FROM", 1)
+)
+def benchmark_lines(spark, sf_dir):
+    """The groups of questions to look at first, and the table of all questions."""
+    lines = rp.benchmark_lines(_outcomes(spark, sf_dir).withColumn("position", F.col("doc_id")))
+    return lines.where("part BETWEEN 2 AND 6 OR (part = 7 AND place >= 0)")
+
+
 @query(
     """SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN '-' ELSE printf('%.1f%%', (o_orderkey % 3) / (o_custkey % 4) * 100) END AS share FROM orders"""
 )
