@@ -5,15 +5,21 @@ another, a word that ends with the phrase's first one, the words between, and a
 word that begins with its last one; a phrase of one word is contained in a word.
 Words are what stands between single blanks, so this is exactly ``contains``.
 
-The index is two tables: postings (subject, word, chunk, positions) and the
-vocabulary (subject, word, chunks with it).  A phrase's words are first matched
-with the vocabulary, inner ones by equality, outer ones by their first or last
-letters, which every word of the vocabulary is listed under; then the postings
-of its rarest word give the places where the phrase could stand, and the
-postings of the chunks concerned what stands around them.  All are equality
-joins; no text is read.
-A word that very many chunks hold is looked up only for phrases that have no
-rarer one, and its postings are many rows, which adaptive execution splits.
+The index is two tables: postings (subject, word, chunk, position, and the words
+before and after) and the vocabulary (subject, word, places).  Postings are
+written where the chunk is, without a shuffle, and all lookups are joins of them
+with what the phrases ask for, on a word or on its first or last letters:
+
+* a phrase of one word with every run of one to three letters of a word;
+* one of two words with the last letters of a word, the next one is looked at;
+* one of three with its inner word, both neighbours are looked at;
+* a longer one likewise with its rarest inner word, and the few places left with
+  the postings at the other positions.
+
+All are equality joins; no text is read.  Phrases are few beside the postings, so
+they are broadcast and a chunk's many places for one phrase become one row
+before anything is shuffled.  The runs of letters of frequent words, at most
+``HOT_WORDS``, are worked out once from the vocabulary, not at each place.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from pagewright.plans.materialize import materialize
 
 #: Letters by which outer words of a phrase are looked up, at most.
 KEY_LETTERS = 3
+#: Frequent words are those with more than one in so many places.
+HOT_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -38,13 +46,17 @@ class LiteralIndex:
 def build_index(chunks: DataFrame, path: str | None = None) -> LiteralIndex:
     """The index of chunks (chunk_id, subject, text), stored at ``path`` or in the scratch folder."""
     words = chunks.where(F.col("text").isNotNull()).select(
-        "subject", "chunk_id", F.posexplode(F.split("text", " ", -1)).alias("position", "word")
+        "subject", "chunk_id", F.split("text", " ", -1).alias("words")
     )
+    at = F.col("position")
     postings = (
-        words.where("word <> ''")
-        .groupBy("subject", "word", "chunk_id")
-        .agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    )
+        words.select("subject", "chunk_id", "words", F.posexplode("words").alias("position", "word"))
+        .where("word <> ''")
+        .select(
+            "subject", "word", "chunk_id", "position",
+            F.get("words", at - 1).alias("before"), F.get("words", at + 1).alias("after"),
+        )
+    )
     if path is None:
         postings = materialize(postings, "postings")
         return LiteralIndex(postings, materialize(_vocabulary(postings), "vocabulary"))
@@ -55,94 +67,121 @@ def build_index(chunks: DataFrame, path: str | None = None) -> LiteralIndex:
 
 
 def _vocabulary(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("subject", "word").agg(F.count("*").alias("chunks"))
+    return postings.groupBy("subject", "word").agg(F.count("*").alias("places"))
 
 
 def read_index(spark: SparkSession, path: str) -> LiteralIndex:
     return LiteralIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"))
 
 
-def _letters(word: Column, side: str) -> Column:
-    """The keys a word is listed under: its first, last or all runs of one to three letters."""
-    sizes = F.sequence(F.lit(1), F.least(F.lit(KEY_LETTERS), F.length(word)))
-    if side == "begins":
-        return F.transform(sizes, lambda n: F.substring(word, F.lit(1), n))
-    if side == "ends":
-        return F.transform(sizes, lambda n: F.substring(word, F.length(word) - n + 1, n))
-    every = F.transform(
-        sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda at: F.substring(word, at, n))
-    )
-    return F.array_distinct(F.flatten(every))
+def _last_letters(word: Column) -> Column:
+    """The keys a word is listed under by its end: its last one to three letters."""
+    size = F.length(word)
+    return F.array(*[F.when(size >= n, F.substring(word, size - n + 1, F.lit(n))) for n in range(1, KEY_LETTERS + 1)])
 
 
-def _matched(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """pattern_id, subject, at, n, word and chunks: the words of the vocabulary each part of a phrase can be."""
-    size = F.least(F.lit(KEY_LETTERS), F.length("part"))
-    keyed = parts.withColumn(
-        "key",
-        F.when(F.col("side") == "ends", F.substring(F.col("part"), F.length("part") - size + 1, size)).otherwise(
-            F.substring(F.col("part"), F.lit(1), size)
-        ),
-    )
-    found = keyed.where("side = 'whole'").join(vocabulary.withColumnRenamed("word", "part"), ["subject", "part"]).withColumn("word", F.col("part"))
-    tests = {"begins": F.startswith, "ends": F.endswith, "inside": F.contains}
-    for side, test in tests.items():
-        listed = vocabulary.select("subject", "word", "chunks", F.explode(_letters(F.col("word"), side)).alias("key"))
-        some = keyed.where(F.col("side") == side).join(listed, ["subject", "key"]).where(test("word", "part"))
-        found = found.unionByName(some, allowMissingColumns=True)
-    return found.select("pattern_id", "subject", "at", "n", "word", "chunks")
+def _runs(words: DataFrame) -> DataFrame:
+    """``words`` with key, each run of one to three letters of the word."""
+    at, size = F.col("__at"), F.length("word")
+    runs = F.array(*[F.when(at + n - 1 <= size, F.substring("word", at, F.lit(n))) for n in range(1, KEY_LETTERS + 1)])
+    placed = words.select("*", F.explode(F.sequence(F.lit(1), size)).alias("__at"))
+    return placed.select("*", F.explode(runs).alias("key")).drop("__at")
 
 
-def containing(index: LiteralIndex, patterns: DataFrame) -> DataFrame:
-    """pattern_id and chunk_id of every chunk whose text contains the pattern.
+def _words_holding(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """``words`` with number, for every one of ``parts`` the word contains; some repeatedly."""
+    return _runs(words).join(parts, ["subject", "key"]).where(F.contains("word", "part")).drop("key", "part")
 
-    ``patterns``: pattern_id, subject, pattern (not empty, single blanks between
-    its words).
-    """
-    words = F.split("pattern", " ", -1)
-    parts = patterns.where(F.col("pattern") != "").select(
-        "pattern_id", "subject", F.size(words).alias("n"), F.posexplode(words).alias("at", "part")
-    )
-    side = (
-        F.when(F.col("n") == 1, "inside")
-        .when(F.col("at") == 0, "ends")
-        .when(F.col("at") == F.col("n") - 1, "begins")
-        .otherwise("whole")
-    )
-    matched = materialize(_matched(parts.withColumn("side", side), index.vocabulary), "matched-words")
-    # The rarest part of each phrase all of whose parts occur.
-    weights = matched.groupBy("pattern_id", "n", "at").agg(F.sum("chunks").alias("chunks"))
-    whole = Window.partitionBy("pattern_id")
+
+def _one_word(index: LiteralIndex, parts: DataFrame) -> DataFrame:
+    """number, chunk_id of phrases of one word (number, subject, part)."""
+    size = F.least(F.lit(KEY_LETTERS), F.length("part"))
+    parts = materialize(parts.withColumn("key", F.substring(F.col("part"), F.lit(1), size)), "single-words")
+    every = index.vocabulary.agg(F.sum("places")).first()[0] or 0
+    hot = materialize(index.vocabulary.where(F.col("places") * HOT_WORDS > every).select("subject", "word"), "hot-words")
+    known = materialize(_words_holding(hot, parts).distinct(), "hot-matches")
+    keys = ["subject", "word"]
+    places = index.postings.select(*keys, "chunk_id")
+    often = places.join(known, keys)
+    seldom = _words_holding(places.join(F.broadcast(hot), keys, "left_anti"), parts)
+    return often.select("number", "chunk_id").unionByName(seldom.select("number", "chunk_id"))
+
+
+def _two_words(index: LiteralIndex, phrases: DataFrame) -> DataFrame:
+    """number, chunk_id of phrases of two words (number, subject, words)."""
+    first, size = F.col("words")[0], F.least(F.lit(KEY_LETTERS), F.length(F.col("words")[0]))
+    keyed = phrases.select(
+        "number", "subject", first.alias("first"), F.col("words")[1].alias("second"),
+        F.substring(first, F.length(first) - size + 1, size).alias("key"),
+    )
+    places = index.postings.where("after <> ''").select("subject", "chunk_id", "word", "after")
+    listed = places.select("*", F.explode(_last_letters(F.col("word"))).alias("key"))
+    fits = F.endswith("word", "first") & F.startswith("after", "second")
+    return listed.join(materialize(keyed, "two-words"), ["subject", "key"]).where(fits).select("number", "chunk_id")
+
+
+def _more_words(index: LiteralIndex, phrases: DataFrame) -> DataFrame:
+    """number, chunk_id of phrases of three or more words (number, subject, words)."""
+    n, at = F.col("n"), F.col("at")
+    side = F.when(at == 0, "ends").when(at == n - 1, "begins").otherwise("whole")
+    parts = phrases.select(
+        "number", "subject", "words", F.size("words").alias("n"), F.posexplode("words").alias("at", "word")
+    ).withColumn("side", side)
+    # The rarest inner word of each phrase all of whose inner words occur.
+    phrase = Window.partitionBy("number")
     rarest = (
-        weights.withColumn("__parts", F.count("*").over(whole))
-        .withColumn("__turn", F.row_number().over(whole.orderBy("chunks", "at")))
-        .where("__parts = n AND __turn = 1")
-        .select("pattern_id", "at")
+        parts.where("side = 'whole'")
+        .join(index.vocabulary, ["subject", "word"])
+        .withColumn("__parts", F.count("*").over(phrase))
+        .withColumn("__turn", F.row_number().over(phrase.orderBy("places", "at")))
+        .where("__parts = n - 2 AND __turn = 1")
     )
-    anchors = matched.join(rarest, ["pattern_id", "at"]).join(index.postings, ["subject", "word"])
-    alone = anchors.where("n = 1").select("pattern_id", "chunk_id").distinct()
-    places = anchors.where("n > 1").select(
-        "pattern_id", "subject", "n", F.col("at").alias("anchor"), "chunk_id",
-        F.explode("positions").alias("position"),
-    ).withColumn("start", F.col("position") - F.col("anchor"))
-    longer = materialize(places.distinct(), "phrase-places")
-    # What stands where the phrase's other words have to stand.
-    needed = longer.join(parts.withColumn("side", side).select("pattern_id", "at", "part", "side"), "pattern_id").where(
-        "at <> anchor"
-    ).withColumn("position", F.col("start") + F.col("at"))
-    there = index.postings.join(longer.select("subject", "chunk_id").distinct(), ["subject", "chunk_id"], "left_semi").select(
-        "subject", "chunk_id", "word", F.explode("positions").alias("position")
+    anchors = rarest.select(
+        "number", "subject", "word", "n", "at", F.col("words")[at - 1].alias("left"), F.col("words")[at + 1].alias("right")
     )
+    fits = F.when(at == 1, F.endswith("before", "left")).otherwise(F.col("before") == F.col("left")) & F.when(
+        at == n - 2, F.startswith("after", "right")
+    ).otherwise(F.col("after") == F.col("right"))
+    places = index.postings.join(materialize(anchors, "inner-words"), ["subject", "word"]).where(fits)
+    # Of longer phrases: what stands where the words further away have to stand.
+    start = (F.col("position") - at).alias("start")
+    longer = places.where("n > 3").select("number", "n", F.col("at").alias("anchor"), "subject", "chunk_id", start)
+    others = parts.select("number", "at", F.col("word").alias("part"), "side")
+    needed = longer.distinct().join(others, "number").where("abs(at - anchor) > 1")
+    needed = materialize(needed.withColumn("position", F.col("start") + at), "phrase-places")
     fits = (
         F.when(F.col("side") == "ends", F.endswith("word", "part"))
         .when(F.col("side") == "begins", F.startswith("word", "part"))
         .otherwise(F.col("word") == F.col("part"))
     )
+    there = index.postings.select("subject", "chunk_id", "position", "word")
     standing = (
         needed.join(there, ["subject", "chunk_id", "position"])
         .where(fits)
-        .groupBy("pattern_id", "chunk_id", "start", "n")
+        .groupBy("number", "chunk_id", "start", "n")
         .agg(F.count("*").alias("found"))
-        .where("found = n - 1")
+        .where("found = n - 3")
+    )
+    return places.where("n = 3").select("number", "chunk_id").unionByName(standing.select("number", "chunk_id"))
+
+
+def containing(index: LiteralIndex, patterns: DataFrame) -> DataFrame:
+    """pattern_id and chunk_id of every chunk whose text contains the pattern.
+
+    ``patterns``: pattern_id, subject, pattern (not empty, single blanks between
+    its words).
+    """
+    asked = patterns.where(F.col("pattern") != "").select(
+        F.monotonically_increasing_id().alias("number"), "pattern_id", "subject",
+        F.split("pattern", " ", -1).alias("words"),
+    )
+    asked = materialize(asked, "patterns")  # numbers are drawn once
+    phrases = asked.drop("pattern_id")
+    n = F.size("words")
+    found = (
+        _one_word(index, phrases.where(n == 1).select("number", "subject", F.col("words")[0].alias("part")))
+        .unionByName(_two_words(index, phrases.where(n == 2)))
+        .unionByName(_more_words(index, phrases.where(n > 2)))
+        .distinct()
     )
-    return alone.unionByName(standing.select("pattern_id", "chunk_id").distinct())
+    return found.join(asked.select("number", "pattern_id"), "number").select("pattern_id", "chunk_id")

@@ -323,8 +323,8 @@ def literal_index(spark, sf_dir):
     wanted = looked.withColumn("one", F.lit(0)).join(subjects, "one").select("pattern", F.explode("langs").alias("subject"))
     wanted = wanted.withColumn("pattern_id", F.concat_ws("|", "subject", "pattern"))
     index = li.build_index(docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("subject"), "text"))
-    found = li.containing(index, wanted).join(wanted, "pattern_id")
-    return found.groupBy("subject", "pattern").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("lowest_id"))
+    found = li.containing(index, wanted).groupBy("pattern_id").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("lowest_id"))
+    return found.join(wanted, "pattern_id").select("subject", "pattern", "chunks", "lowest_id")
 
 
 class _Unsteady(OfflineClient):

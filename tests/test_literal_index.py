@@ -2,7 +2,9 @@
 
 import random
 
+from pagewright.operators import literal_index
 from pagewright.operators.literal_index import build_index, containing, read_index
+from pagewright.plans.materialize import materialize
 
 TEXTS = "chunk_id bigint, subject string, text string"
 PATTERNS = "pattern_id string, subject string, pattern string"
@@ -42,3 +44,27 @@ def test_random_texts_with_a_hot_word(spark, tmp_path):
 def test_nothing_to_find(spark):
     assert not check(spark, [], [("a", "x")])
     assert not check(spark, [(1, "a", "x y")], [("a", "y x")])
+
+
+def test_places_are_stored_without_a_shuffle(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(literal_index, "materialize", noted)
+    build_index(spark.createDataFrame([(1, "a", "x y x"), (2, "b", None)], TEXTS))
+    assert "Exchange" not in plans["postings"] and "Exchange" in plans["vocabulary"]
+
+
+def test_frequent_and_rare_words_are_found_alike(spark, monkeypatch):
+    draw = random.Random(7)
+    words = ["aaa", "bab", "abba", "c", "cab", "", "a\nb", "đoạn"]
+    rows = [(i, draw.choice("xy"), " ".join(draw.choices(words, k=draw.randint(0, 9)))) for i in range(80)]
+    patterns = {(draw.choice("xy"), " ".join(draw.choices(words[:5], k=draw.randint(1, 5)))[draw.randint(0, 1) :]) for _ in range(60)}
+    patterns = sorted({(s, p) for s, p in patterns if p and p == p.strip() and "  " not in p} | {("x", "oạ"), ("y", "ab"), ("x", "a")})
+    wanted = check(spark, rows, patterns)
+    for share in (0, 4):  # none and some of the words count as frequent
+        monkeypatch.setattr(literal_index, "HOT_WORDS", share)
+        assert check(spark, rows, patterns) == wanted
