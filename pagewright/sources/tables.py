@@ -66,10 +66,13 @@ def load_through(
     Books the cache lacks (all with ``force``) are given to ``extract``, which returns grade,
     book, page_number and text; their pages replace or join the cache by
     book, and no other book's files are written.  A book whose pages could not
-    be read has no page and is extracted again by the next run.
+    be read has no page and is extracted again by the next run.  The list of books
+    is stored, so that its size is known where pages are joined with it: it is
+    broadcast, and no page is shuffled to its book.
     """
     spark = books.sparkSession
     keys = ["grade", "book"]
+    books = materialize(books, "books")
     known = read_cached_pages(spark, path).select(*keys).distinct()
     missing = books if force else books.join(known, keys, "left_anti")
     fresh = extract(missing).select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(CACHED).fields])

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from pagewright.operators.generation import OfflineClient, RateLimited, ServiceE
 from pagewright.plans.answering import run_benchmark
 from pagewright.sources import books as bk
 from pagewright.sources import tables as tb
+from pagewright.plans.materialize import materialize
 from pagewright.sources.question_sets import all_questions, read_question_set
 
 
@@ -142,3 +144,28 @@ def test_command_line(spark, sf, tmp_path, capsys):
     run(["audit", str(tmp_path / "pages"), str(tmp_path / "audit")], spark)
     assert spark.read.parquet(str(tmp_path / "audit")).where("size(issues) > 0").count() == 1
     assert "kind" in capsys.readouterr().out
+
+
+def test_pages_are_not_shuffled_to_their_books(spark, tmp_path, monkeypatch):
+    plans, path = [], str(tmp_path / "cache")
+
+    def noted(df, name):
+        if name == "extracted-pages":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda n: F.sha2((F.col("id") * 100 + n).cast("string"), 256)), " ")
+    spark.range(200).select(F.concat(F.lit("b"), F.col("id") % 3).alias("book"), F.col("id").alias("page_number"), text.alias("text")).write.parquet(
+        str(tmp_path / "pages")
+    )
+    pages = spark.read.parquet(str(tmp_path / "pages")).withColumn("grade", F.lit(6))
+    monkeypatch.setattr(tb, "materialize", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # the pages are larger, their list of books is not
+    try:
+        loaded = tb.load_through(pages.select("grade", "book").distinct(), path, lambda m: pages.join(m, ["grade", "book"], "left_semi"))
+        plans.append(loaded._jdf.queryExecution().executedPlan().toString())
+        assert loaded.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and not any(re.search("SortMergeJoin .*LeftSemi", p) for p in plans)
