@@ -1,7 +1,12 @@
 """Corrections of chunks that carry vectors, and streams of tables kept as folders."""
 
+import hashlib
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from pagewright.operators import embedding
 from pagewright.operators.embedding import embed
 from pagewright.operators.index import apply_corrections, with_chunk_id
 from pagewright.registry import QUERIES
@@ -34,3 +39,22 @@ def test_sessions_stream_from_a_folder_of_part_files(spark, sf, tmp_path):
     )
     rows = [tuple(r) for r in QUERIES["stream_sessions"](spark, str(tmp_path)).collect()]
     assert rows and sorted(rows) == sorted(tuple(r) for r in QUERIES["session_history"](spark, sf).collect())
+
+
+def test_vectors_count_words_and_remember_few_of_them(spark, monkeypatch):
+    texts = ["Ab ab\nc", "", "   \n", None, "tab\there İI", " x  y ", " ".join(f"w{i}" for i in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(1).orderBy("i")
+    found = [r["v"] for r in rows.select("i", embed(F.col("text"), 16).alias("v")).orderBy("i").collect()]
+    for text, vector in zip(texts, found):
+        if text is None:
+            assert vector is None
+            continue
+        counts = np.zeros(16)
+        for word in filter(None, re.split(r"[ \n]+", text.lower())):
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % 16] += 1
+        norm = np.sqrt((counts**2).sum())
+        assert vector == (counts / norm if norm else counts).astype(np.float32).tolist()
+    monkeypatch.setattr(embedding, "REMEMBERED", 10)
+    slots = embedding._Slots(16)
+    first = [slots[f"w{i}"] for i in range(300)]
+    assert len(slots) <= 10 and first == [slots[f"w{i}"] for i in range(300)]
