@@ -8,7 +8,7 @@ from pagewright.operators import generation as ge
 from pagewright.operators import sessions as ss
 from pagewright.plans.materialize import scratch_path
 from pagewright.registry.common import query, table
-from pagewright.streaming.sessions import latest_states, message_stream, run_to_table, track_history, track_scope
+from pagewright.streaming.sessions import files_per_batch, latest_states, message_stream, run_to_table, track_history, track_scope
 
 #: Messages kept per session; conversations have up to eight.
 _KEEP = 4
@@ -86,9 +86,10 @@ def stream_scope(spark, sf_dir):
         F.when(kind == "view", number).alias("answer_id"),
     )
     inbox, out, checkpoint = (scratch_path(spark, f"scope-{n}") for n in ("inbox", "states", "checkpoint"))
-    # A file is one micro-batch; its messages are drawn from the whole time.
-    events.repartition(3, F.xxhash64("seq") % 3).write.parquet(inbox)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    # Three micro-batches of as many files as all slots write; their messages are drawn from the whole time.
+    events.repartition(max(3, spark.sparkContext.defaultParallelism), "seq").write.parquet(inbox)
+    files = files_per_batch(spark, inbox, 3)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(inbox)
     run_to_table(track_scope(stream, _KEEP), out, checkpoint)
     states = latest_states(spark, out, ["channel", "user_id"])
     return states.select("user_id", "grade", "subject", "last_answer_id", F.array_join("contents", "; ").alias("history"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,11 @@ def track_history(messages: DataFrame, key: str, order: str, role: str, content:
     )
 
 
+def _known(value) -> bool:
+    """Whether a value read from a frame is not null (pandas gives None or NaN)."""
+    return value is not None and value == value
+
+
 class _Latest:
     """Values set at sequence numbers, the newest ``ROOM`` of them, in order.
 
@@ -83,15 +89,71 @@ class _Latest:
         return seqs, [self.at[s] for s in seqs], self.base, self.base_seq
 
 
-SCOPE_STATE = (
-    "grade_seqs array<bigint>, grades array<int>, grade_base int, grade_base_seq bigint, "
-    "subject_seqs array<bigint>, subjects array<string>, subject_base string, subject_base_seq bigint, "
-    "cleared bigint, answer_seq bigint, answer_id bigint, "
-    "seqs array<bigint>, roles array<string>, contents array<string>"
+_SCOPE = (
+    "channel:string,user_id:string,grade_seqs:array<bigint>,grades:array<int>,grade_base:int,grade_base_seq:bigint,"
+    "subject_seqs:array<bigint>,subjects:array<string>,subject_base:string,subject_base_seq:bigint,"
+    "cleared:bigint,answer_seq:bigint,answer_id:bigint,"
+    "seqs:array<bigint>,roles:array<string>,contents:array<string>"
 )
+SCOPE_STATE = f"sessions array<struct<{_SCOPE}>>"
+#: Groups that sessions are dealt to by hash; the state of a group is that of its sessions.
+GROUPS = 4_096
+
+
+class _Session:
+    """What is known of a session: the newest settings, messages and answer, the last clearing."""
+
+    def __init__(self, held: tuple) -> None:
+        self.keys = tuple(held[:2])
+        self.grades, self.subjects = _Latest(*held[2:6]), _Latest(*held[6:10])
+        self.cleared, self.answered, self.answer = held[10:13]
+        self.messages = dict(zip(held[13], zip(held[14], held[15])))
+        self.rest()
+
+    @classmethod
+    def new(cls, keys: tuple) -> _Session:
+        return cls((*keys, [], [], None, -1, [], [], None, -1, -1, -1, None, [], [], []))
+
+    def rest(self) -> None:
+        self.given, self.chosen, self.said = ([], []), ([], []), {}
+
+    def see(self, seq, grade, subject, clear, role, content, answer_id) -> None:
+        if _known(grade):
+            self.given[0].append(seq)
+            self.given[1].append(int(grade))
+        if _known(subject):
+            self.chosen[0].append(seq)
+            self.chosen[1].append(subject)
+        if _known(clear) and clear and seq > self.cleared:
+            self.cleared = seq
+        if _known(answer_id) and seq > self.answered:
+            self.answered, self.answer = seq, int(answer_id)
+        if _known(content):
+            self.said.setdefault(seq, (role, content))
+
+    def fold(self, keep: int) -> None:
+        """Takes in what was seen since the last time."""
+        self.grades.add(*self.given)
+        self.subjects.add(*self.chosen)
+        self.messages |= {seq: self.said[seq] for seq in nlargest(keep, self.said)}
+        for seq in sorted(self.messages)[:-keep]:
+            del self.messages[seq]
+        self.rest()
+
+    def row(self) -> tuple:
+        seqs = sorted(self.messages)
+        roles, contents = ([self.messages[s][i] for s in seqs] for i in (0, 1))
+        known = (self.cleared, self.answered, self.answer)
+        return (*self.keys, *self.grades.row(), *self.subjects.row(), *known, seqs, roles, contents)
 
+    def shown(self) -> tuple:
+        since = max(self.cleared, self.grades.changed(), self.subjects.changed())
+        contents = [self.messages[s][1] for s in sorted(self.messages) if s >= since]
+        answer = self.answer if self.answered >= since else None
+        return (*self.keys, self.grades.value(), self.subjects.value(), answer, contents)
 
-def track_scope(events: DataFrame, keep: int) -> DataFrame:
+
+def track_scope(events: DataFrame, keep: int, groups: int = GROUPS) -> DataFrame:
     """Profile, history and last answer per (channel, user_id), cleared when the scope changes.
 
     ``events``: channel, user_id, seq, grade, subject (NULL unless the message
@@ -105,39 +167,37 @@ def track_scope(events: DataFrame, keep: int) -> DataFrame:
     what the history shows is what lies behind the last change of scope.  Each
     Arrow batch is folded into this state, so a session's messages are never held
     together.  Of grade and subject, the ``_Latest.ROOM`` newest settings are told apart.
+
+    Handing one group's rows and state to Python costs as much as folding many
+    messages, so sessions are dealt to ``groups`` groups by hash: there are never
+    more calls than that in a micro-batch, however many sessions there are.  Keep
+    ``groups`` for the life of a checkpoint.
     """
     output = "channel string, user_id string, grade int, subject string, last_answer_id bigint, contents array<string>"
+    names = ["channel", "user_id", "grade", "subject", "last_answer_id", "contents"]
+    columns = ["channel", "user_id", "seq", "grade", "subject", "clear", "role", "content", "answer_id"]
 
-    def update(keys, batches: Iterator[pd.DataFrame], state: GroupState):
-        empty = ([], [], None, -1, [], [], None, -1, -1, -1, None, [], [], [])
-        held = state.get if state.exists else empty
-        grades, subjects = _Latest(*held[:4]), _Latest(*held[4:8])
-        cleared, answered, answer = held[8:11]
-        messages = dict(zip(held[11], zip(held[12], held[13])))
+    def update(_, batches: Iterator[pd.DataFrame], state: GroupState):
+        held = {tuple(s[:2]): s for s in (state.get[0] if state.exists else [])}
+        touched: dict[tuple, _Session] = {}
         for batch in batches:
-            for column, known, kind in (("grade", grades, int), ("subject", subjects, str)):
-                some = batch[batch[column].notna()]
-                known.add(some["seq"].tolist(), [kind(v) for v in some[column]])
-            gone = batch.loc[batch["clear"].fillna(False).astype(bool), "seq"]
-            cleared = max(cleared, int(gone.max()) if len(gone) else -1)
-            given = batch[batch["answer_id"].notna()]
-            if len(given) and given["seq"].max() > answered:
-                last = given.loc[given["seq"].idxmax()]
-                answered, answer = int(last["seq"]), int(last["answer_id"])
-            said = batch[batch["content"].notna()].nlargest(keep, "seq")
-            messages |= dict(zip(said["seq"].tolist(), zip(said["role"].tolist(), said["content"].tolist())))
-            for seq in sorted(messages)[:-keep]:
-                del messages[seq]
-        seqs = sorted(messages)
-        roles, contents = ([messages[s][i] for s in seqs] for i in (0, 1))
-        state.update((*grades.row(), *subjects.row(), cleared, answered, answer, seqs, roles, contents))
-        since = max(cleared, grades.changed(), subjects.changed())
-        shown = [messages[s][1] for s in seqs if s >= since]
-        row = (*keys, grades.value(), subjects.value(), answer if answered >= since else None, shown)
-        names = ["channel", "user_id", "grade", "subject", "last_answer_id", "contents"]
-        yield pd.DataFrame([row], columns=names).astype({"grade": "Int32", "last_answer_id": "Int64"})
-
-    return events.groupBy("channel", "user_id").applyInPandasWithState(
+            seen = {}
+            for channel, user_id, *message in zip(*(batch[c].tolist() for c in columns)):
+                keys = (channel, user_id)
+                session = touched.get(keys)
+                if session is None:
+                    session = touched[keys] = _Session(held[keys]) if keys in held else _Session.new(keys)
+                seen[keys] = session
+                session.see(*message)
+            for session in seen.values():
+                session.fold(keep)
+        held |= {keys: session.row() for keys, session in touched.items()}
+        state.update((list(held.values()),))
+        shown = zip(*(session.shown() for session in touched.values()))
+        yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(names, shown)})
+
+    dealt = events.withColumn("__group", F.pmod(F.xxhash64("channel", "user_id"), F.lit(groups)))
+    return dealt.groupBy("__group").applyInPandasWithState(
         update, output, SCOPE_STATE, "update", GroupStateTimeout.NoTimeout
     )
 
@@ -150,6 +210,11 @@ def latest_states(spark: SparkSession, table: str, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(newest).select(*keys, "__s.*")
 
 
+def files_per_batch(spark: SparkSession, folder: str, batches: int) -> int:
+    """How many of a folder's files make up one of so many micro-batches."""
+    return max(1, -(-len(spark.read.parquet(folder).inputFiles()) // batches))
+
+
 def run_to_table(stream: DataFrame, table: str, checkpoint: str, name: str | None = None) -> None:
     """Process what is available now into ``table``, one folder per batch.
 

@@ -304,3 +304,26 @@ class Doubtful:
     def complete(self, model, messages, settings):
         text = messages[-1]["content"]
         return "Toán" if "phân số" in text else "KHAC" if "chào" in text else "không rõ"
+
+
+def test_streamed_scope_of_many_sessions_in_few_groups(spark, tmp_path):
+    schema = "channel string, user_id string, seq bigint, grade int, subject string, role string, content string, answer_id bigint, clear boolean"
+    rng = random.Random(5)
+    rows = []
+    for user in range(30):
+        for seq in range(rng.randint(1, 9)):
+            kind = rng.choice(["grade", "subject", "clear", "content", "content", "answer_id"])
+            value = {"grade": rng.choice([6, 7]), "subject": "Toán", "clear": True, "content": f"m{seq}", "answer_id": seq}[kind]
+            rows.append({"channel": "cd"[user % 2], "user_id": str(user // 2), "seq": seq, "role": "user", kind: value})
+    rng.shuffle(rows)
+    (tmp_path / "in").mkdir()
+    for part in range(3):
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(map(json.dumps, rows[part::3])))
+
+    def states(groups):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{groups}")
+        run_to_table(track_scope(stream, 3, groups), out, str(tmp_path / f"cp{groups}"))
+        return sorted(map(str, latest_states(spark, out, ["channel", "user_id"]).collect()))
+
+    assert states(1) == states(3) == states(1_000) and len(states(2)) == 30
