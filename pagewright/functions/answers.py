@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,23 +64,34 @@ def keywords_found(answer: Column, keywords: Column) -> Column:
 
 
 def hide_internal_wording(col: Column) -> Column:
+    def has_label(text: Column) -> Column:
+        # The letters that every label has, found without a regular expression.
+        return F.contains(text, F.lit("oạn")) | F.contains(text, F.lit("oan"))
+
     def hide_labels(text: Column) -> Column:
-        text = F.regexp_replace(text, "(?U)" + fv.BRACKETED_PASSAGE_LABEL, "")
+        bare = F.regexp_replace(text, "(?U)" + fv.BRACKETED_PASSAGE_LABEL, "")
+        return let(bare, lambda t: F.when(has_label(t), hide_inline_labels(t)).otherwise(t))
+
+    def hide_inline_labels(text: Column) -> Column:
         text = F.regexp_replace(text, "(?U)" + fv.INLINE_PASSAGE_LABEL, "$1o$2n này")
         # Sentence starts are handled first, with the text before the run kept in $1.
         at_start = r"(?U)((?:\A|[.!?:])[ \t*_\-•\n]*?)" + fv.REPEATED_PASSAGE_LABEL
         text = F.regexp_replace(text, at_start, "$1" + fv.REPEATED_LABEL_AT_START)
         return F.regexp_replace(text, "(?U)" + fv.REPEATED_PASSAGE_LABEL, fv.REPEATED_LABEL_INSIDE)
 
-    def reword(text: Column) -> Column:
-        for internal, shown in fv.INTERNAL_WORDING:
+    def reword(wordings: tuple) -> Callable[[Column], Column]:
+        def replaced(text: Column) -> Column:
+            (internal, shown), *rest = wordings
             text = F.replace(text, F.lit(internal), F.lit(shown))
             text = F.replace(text, F.lit(internal.capitalize()), F.lit(shown.capitalize()))
-        return text
+            return let(text, reword(rest)) if rest else text
+
+        # All wordings end alike or hold these letters; without them nothing is left to do.
+        return lambda text: F.when(F.contains(text, F.lit("gữ cảnh")), replaced(text)).otherwise(text)
 
     # Most answers hold neither a label nor internal wording: test before rewriting.
-    labelled = let(col, lambda t: F.when(t.rlike(r"[ĐđDd]o[ạa]n\s"), hide_labels(t)).otherwise(t))
-    return let(labelled, lambda t: F.when(t.rlike("[Nn]gữ cảnh"), reword(t)).otherwise(t))
+    labelled = let(col, lambda t: F.when(has_label(t) & t.rlike(r"[ĐđDd]o[ạa]n\s"), hide_labels(t)).otherwise(t))
+    return let(labelled, reword(fv.INTERNAL_WORDING))
 
 
 def drop_invented_page_refs(answer: Column, pages: Column) -> Column:
@@ -99,22 +112,27 @@ def drop_invented_page_refs(answer: Column, pages: Column) -> Column:
         rest = F.substring_index(piece, closed, -1)
         return F.when(F.array_contains(pages, number), shown).otherwise(rest)
 
-    def clean(sentence: Column) -> Column:
-        pieces = F.split(F.regexp_replace(sentence, reference, marked_reference), opened)
+    def clean(sentence: Column, marked: Column) -> Column:
+        pieces = F.split(marked, opened)
         rest = F.array_join(
             F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(keep_known(piece))), ""
         )
-        return let(rest, lambda r: F.when((r != sentence) & (word_count(r) < fv.MIN_WORDS_LEFT), "").otherwise(r))
+        cleaned = let(rest, lambda r: F.when((r != sentence) & (word_count(r) < fv.MIN_WORDS_LEFT), "").otherwise(r))
+        return F.when(marked == sentence, sentence).otherwise(cleaned)
 
     def word_count(text: Column) -> Column:
         return F.regexp_count(text, F.lit(r"(?U)\w+"))
 
     def clean_line(line: Column) -> Column:
-        sentences = F.transform(F.split(line, r"(?U)(?<=[.!?])\s+"), clean)
-        return F.when(
-            mentions_page(line) & line.rlike(reference),
-            F.array_join(F.filter(sentences, lambda s: ~is_blank(s)), " "),
-        ).otherwise(line)
+        def marked(sentences: Column) -> Column:
+            # A reference never holds the end of a sentence, so marking finds those of the line, once.
+            both = F.transform(sentences, lambda s: F.regexp_replace(s, reference, marked_reference))
+            return let(both, lambda m: F.when(m != sentences, joined(sentences, m)).otherwise(line))
+
+        def joined(sentences: Column, marks: Column) -> Column:
+            return F.array_join(F.filter(F.zip_with(sentences, marks, clean), lambda s: ~is_blank(s)), " ")
+
+        return F.when(mentions_page(line), let(F.split(line, r"(?U)(?<=[.!?])\s+"), marked)).otherwise(line)
 
     def mentions_page(text: Column) -> Column:
         # Cheap to test, and necessary for a reference.
@@ -132,9 +150,9 @@ def render_exponents(col: Column) -> Column:
     """``x^2`` to ``x²``: marks around each exponent, then every other piece translated."""
 
     def render(text: Column) -> Column:
-        marked = F.regexp_replace(text, fv.CARET_EXPONENT, "\ue000$1\ue001")
+        marked = F.regexp_replace(text, fv.CARET_EXPONENT, "\ue000$1\ue000")
         pieces = F.transform(
-            F.split(marked, "[\ue000\ue001]"),
+            F.split(marked, "\ue000"),
             lambda piece, i: F.when(
                 i % 2 == 1, F.translate(piece, fv.SUPERSCRIPT_FROM, fv.SUPERSCRIPT_TO)
             ).otherwise(piece),

@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 
+from pyspark.sql import functions as F
+
 from pagewright import fixed_values as fv
 from pagewright.functions import answers as an
 from pagewright.functions import audit as au
@@ -133,3 +135,16 @@ def test_scan_page(evaluate):
     ]
     assert got[0][0]["snippet"].startswith("Ta có a - b = b - a")
     assert got[4][0]["snippet"] == "m0t, CO2, s6tu, t0an, v1et"
+
+
+def test_references_of_a_sentence_are_looked_for_once(spark, evaluate):
+    answer = an.drop_invented_page_refs(F.col("t"), F.array(F.lit(3)))
+    plan = spark.createDataFrame([("x",)], "t string").select(answer.alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(fv.PASSING_PAGE_REFERENCE[:40]) == 1
+    texts = [
+        "Em đọc kĩ phần này ở trang 3 nhé.  Các bạn xem lại cả bài xem thêm trang 9 nhé.",
+        "Trang 5 có hình.   Hai dấu cách.", "Câu một ở trang 7. Câu hai rất dài đó bạn.\nXem trang 8.\ntrang đầu  có hai. Ý!", "",
+    ]
+    assert evaluate(lambda c: an.drop_invented_page_refs(c, F.array(F.lit(3))), texts) == [
+        "Em đọc kĩ phần này ở trang 3 nhé. Các bạn xem lại cả bài nhé.", texts[1], "Câu hai rất dài đó bạn.\n\ntrang đầu  có hai. Ý!", "",
+    ]
