@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +73,19 @@ def _issue(kind: str, shown: Column) -> Column:
     )
 
 
+def _holds(text: Column, letters: str) -> Column:
+    """Whether the text has one of ``letters`` (none: true), found without a regular expression."""
+    return reduce(or_, [F.contains(text, F.lit(c)) for c in letters]) if letters else F.lit(True)
+
+
 def _none() -> Column:
     return F.array().cast(ISSUES_TYPE)
 
 
-def _one_per_match(text: Column, kind: str, pattern: str) -> Column:
+def _one_per_match(text: Column, kind: str, pattern: str, letters: str = "") -> Column:
+    """An issue for each match; every match has one of ``letters``, looked for before the pattern."""
     return F.when(
-        text.rlike(pattern),
+        _holds(text, letters) & text.rlike(pattern),
         F.transform(match_spans(text, pattern), lambda s: _issue(kind, snippet(text, s["from"], s["to"]))),
     ).otherwise(_none())
 
@@ -105,7 +114,9 @@ def _lost_exponents(text: Column) -> Column:
             F.size(spans) >= fv.MIN_LOST_EXPONENTS, F.array(_issue(fv.KIND_LOST_EXPONENT, shown))
         ).otherwise(_none())
 
-    return F.when(text.rlike(pattern), let(match_spans(text, pattern), issue)).otherwise(_none())
+    return F.when(
+        _holds(text, "?*") & text.rlike(pattern), let(match_spans(text, pattern), issue)
+    ).otherwise(_none())
 
 
 def _digit_words(text: Column) -> Column:
@@ -125,16 +136,24 @@ def _garbled(text: Column) -> Column:
     ).otherwise(_none())
 
 
+#: The detectors of a page by the kind of issue they find, in the order of its issues.
+_DETECTORS = {
+    fv.KIND_SWAPPED_MINUS: lambda t: _one_per_match(t, fv.KIND_SWAPPED_MINUS, "(?U)" + fv.SWAPPED_MINUS, "="),
+    fv.KIND_FRACTION: lambda t: _one_per_match(t, fv.KIND_FRACTION, "(?iU)" + fv.FRACTION_WITHOUT_SLASH, "=~"),
+    fv.KIND_DEFINITION_BOX: lambda t: _one_per_match(t, fv.KIND_DEFINITION_BOX, "(?iU)" + fv.LOST_DEFINITION_BOX),
+    fv.KIND_LOST_EXPONENT: _lost_exponents,
+    fv.KIND_DIGIT_WORD: _digit_words,
+    fv.KIND_GARBLED: _garbled,
+}
+
+
+def issues_of(text: Column, kind: str) -> Column:
+    """The issues of one kind of a page that is long enough."""
+    return _DETECTORS[kind](text)
+
+
 def scan_page(text: Column) -> Column:
     """Every suspicion about one page; empty for short pages."""
     return F.when(
-        long_enough(text),
-        F.concat(
-            _one_per_match(text, fv.KIND_SWAPPED_MINUS, "(?U)" + fv.SWAPPED_MINUS),
-            _one_per_match(text, fv.KIND_FRACTION, "(?iU)" + fv.FRACTION_WITHOUT_SLASH),
-            _one_per_match(text, fv.KIND_DEFINITION_BOX, "(?iU)" + fv.LOST_DEFINITION_BOX),
-            _lost_exponents(text),
-            _digit_words(text),
-            _garbled(text),
-        ),
+        long_enough(text), F.concat(*[detector(text) for detector in _DETECTORS.values()])
     ).otherwise(_none())

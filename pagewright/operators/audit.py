@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
 from pagewright.functions import audit as au
 from pagewright.functions import text as tx
+from pagewright.plans.materialize import materialize
 from pagewright.plans.once import with_once
 
 
@@ -36,6 +40,12 @@ def audit_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def suspects(pages: DataFrame, kinds: list[str], text: str = "text") -> DataFrame:
+    """Pages with an issue of one of ``kinds``, found by the detectors of those kinds alone."""
+    found = [F.size(au.issues_of(F.col(text), kind)) > 0 for kind in kinds]
+    return pages.where(au.long_enough(F.col(text)) & reduce(or_, found))
+
+
 def mark_repaired(audits: DataFrame, repairs: DataFrame, keys: list[str]) -> DataFrame:
     done = repairs.select(*keys).distinct().withColumn("__done", F.lit(True))
     return audits.join(done, keys, "left").withColumn(
@@ -69,7 +79,9 @@ def flagged_pages(audits: DataFrame, kinds: list[str]) -> DataFrame:
 
 def worklist(candidates: DataFrame, repairs: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Flagged pages not repaired yet, worst first."""
-    todo = candidates.join(repairs.select(*keys), keys, "left_anti").orderBy(F.desc("n_issues"), *keys)
+    todo = candidates.join(repairs.select(*keys), keys, "left_anti")
+    # Sorting draws a sample first: without a table between, every page would be scanned twice.
+    todo = materialize(todo, "worklist").orderBy(F.desc("n_issues"), *keys)
     return todo.limit(limit) if limit else todo
 
 

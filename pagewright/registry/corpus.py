@@ -512,7 +512,8 @@ def audit_sample(spark, sf_dir):
 )
 def repair_worklist(spark, sf_dir):
     kinds = [fv.KIND_SWAPPED_MINUS, fv.KIND_DIGIT_WORD, fv.KIND_LOST_EXPONENT]
-    flagged = oa.flagged_pages(_audits(spark, sf_dir), kinds).select("doc_id", "n_issues", "kinds")
+    audits = oa.audit_pages(oa.suspects(_damaged(spark, sf_dir), kinds))
+    flagged = oa.flagged_pages(audits, kinds).select("doc_id", "n_issues", "kinds")
     todo = oa.worklist(flagged, table(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"])
     return todo.withColumn("kinds", F.array_join("kinds", " "))
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright import fixed_values as fv
 from pagewright.operators import audit as oa
 from pagewright.operators import boilerplate as bp
 from pagewright.operators import catalog as ct
@@ -10,6 +11,7 @@ from pagewright.operators import citations as ci
 from pagewright.operators import index as ix
 from pagewright.operators import page_offsets as po
 from pagewright.plans.ingest import ingest, plan_files
+from pagewright.registry import QUERIES
 from pagewright.settings import Settings
 from pagewright.sources import books as bk
 from pagewright.sources import tables as tb
@@ -176,3 +178,17 @@ def test_stored_documents(spark, tmp_path):
     assert tb.markdown_table(small) == "| kind | n |\n|---|---|\n| k | 1 |"
     with pytest.raises(ValueError):
         tb.markdown_table(spark.range(5), limit=3)
+
+
+def test_a_worklist_scans_its_pages_once_and_only_suspects_in_full(spark, sf):
+    kinds = [fv.KIND_SWAPPED_MINUS, fv.KIND_LOST_EXPONENT]
+    tail = " và đây là phần còn lại của trang sách, đủ dài để được xem xét như mọi trang khác trong cuốn sách này của chúng ta."
+    texts = ["Ta có a - b = b - a." + tail, "A? - B* = C?" + tail, "Ta gọi = là một phân số." + tail, "a - b = b - a", None, "§" * 200]
+    pages = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = oa.suspects(pages, kinds)
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 1]
+    whole = oa.flagged_pages(oa.audit_pages(pages), kinds).select("doc_id", "issues")
+    some = oa.flagged_pages(oa.audit_pages(found), kinds).select("doc_id", "issues")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, some.collect()))
+    plan = QUERIES["repair_worklist"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "worklist" in plan  # what is sorted is a stored list
