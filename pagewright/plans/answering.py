@@ -113,6 +113,8 @@ def detect_subjects(
     )
     classified = materialize(classify_subject(asked, make_client, settings), "classified")
     unclear = classified.where(F.col("detected").isNull()).drop("detected", "subjects")
+    if unclear.isEmpty():  # else every chunk would be searched for nothing
+        return classified.drop("subjects").withColumnRenamed("detected", "subject")
     scoped = scope_to_every_subject(unclear, chunks)
     nearest = best_subject(scoped, retrieve(scoped, chunks, settings.top_k, settings.max_distance))
     return (

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pagewright import fixed_values as fv
 from pagewright.operators import feedback as fb
 from pagewright.operators.embedding import embed
-from pagewright.operators.generation import RateLimited
+from pagewright.operators.generation import OfflineClient, RateLimited
+from pagewright.plans import answering
 from pagewright.plans import tutoring as tu
 from pagewright.settings import Settings
 from pagewright.streaming.channels import outgoing
@@ -209,3 +210,15 @@ def test_gapless_rank_of_sparse_values(spark, monkeypatch):
     assert [r["v"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(values)
     assert sorted(r["rank"] for r in got) == list(range(2_000))
     assert len(sizes) >= 8 and max(sizes) < 3 * 2_000 / 8
+
+
+def test_chunks_are_not_searched_when_every_question_has_its_subject(spark, monkeypatch):
+    def searched(*_, **__):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(answering, "retrieve", searched)
+    monkeypatch.setattr(answering, "classify_subject", lambda rows, *_: rows.withColumn("detected", F.lit("Toán")))
+    questions = spark.createDataFrame([("1", "phân số là gì", 6)], "qid string, question string, grade int")
+    chunks = spark.createDataFrame([(1, "Toán", 6)], "chunk_id bigint, subject string, grade int")
+    (row,) = answering.detect_subjects(questions, chunks, OfflineClient).collect()
+    assert (row["qid"], row["subject"]) == ("1", "Toán") and "detected" not in row
